@@ -28,7 +28,7 @@ def _short_stats(col, stats, w):
     return out
 
 
-def _p95(n, top):
+def top_p95(n, top):
     """95th percentile of at most 21 values: it lies between the two largest."""
     rank = 0.95 * (n - 1)
     low = F.get(top, (n - 1 - F.floor(rank)).cast("int"))
@@ -98,7 +98,7 @@ def rolling_stats(df, wanted, key=KEY, pos=DAY, size=DAY_CHUNK, extra=0):
                 raise ValueError("p95 needs a window of at most 21 rows")
             tops = [F.coalesce(part(col, k, "top"), F.array().cast("array<double>")) for k in ks]
             top = F.slice(F.sort_array(F.concat(*tops), False), 1, 2) if len(tops) > 1 else tops[0]
-            out[name] = _p95(n, top)
+            out[name] = top_p95(n, top)
         else:
             raise ValueError(f"unknown statistic {stat!r}")
     helpers = [*sums, *means, *[f"_b{k}" for k in range(widest // STEP)]]

@@ -2,6 +2,7 @@
 from pyspark.sql import Window, functions as F
 
 from panelcast.config import CHANNELS, DAY, DAY_CHUNK, DAYS_PER_WEEK, KEY, STATS
+from panelcast.functions.blocks import top_p95
 from panelcast.functions.chunks import CHUNK, OWN, chunked, frame, with_position
 
 META = ["month", "doy", "doy366", "woy", "woy1", "ord"]
@@ -10,7 +11,14 @@ DRY_DAY_MM = 1.0
 
 def _stat(c, stat):
     return {"mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c), "max": F.max(c),
-            "sum": F.coalesce(F.sum(c), F.lit(0.0)), "p95": F.percentile(c, F.lit(0.95))}[stat]
+            "sum": F.coalesce(F.sum(c), F.lit(0.0)),
+            "p95": _p95_of_week(c)}[stat]
+
+
+def _p95_of_week(c):
+    """95th percentile of at most seven values, from the two largest."""
+    values = F.sort_array(F.collect_list(c), False)
+    return top_p95(F.size(values), values)
 
 
 def _stats(channels, stats, strict=False):

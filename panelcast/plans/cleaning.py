@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, RANK_CHANNELS, TRANSFORMS
+from panelcast.functions import ranks
 from panelcast.functions.scalars import sanitize
 from panelcast.operators import cleaning as cl
 from panelcast.operators.rolling import last_weeks, weekly_frames
@@ -13,12 +14,15 @@ ROW = "region_id:s day_idx:i " + " ".join(CHANNELS)
 
 def fitted(spark, d):
     t = train(spark, d)
-    return t, cl.region_medians(t), cl.global_medians(t), cl.winsor_bounds(t)
+    cut = ranks.bucket_borders(t, CHANNELS)
+    return (t, cl.region_medians(t, borders=cut), cl.global_medians(t, borders=cut),
+            cl.winsor_bounds(t, borders=cut))
 
 
 def imputed(spark, d):
     t = train(spark, d)
-    return cl.impute(t, cl.region_medians(t), cl.global_medians(t))
+    cut = ranks.bucket_borders(t, CHANNELS)
+    return cl.impute(t, cl.region_medians(t, borders=cut), cl.global_medians(t, borders=cut))
 
 
 BOUNDS = "SELECT " + ", ".join(

@@ -17,13 +17,14 @@ def gapped_train(spark, d):
     return gapped_train_part(calendar_panel(spark, d))
 
 
-def weekly(spark, d, **kw):
-    """Weekly table of the train part, one row per scored day."""
-    return wk.weekly_at_anchors(train(spark, d), **kw)
+def weekly(spark, d):
+    """Weekly table of the train part. The panel is scored on every seventh day, so its
+    seven-day blocks are the windows that end at the scored days."""
+    return wk.weekly_blocks(train(spark, d), keep=["score"])
 
 
-def weekly_test(spark, d, **kw):
-    return wk.weekly_blocks(test(spark, d), **kw)
+def weekly_test(spark, d):
+    return wk.weekly_blocks(test(spark, d))
 
 
 def anchors(spark, d):
