@@ -3,106 +3,90 @@
 A trailing window of 7 k rows is k seven-row windows laid end to end. The short window
 is computed once per row and packed into a struct; longer windows read the structs 7,
 14, .. rows back and combine them. A 91-row window costs 13 additions instead of 91.
+Expressions are written as SQL text because there are hundreds of them.
 """
-from functools import reduce
-
-from pyspark.sql import functions as F
-
 from panelcast.config import DAY, DAY_CHUNK, KEY
-from panelcast.functions.chunks import chunked, frame, owned, trailing
+from panelcast.functions.chunks import chunked, owned, over
 
 STEP = 7
 
 
-def _short_stats(col, stats, w):
-    c = F.col(col)
-    out = {"n": F.count(c).over(w), "s": F.sum(c).over(w)}
-    if "std" in stats:
-        out["q"] = F.var_pop(c).over(w) * F.count(c).over(w)
-    if "min" in stats:
-        out["lo"] = F.min(c).over(w)
-    if "max" in stats:
-        out["hi"] = F.max(c).over(w)
-    if "p95" in stats:
-        out["top"] = F.slice(F.sort_array(F.collect_list(c).over(w), False), 1, 2)
-    return out
+def top_p95_sql(n, top):
+    """95th percentile of n <= 21 values, given their largest ones in falling order."""
+    rank = f"(0.95D * ({n} - 1))"
+    low = f"get({top}, CAST({n} - 1 - floor({rank}) AS INT))"
+    high = f"get({top}, CAST({n} - 1 - ceil({rank}) AS INT))"
+    return f"CASE WHEN {n} > 0 THEN {low} + ({high} - {low}) * ({rank} - floor({rank})) END"
+
 
+SHORT = {
+    "n": "count({c}) {w}", "s": "sum({c}) {w}", "q": "var_pop({c}) {w} * count({c}) {w}",
+    "lo": "min({c}) {w}", "hi": "max({c}) {w}",
+    "top": "slice(sort_array(collect_list({c}) {w}, false), 1, 2)",
+}
+NEEDS = {"mean": "", "sum": "", "count": "", "rows": "", "std": "q", "min": "lo", "max": "hi", "p95": "top"}
 
-def top_p95(n, top):
-    """95th percentile of at most 21 values: it lies between the two largest."""
-    rank = 0.95 * (n - 1)
-    low = F.get(top, (n - 1 - F.floor(rank)).cast("int"))
-    high = F.get(top, (n - 1 - F.ceil(rank)).cast("int"))
-    return F.when(n > 0, low + (high - low) * (rank - F.floor(rank)))
+
+def _blocks(df, fields, widest, key, pos, size):
+    """Pack the seven-row fields into _b0 and the earlier packs into _b1, _b2, .."""
+    cut = chunked(df, pos, size, before=widest - 1)
+    cut = cut.selectExpr("*", f"named_struct({fields}) AS _b0")
+    one = over(key, pos)
+    later = [f"lag(_b0, {STEP * k}) {one} AS _b{k}" for k in range(1, widest // STEP)]
+    return owned(cut.selectExpr("*", *later))
 
 
-def _sum(items):
-    return reduce(lambda a, b: a + b, items)
+def _join(terms):
+    return "(" + " + ".join(terms) + ")"
 
 
-def rolling_stats(df, wanted, key=KEY, pos=DAY, size=DAY_CHUNK, extra=0):
+def rolling_stats(df, wanted, key=KEY, pos=DAY, size=DAY_CHUNK):
     """Add the trailing-window columns named in `wanted`.
 
     `wanted` maps an output name to (column, statistic, window); windows are multiples of
     seven rows, statistics are mean, std (population), min, max, sum, p95, count and rows.
     Nulls are skipped; a window without values gives null (sum 0, count 0). Early rows use
-    the rows that exist. `extra` keeps that many earlier rows for a caller's own frames.
+    the rows that exist.
     """
     widest = max(w for _, _, w in wanted.values())
+    w7 = over(key, pos, STEP - 1)
     need = {}
     for col, stat, _ in wanted.values():
-        need.setdefault(col, set()).add(stat)
-    cut = chunked(df, pos, size, before=widest - 1)
-    w7, one = trailing(key, pos, STEP), frame(key, pos)
-    fields = [F.count("*").over(w7).alias("rows")]
-    for col, stats in need.items():
-        fields += [e.alias(f"{col}__{k}") for k, e in _short_stats(col, stats, w7).items()]
-    cut = cut.withColumn("_b0", F.struct(*fields))
-    cut = cut.withColumns({f"_b{k}": F.lag("_b0", STEP * k).over(one) for k in range(1, widest // STEP)})
-
-    def part(col, k, field):
-        return F.col(f"_b{k}").getField(f"{col}__{field}")
-
-    sums, out = {}, {}
-    for col, _, w in wanted.values():
-        ks = range(w // STEP)
-        sums[f"_n_{col}_{w}"] = _sum([F.coalesce(part(col, k, "n"), F.lit(0)) for k in ks])
-        sums[f"_s_{col}_{w}"] = _sum([F.coalesce(part(col, k, "s"), F.lit(0.0)) for k in ks])
-        sums[f"_r_{w}"] = _sum([F.coalesce(F.col(f"_b{k}.rows"), F.lit(0)) for k in ks])
-    cut = owned(cut).withColumns(sums)
-    means = {f"_m_{col}_{w}": F.when(F.col(f"_n_{col}_{w}") > 0, F.col(f"_s_{col}_{w}") / F.col(f"_n_{col}_{w}"))
-             for col, _, w in wanted.values()}
-    cut = cut.withColumns(means)
-    for name, (col, stat, w) in wanted.items():
-        ks = range(w // STEP)
-        n, mean = F.col(f"_n_{col}_{w}"), F.col(f"_m_{col}_{w}")
+        need.setdefault(col, {"n", "s"}).update({NEEDS[stat]} - {""})
+    fields = f"'rows', count(*) {w7}"
+    for col, kinds in need.items():
+        for kind in sorted(kinds):
+            fields += f", '{col}__{kind}', " + SHORT[kind].format(c=col, w=w7)
+    base = df.columns
+    cut = _blocks(df, fields, widest, key, pos, size)
+    pairs = sorted({(c, w) for c, _, w in wanted.values()})
+    sums = [f"{_join([f'coalesce(_b{k}.{c}__n, 0)' for k in range(w // STEP)])} AS _n_{c}_{w}" for c, w in pairs]
+    sums += [f"{_join([f'coalesce(_b{k}.{c}__s, 0D)' for k in range(w // STEP)])} AS _s_{c}_{w}" for c, w in pairs]
+    out = []
+    for name, (c, stat, w) in wanted.items():
+        ks, n, s = range(w // STEP), f"_n_{c}_{w}", f"_s_{c}_{w}"
         if stat == "mean":
-            out[name] = mean
+            value = f"CASE WHEN {n} > 0 THEN {s} / {n} END"
         elif stat == "sum":
-            out[name] = F.col(f"_s_{col}_{w}")
+            value = s
         elif stat == "count":
-            out[name] = n
+            value = n
         elif stat == "rows":
-            out[name] = F.col(f"_r_{w}")
+            value = _join([f"coalesce(_b{k}.rows, 0)" for k in ks])
         elif stat in ("min", "max"):
-            field, pick = ("lo", F.least) if stat == "min" else ("hi", F.greatest)
-            parts = [part(col, k, field) for k in ks]
-            out[name] = pick(*parts) if len(parts) > 1 else parts[0]
+            field, pick = ("lo", "array_min") if stat == "min" else ("hi", "array_max")
+            value = f"{pick}(array({', '.join(f'_b{k}.{c}__{field}' for k in ks)}))"
         elif stat == "std":
-            spread = [part(col, k, "q") + part(col, k, "n")
-                      * F.pow(part(col, k, "s") / part(col, k, "n") - mean, 2) for k in ks]
-            spread = [F.when(part(col, k, "n") > 0, e).otherwise(0.0) for k, e in zip(ks, spread)]
-            out[name] = F.when(n > 0, F.sqrt(_sum(spread) / n))
-        elif stat == "p95":
+            far = [f"CASE WHEN _b{k}.{c}__n > 0 THEN _b{k}.{c}__q + _b{k}.{c}__n * "
+                   f"pow(_b{k}.{c}__s / _b{k}.{c}__n - {s} / {n}, 2) ELSE 0D END" for k in ks]
+            value = f"CASE WHEN {n} > 0 THEN sqrt({_join(far)} / {n}) END"
+        else:
             if w > 21:
                 raise ValueError("p95 needs a window of at most 21 rows")
-            tops = [F.coalesce(part(col, k, "top"), F.array().cast("array<double>")) for k in ks]
-            top = F.slice(F.sort_array(F.concat(*tops), False), 1, 2) if len(tops) > 1 else tops[0]
-            out[name] = top_p95(n, top)
-        else:
-            raise ValueError(f"unknown statistic {stat!r}")
-    helpers = [*sums, *means, *[f"_b{k}" for k in range(widest // STEP)]]
-    return cut.withColumns(out).drop(*helpers)
+            tops = ", ".join(f"coalesce(_b{k}.{c}__top, array())" for k in ks)
+            value = top_p95_sql(n, f"sort_array(concat({tops}), false)")
+        out.append(f"{value} AS {name}")
+    return cut.selectExpr("*", *sums).selectExpr(*base, *out)
 
 
 def rolling_slopes(df, wanted, key=KEY, pos=DAY, size=DAY_CHUNK):
@@ -111,35 +95,25 @@ def rolling_slopes(df, wanted, key=KEY, pos=DAY, size=DAY_CHUNK):
     0 unless more than two points are valid.
     """
     widest = max(w for _, w in wanted.values())
-    cols = sorted({c for c, _ in wanted.values()})
-    cut = chunked(df, pos, size, before=widest - 1)
-    w7, one = trailing(key, pos, STEP), frame(key, pos)
+    w7 = over(key, pos, STEP - 1)
     fields = []
-    for c in cols:
-        x = F.when(F.col(c).isNotNull(), F.col(pos).cast("double"))
-        n = F.count(c).over(w7)
-        fields += [n.alias(f"{c}__n"), F.avg(x).over(w7).alias(f"{c}__x"), F.avg(c).over(w7).alias(f"{c}__y"),
-                   (F.covar_pop(x, F.col(c)).over(w7) * n).alias(f"{c}__xy"),
-                   (F.var_pop(x).over(w7) * n).alias(f"{c}__xx")]
-    cut = cut.withColumn("_b0", F.struct(*fields))
-    cut = cut.withColumns({f"_b{k}": F.lag("_b0", STEP * k).over(one) for k in range(1, widest // STEP)})
-
-    def part(col, k, field):
-        return F.coalesce(F.col(f"_b{k}").getField(f"{col}__{field}").cast("double"), F.lit(0.0))
-
-    pre = {}
-    for c, w in wanted.values():
-        ks = range(w // STEP)
-        n = _sum([part(c, k, "n") for k in ks])
-        pre[f"_n_{c}_{w}"] = n
-        for axis in ("x", "y"):
-            pre[f"_{axis}_{c}_{w}"] = F.try_divide(_sum([part(c, k, "n") * part(c, k, axis) for k in ks]), n)
-    cut = owned(cut).withColumns(pre)
-    out = {}
+    for c in sorted({c for c, _ in wanted.values()}):
+        x = f"CASE WHEN {c} IS NOT NULL THEN CAST({pos} AS DOUBLE) END"
+        fields += [f"'{c}__n', count({c}) {w7}", f"'{c}__x', avg({x}) {w7}", f"'{c}__y', avg({c}) {w7}",
+                   f"'{c}__xy', covar_pop({x}, {c}) {w7} * count({c}) {w7}",
+                   f"'{c}__xx', var_pop({x}) {w7} * count({c}) {w7}"]
+    base = df.columns
+    cut = _blocks(df, ", ".join(fields), widest, key, pos, size)
+    pre, out = [], []
     for name, (c, w) in wanted.items():
         ks = range(w // STEP)
-        mx, my = F.col(f"_x_{c}_{w}"), F.col(f"_y_{c}_{w}")
-        xy = _sum([part(c, k, "xy") + part(c, k, "n") * (part(c, k, "x") - mx) * (part(c, k, "y") - my) for k in ks])
-        xx = _sum([part(c, k, "xx") + part(c, k, "n") * F.pow(part(c, k, "x") - mx, 2) for k in ks])
-        out[name] = F.when(F.col(f"_n_{c}_{w}") > 2, xy / xx).otherwise(0.0)
-    return cut.withColumns(out).drop(*pre, *[f"_b{k}" for k in range(widest // STEP)])
+        n = [f"coalesce(_b{k}.{c}__n, 0)" for k in ks]
+        pre += [f"{_join(n)} AS _n_{c}_{w}"] + [
+            f"try_divide({_join([f'coalesce(_b{k}.{c}__n * _b{k}.{c}__{a}, 0D)' for k in ks])}, {_join(n)}) AS _{a}_{c}_{w}"
+            for a in "xy"]
+        dx = [f"(_b{k}.{c}__x - _x_{c}_{w})" for k in ks]
+        dy = [f"(_b{k}.{c}__y - _y_{c}_{w})" for k in ks]
+        xy = _join([f"coalesce(_b{k}.{c}__xy + _b{k}.{c}__n * {dx[k]} * {dy[k]}, 0D)" for k in ks])
+        xx = _join([f"coalesce(_b{k}.{c}__xx + _b{k}.{c}__n * {dx[k]} * {dx[k]}, 0D)" for k in ks])
+        out.append(f"CASE WHEN _n_{c}_{w} > 2 THEN {xy} / {xx} ELSE 0D END AS {name}")
+    return cut.selectExpr("*", *pre).selectExpr(*base, *out)

@@ -13,7 +13,7 @@ DAYS_BEFORE_366 = [0, 31, 60, 91, 121, 152, 182, 213, 244, 274, 305, 335]
 
 
 def _pick(values, month):
-    return F.element_at(F.array(*[F.lit(v) for v in values]), month.cast("int"))
+    return F.element_at(F.expr(f"array({', '.join(str(v) for v in values)})"), month.cast("int"))
 
 
 def date_parts(date):
@@ -59,7 +59,7 @@ def gregorian_ordinal(year, month, day):
 
 def month_from_doy(doy):
     """Month whose 365-day offsets contain the day of year, kept within 1..12."""
-    offsets = F.array(*[F.lit(v) for v in DAYS_BEFORE_365])
+    offsets = F.expr(f"array({', '.join(str(v) for v in DAYS_BEFORE_365)})")
     passed = F.size(F.filter(offsets, lambda v: v < doy))
     return F.least(F.lit(12), F.greatest(F.lit(1), passed)).cast("bigint")
 

@@ -31,6 +31,16 @@ def frame(key, pos):
     return Window.partitionBy(*_keys(key), CHUNK).orderBy(pos)
 
 
+def over(key, pos, before=None, after=0):
+    """The same window as SQL text; with `before`, the frame of that many earlier rows."""
+    text = f"PARTITION BY {', '.join(_keys(key))}, {CHUNK} ORDER BY {pos}"
+    if before is not None:
+        ends = [f"{n} {word}" if n else "CURRENT ROW"
+                for n, word in ((before, "PRECEDING"), (after, "FOLLOWING"))]
+        text += f" ROWS BETWEEN {ends[0]} AND {ends[1]}"
+    return f"OVER ({text})"
+
+
 def trailing(key, pos, n, offset=0):
     """The n rows that end `offset` rows before the current one."""
     return frame(key, pos).rowsBetween(-(n - 1) - offset, -offset)

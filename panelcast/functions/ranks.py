@@ -5,6 +5,7 @@ approximate sketch. Counts before a bucket come from a table with one row per bu
 so a running count never needs more than one bucket in one task, and the borders only
 decide how evenly the work is spread, never the result.
 """
+import numpy as np
 from pyspark.sql import Window, functions as F
 
 MAX_BUCKETS = 4096
@@ -37,8 +38,8 @@ def _count_at_or_below(values, v):
     """Number of sorted values <= v, by halving steps over a list filled up with infinity."""
     steps = max(1, len(values).bit_length())
     full = [float(x) for x in values] + [float("inf")] * (2 ** steps - 1 - len(values))
-    array = F.array(*[F.lit(x) for x in full])
-    sizes = F.array(*[F.lit(2 ** i) for i in reversed(range(steps))])
+    array = F.lit(np.array(full))
+    sizes = F.expr(f"array({', '.join(str(2 ** i) for i in reversed(range(steps)))})")
     return F.aggregate(sizes, F.lit(0), lambda at, step: F.when(
         F.get(array, at + step - 1) <= v, at + step).otherwise(at))
 

@@ -3,6 +3,7 @@
 Every fit returns a table; every apply attaches one row of fitted numbers or joins on the
 region key, so a fitted table of any size can be used.
 """
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def rank_normalize(df, anchors, channels, n=1000):
         df = df.withColumn("_x", F.when(F.col(c).isNotNull(), -F.col(c)).otherwise(float("nan")))
         cut = Bucketizer(splits=[float("-inf"), *splits, float("inf")], inputCol="_x",
                          outputCol="_b", handleInvalid="keep").transform(df)
-        not_below = F.element_at(F.array(*[F.lit(a) for a in at_least]), F.col("_b").cast("int") + 1)
+        not_below = F.element_at(F.lit(np.array(at_least)), F.col("_b").cast("int") + 1)
         rank = (F.lit(n) - not_below) / F.lit(n - 1)
         df = cut.withColumn(c, F.when((F.col("_b") <= len(splits)) & F.col(c).isNotNull(), rank)).drop("_x", "_b")
     return df

@@ -1,9 +1,9 @@
 """Lags, leads, targets and score history of weekly rows."""
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from panelcast.config import (CHANNELS, DAYS_PER_WEEK, HORIZONS, KEY, LAG_WINDOW, NONZERO_CAP,
                               SCORE_LAG_SHIFT, SCORE_LAGS, STATS, WEEK, WEEK_CHUNK)
-from panelcast.functions.chunks import CHUNK, chunked, frame, owned, trailing
+from panelcast.functions.chunks import chunked, frame, over, owned, trailing
 from panelcast.operators.rolling import previous_weeks
 
 TARGETS = [f"target_w{h}" for h in HORIZONS]
@@ -24,15 +24,16 @@ def lag_matrix(weekly, channels=CHANNELS, lag_window=LAG_WINDOW, targets=True):
     Weeks before the first one count as 0, and so do null features. Anchors are the weeks
     with `lag_window` earlier and five later weeks.
     """
-    w = frame(KEY, WEEK)
+    w = over(KEY, WEEK)
     cut = chunked(weekly, WEEK, WEEK_CHUNK, before=lag_window, after=max(HORIZONS))
-    exprs = {name: F.lag(c, k, 0.0).over(w) if k else F.col(c)
-             for name, c, k in lag_columns(channels, lag_window)}
-    exprs.update(previous_weeks(channels))
-    features = list(exprs)
+    lags = lag_columns(channels, lag_window)
+    exprs = [f"lag({c}, {k}, 0D) {w} AS {name}" if k else f"{c} AS {name}" for name, c, k in lags]
+    previous = previous_weeks(channels)
+    features = [name for name, _, _ in lags] + list(previous)
     if targets:
-        exprs.update({f"target_w{h}": F.lead("score", h).over(w) for h in HORIZONS})
-    out = owned(cut.select("*", *[e.alias(n) for n, e in exprs.items()]))
+        exprs += [f"lead(score, {h}) {w} AS target_w{h}" for h in HORIZONS]
+    own = [F.expr(e) for e in exprs] + [e.alias(n) for n, e in previous.items()]
+    out = owned(cut.select("*", *own))
     if targets:
         out = out.filter((F.col(WEEK) >= lag_window) & F.col(TARGETS[-1]).isNotNull())
     keep = [c for c in weekly.columns if c in (KEY, WEEK, "month", "doy", "doy366", "woy", "woy1", "ord", "score")]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import (CHANNELS, KEY, ROLL_DAYS, ROLL_WEEKS, SLOPE_CHANNELS, WEEK, WEEK_CHUNK)
 from panelcast.functions.blocks import rolling_slopes, rolling_stats
-from panelcast.functions.chunks import chunked, frame, owned, trailing
+from panelcast.functions.chunks import chunked, frame, over, owned, trailing
 
 
 def roll_days(daily, channels=CHANNELS, windows=ROLL_DAYS, extremes=(7, 14, 21)):
@@ -39,24 +39,24 @@ def rolling_weeks(cols, windows=ROLL_WEEKS):
     """Expressions: mean (from one value on) and sample deviation (from two) of weekly columns."""
     out = {}
     for w in windows:
-        f = last_weeks(w)
+        f = over(KEY, WEEK, w - 1)
         for name, c in cols.items():
-            out[f"{name}_roll{w}_mean"] = F.avg(c).over(f)
-            out[f"{name}_roll{w}_std"] = at_least(F.stddev_samp(c).over(f), c, f, 2)
+            out[f"{name}_roll{w}_mean"] = F.expr(f"avg({c}) {f}")
+            out[f"{name}_roll{w}_std"] = F.expr(f"CASE WHEN count({c}) {f} >= 2 THEN stddev_samp({c}) {f} END")
     return out
 
 
 def previous_weeks(channels=CHANNELS):
     """Expressions: mean, max, population deviation of the weekly means of the previous four
     weeks and mean, max of the previous eight, the current week left out."""
-    four, eight = last_weeks(4, 1), last_weeks(8, 1)
+    four, eight = (f"{over(KEY, WEEK, w)[:-1].replace('CURRENT ROW', '1 PRECEDING')})" for w in (4, 8))
     out = {}
     for c in channels:
         m = f"{c}_mean"
-        out.update({f"{m}_roll4": F.avg(m).over(four), f"{c}_max_roll4": F.max(m).over(four),
-                    f"{c}_std_roll4": F.stddev_pop(m).over(four),
-                    f"{m}_roll8": F.avg(m).over(eight), f"{c}_max_roll8": F.max(m).over(eight)})
-    return out
+        out.update({f"{m}_roll4": f"avg({m}) {four}", f"{c}_max_roll4": f"max({m}) {four}",
+                    f"{c}_std_roll4": f"stddev_pop({m}) {four}",
+                    f"{m}_roll8": f"avg({m}) {eight}", f"{c}_max_roll8": f"max({m}) {eight}"})
+    return {name: F.expr(e) for name, e in out.items()}
 
 
 def rolling_sum(col, w, floor):

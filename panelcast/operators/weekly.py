@@ -2,33 +2,29 @@
 from pyspark.sql import Window, functions as F
 
 from panelcast.config import CHANNELS, DAY, DAY_CHUNK, DAYS_PER_WEEK, KEY, STATS
-from panelcast.functions.blocks import top_p95
+from panelcast.functions.blocks import top_p95_sql
 from panelcast.functions.chunks import CHUNK, OWN, chunked, frame, with_position
 
 META = ["month", "doy", "doy366", "woy", "woy1", "ord"]
 DRY_DAY_MM = 1.0
 
 
-def _stat(c, stat):
-    return {"mean": F.avg(c), "std": F.stddev_pop(c), "min": F.min(c), "max": F.max(c),
-            "sum": F.coalesce(F.sum(c), F.lit(0.0)),
-            "p95": _p95_of_week(c)}[stat]
-
-
-def _p95_of_week(c):
-    """95th percentile of at most seven values, from the two largest."""
-    values = F.sort_array(F.collect_list(c), False)
-    return top_p95(F.size(values), values)
+STAT_SQL = {
+    "mean": "avg({c})", "std": "stddev_pop({c})", "min": "min({c})", "max": "max({c})",
+    "sum": "coalesce(sum({c}), 0D)",
+    # at most seven values, so the 95th percentile lies between the two largest
+    "p95": top_p95_sql("count({c})", "sort_array(collect_list({c}), false)"),
+}
 
 
 def _stats(channels, stats, strict=False):
     out = []
     for c in channels:
         for s in stats:
-            value = _stat(c, s)
+            value = STAT_SQL[s].format(c=c)
             if strict:
-                value = F.when(F.count(c) == DAYS_PER_WEEK, value)
-            out.append(value.alias(f"{c}_{s}"))
+                value = f"CASE WHEN count({c}) = {DAYS_PER_WEEK} THEN {value} END"
+            out.append(F.expr(f"{value} AS {c}_{s}"))
     return out
 
 
@@ -48,10 +44,9 @@ def weekly_at_anchors(daily, channels=CHANNELS, stats=STATS, strict=False):
     anchor = F.when(F.col(OWN) & F.col("score").isNotNull(), F.col(DAY))
     ahead = frame(KEY, DAY).rowsBetween(0, DAYS_PER_WEEK - 1)
     sent = cut.withColumn("_all", F.collect_list(anchor).over(ahead)).withColumn("_to", F.explode("_all"))
-    at_anchor = F.col(DAY) == F.col("_to")
     out = sent.groupBy(KEY, CHUNK, F.col("_to").alias(DAY)).agg(
         F.count("*").alias("_rows"), *_stats(channels, stats, strict),
-        *[F.max(F.when(at_anchor, F.col(c))).alias(c) for c in [*_meta(daily), "score"]])
+        *[F.expr(f"max(CASE WHEN {DAY} = _to THEN {c} END) AS {c}") for c in [*_meta(daily), "score"]])
     if strict:
         out = out.filter(F.col("_rows") == DAYS_PER_WEEK)
     return with_position(out.drop(CHUNK, "_rows"), KEY, DAY, "week_idx", DAY_CHUNK)
@@ -62,7 +57,7 @@ def weekly_blocks(daily, channels=CHANNELS, stats=STATS, keep=(), strict=False):
     week = F.floor(F.col(DAY) / DAYS_PER_WEEK)
     out = daily.groupBy(KEY, week.alias("week_idx")).agg(
         F.count("*").alias("_rows"), *_stats(channels, stats, strict),
-        *[F.max_by(c, DAY).alias(c) for c in [*_meta(daily), *keep]])
+        *[F.expr(f"max_by({c}, {DAY}) AS {c}") for c in [*_meta(daily), *keep]])
     return out.filter(F.col("_rows") == DAYS_PER_WEEK).drop("_rows")
 
 

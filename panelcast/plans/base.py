@@ -12,16 +12,9 @@ def _spec(cols):
 
 
 def shape(df, cols):
-    from pyspark.sql import functions as F
-    out = []
-    for name, kind in _spec(cols):
-        c = F.col(name)
-        if kind == "d":
-            c = F.floor(c.cast("double") * 10000 + 0.501) / 10000.0
-        elif kind == "i":
-            c = c.cast("bigint")
-        out.append(c.alias(name))
-    return df.select(*out)
+    text = {"d": "floor(CAST({n} AS DOUBLE) * 10000 + 0.501D) / 10000D AS {n}",
+            "i": "CAST({n} AS BIGINT) AS {n}"}
+    return df.selectExpr(*[text.get(kind, "{n}").format(n=name) for name, kind in _spec(cols)])
 
 
 def shape_sql(cols):
