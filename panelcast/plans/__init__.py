@@ -1,7 +1,7 @@
 """Named queries over the panel, grouped as in the operator modules."""
 import importlib
 
-GROUPS = ["sources", "calendar", "cleaning", "weekly", "lags"]
+GROUPS = ["sources", "calendar", "cleaning", "weekly", "lags", "climatology", "indices"]
 
 
 def load():
