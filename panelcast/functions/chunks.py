@@ -94,3 +94,19 @@ def with_last_seen(df, key, pos, value, out, size):
                .drop("_end"))
     return (here.join(carried, [*keys, CHUNK])
             .withColumn(out, F.coalesce("_here", "_carry")).drop("_here", "_carry", CHUNK))
+
+
+def with_running_sum(df, order, value, out, size):
+    """Sum of `value` over all rows before the current one, `order` being unique and global.
+
+    The running sum is taken inside order chunks; only the table of chunk totals is summed
+    by one task.
+    """
+    cut = df.withColumn(CHUNK, F.floor(F.col(order) / size))
+    inside = Window.partitionBy(CHUNK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    run = cut.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    earlier = Window.partitionBy().orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (cut.groupBy(CHUNK).agg(F.sum(value).alias("_t"))
+              .withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t"))
+    return (run.join(totals, CHUNK).withColumn(out, F.col("_in") + F.col("_off"))
+            .drop(CHUNK, "_in", "_off"))

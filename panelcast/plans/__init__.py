@@ -1,7 +1,8 @@
 """Named queries over the panel, grouped as in the operator modules."""
 import importlib
 
-GROUPS = ["sources", "calendar", "cleaning", "weekly", "lags", "climatology", "indices"]
+GROUPS = ["sources", "calendar", "cleaning", "weekly", "lags", "climatology", "indices",
+          "splits", "weights", "metrics", "blend"]
 
 
 def load():

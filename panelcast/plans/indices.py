@@ -244,13 +244,17 @@ def feat_pool(spark, d):
     return cl.season_scalars(cl.region_scalars(f, pool(w)), pool(w))
 
 
-@query("filt_nonkey", "column_name:s",
-       "SELECT unnest(" + str([f"{c}_{s}" for c in CHANNELS for s in ("mean", "std", "min", "max", "sum", "p95")]) + ") AS column_name")
+STATCOLS = [f"{c}_{s}" for c in CHANNELS for s in ("mean", "std", "min", "max", "sum", "p95")]
+
+
+@query("filt_nonkey", "column_name:s n_values:i",
+       " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values FROM wk" for c in STATCOLS))
 def filt_nonkey(spark, d):
-    """Feature names of the weekly table, one row per name that survives."""
-    cols = ix.feature_columns(weekly(spark, d))
-    kept = weekly(spark, d).select(*cols).limit(1)
-    return kept.select(F.explode(F.lit(kept.columns)).alias("column_name"))
+    """Values per feature column once keys and targets are left out."""
+    w = weekly(spark, d)
+    cols = ix.feature_columns(w)
+    counts = w.agg(*[F.count(c).alias(c) for c in cols])
+    return counts.unpivot([], cols, "column_name", "n_values")
 
 
 @query("idx_eda_signals", "region_id:s day_idx:i vpd_anom prec_deficit dry_day:i", """

@@ -70,5 +70,20 @@ anc AS (
   SELECT region_id, week_idx, month, doy, doy366, woy, woy1, ord, score, prec_sum, prec_mean, tmp_max_mean,
     {", ".join(f"lead(score,{h}) OVER w AS target_w{h}" for h in HORIZONS)}
   FROM wk WINDOW w AS (PARTITION BY region_id ORDER BY week_idx)
-  QUALIFY week_idx BETWEEN 12 AND max(week_idx) OVER (PARTITION BY region_id) - 5)
+  QUALIFY week_idx BETWEEN 12 AND max(week_idx) OVER (PARTITION BY region_id) - 5),
+clus AS (
+  SELECT region_id, avg(score) AS score_mean, CAST(floor(avg(score)*2) AS BIGINT) AS region_cluster_id
+  FROM wk GROUP BY 1 HAVING CAST(substr(region_id, 2) AS INT) % 7 <> 3),
+al AS (
+  SELECT a.region_id, a.week_idx, a.ord, a.month, a.score, horizon, truth, CAST(a.score AS DOUBLE) p_a, r.m p_b,
+    0.5*a.score + 0.5*s.m p_c, coalesce(region_cluster_id, -1) cluster_id
+  FROM (SELECT *, unnest([1,2,3,4,5]) horizon,
+          unnest([target_w1,target_w2,target_w3,target_w4,target_w5]) truth FROM anc) a
+  JOIN (SELECT region_id, avg(score) m FROM wk GROUP BY 1) r USING (region_id)
+  JOIN (SELECT region_id, month, avg(score) m FROM wk GROUP BY 1, 2) s USING (region_id, month)
+  LEFT JOIN clus USING (region_id)),
+mem AS (
+  SELECT 'a' AS member, region_id, week_idx, horizon, p_a AS pred, truth FROM al
+  UNION ALL SELECT 'b', region_id, week_idx, horizon, p_b, truth FROM al
+  UNION ALL SELECT 'c', region_id, week_idx, horizon, p_c, truth FROM al)
 """
