@@ -56,3 +56,13 @@ def transform_named(kind, col):
     if kind not in TRANSFORMS:
         raise ValueError(f"unknown transform {kind!r}")
     return TRANSFORMS[kind](col)
+
+
+def corr_sql(x, y):
+    """Pairwise correlation as SQL text; null when a side is constant."""
+    a, b = f"CASE WHEN {y} IS NOT NULL THEN {x} END", f"CASE WHEN {x} IS NOT NULL THEN {y} END"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({a}) * stddev_pop({b}))"
+
+
+def corr(x, y):
+    return F.expr(corr_sql(x, y))

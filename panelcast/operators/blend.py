@@ -1,10 +1,13 @@
 """Alignment, weighting and correction of prediction tables."""
 from functools import reduce
 
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from panelcast.config import HORIZONS, KEY, WEEK
-from panelcast.functions.scalars import clip
+from panelcast.functions.scalars import clip, corr
 
 PRED = [f"pred_week{h}" for h in HORIZONS]
 # Member shares of the blend and its two published shrink factors.
@@ -50,21 +53,22 @@ def mean_of_members(long):
     return long.groupBy(KEY, WEEK, "horizon").agg(F.avg("pred").alias("pred"), F.max("truth").alias("truth"))
 
 
-def _error_sql(names, weights):
-    return "abs(" + " + ".join(f"{float(w)!r}D * p_{n}" for n, w in zip(names, weights)) + " - truth)"
-
-
 def score_weights(aligned, names, weight_rows):
     """Cluster-averaged and macro error of every weight row, from one pass over the table.
 
-    Each weight row is one sum column of a single aggregation by (cluster, horizon); what
-    follows works on that small table.
+    Each row of the table becomes one vector with its error under every weight row; the
+    vectors are summed per (cluster, horizon), so the table is never multiplied by the
+    number of weight rows.
     """
-    sums = [F.expr(f"sum({_error_sql(names, w)}) AS s{i}") for i, w in enumerate(weight_rows)]
-    cells = aligned.groupBy("cluster_id", "horizon").agg(F.count("*").alias("n"), *sums)
-    pairs = ", ".join(f"named_struct('i', {i}, 's', s{i})" for i in range(len(weight_rows)))
-    long = cells.selectExpr("cluster_id", "horizon", "n", f"explode(array({pairs})) AS x").selectExpr(
-        "cluster_id", "horizon", "n", "x.i AS weight_id", "x.s AS s")
+    columns = [F.lit(np.array([float(w[i]) for w in weight_rows])) for i in range(len(names))]
+    table = F.arrays_zip(*[c.alias(n) for c, n in zip(columns, names)])
+    def errors(w):
+        blend = reduce(lambda a, b: a + b, [w[n] * F.col(f"p_{n}") for n in names])
+        return F.abs(blend - F.col("truth"))
+    summed = Summarizer.sum(array_to_vector(F.transform(table, errors)))
+    cells = aligned.groupBy("cluster_id", "horizon").agg(F.count("*").alias("n"), summed.alias("s"))
+    long = cells.select("cluster_id", "horizon", "n",
+                        F.posexplode(vector_to_array("s")).alias("weight_id", "s"))
     per_cluster = long.filter("cluster_id >= 0").groupBy("weight_id", "cluster_id").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
     by_cluster = per_cluster.groupBy("weight_id").agg(F.avg("m").alias("cluster_mae"))
     per_horizon = long.groupBy("weight_id", "horizon").agg((F.sum("s") / F.sum("n")).alias("m"))
@@ -113,7 +117,7 @@ def hill_climb(aligned, names, step=0.02, max_steps=200, objective="cluster_mae"
 def member_correlations(aligned, names):
     """Correlation of every pair of members, averaged over the horizons."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    per = aligned.groupBy("horizon").agg(*[F.corr(f"p_{a}", f"p_{b}").alias(f"c_{a}__{b}") for a, b in pairs])
+    per = aligned.groupBy("horizon").agg(*[corr(f"p_{a}", f"p_{b}").alias(f"c_{a}__{b}") for a, b in pairs])
     one = per.agg(*[F.avg(f"c_{a}__{b}").alias(f"c_{a}__{b}") for a, b in pairs])
     rows = F.array(*[F.struct(F.lit(a).alias("member_a"), F.lit(b).alias("member_b"), F.col(f"c_{a}__{b}").alias("corr"))
                      for a, b in pairs])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelcast.config import HORIZONS, KEY, WEEK, WEEK_CHUNK
 from panelcast.functions import ranks
 from panelcast.functions.chunks import chunked, frame, owned
-from panelcast.functions.scalars import clip
+from panelcast.functions.scalars import clip, corr
 from panelcast.operators.cleaning import attach
 
 
@@ -170,4 +170,4 @@ def compare_predictions(a, b, keys=(KEY, WEEK, "horizon")):
     j = a.select(*keys, F.col("pred").alias("x")).join(b.select(*keys, F.col("pred").alias("y")), list(keys))
     diff = F.abs(F.col("x") - F.col("y"))
     return j.agg(F.count("*").alias("n"), F.max(diff).alias("max_abs"), F.avg(diff).alias("mean_abs"),
-                 F.corr("x", "y").alias("corr"))
+                 corr("x", "y").alias("corr"))
