@@ -54,38 +54,48 @@ def _bucket(borders):
     return out
 
 
-def running_counts(counts, borders, by=(), measures=("n",)):
-    """Add, per measure, `<m>_upto` (rows with value <= v) and `<m>_all` (rows in the group)."""
-    group = [*by, "channel"]
-    cut = counts.withColumn("_b", _bucket(borders))
-    inside = Window.partitionBy(*group, "_b").orderBy("v").rowsBetween(
-        Window.unboundedPreceding, 0)
+def _bucket_offsets(cut, group, measures):
+    """Per (group, bucket): rows before it `_o_<m>`, rows in it `_s_<m>`, rows of the group `<m>_all`."""
     earlier = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    run = cut.withColumns({f"_run_{m}": F.sum(m).over(inside) for m in measures})
-    offsets = run.groupBy(*group, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
-    offsets = offsets.select(
-        *group, "_b",
+    sums = cut.groupBy(*group, "_b").agg(*[F.sum(m).alias(f"_s_{m}") for m in measures])
+    return sums.select(
+        *group, "_b", *[f"_s_{m}" for m in measures],
         *[F.coalesce(F.sum(f"_s_{m}").over(earlier), F.lit(0)).alias(f"_o_{m}") for m in measures],
         *[F.sum(f"_s_{m}").over(whole).alias(f"{m}_all") for m in measures])
-    joined = run.join(offsets, [*group, "_b"])
-    for m in measures:
-        joined = joined.withColumn(f"{m}_upto", F.col(f"_run_{m}") + F.col(f"_o_{m}"))
-    return joined.drop("_b", *[f"_run_{m}" for m in measures], *[f"_o_{m}" for m in measures])
+
+
+def _run(cut, offsets, group, measures):
+    inside = Window.partitionBy(*group, "_b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    joined = cut.join(offsets.drop(*[f"_s_{m}" for m in measures]), [*group, "_b"])
+    upto = {f"{m}_upto": F.sum(m).over(inside) + F.col(f"_o_{m}") for m in measures}
+    return joined.withColumns(upto).drop("_b", *[f"_o_{m}" for m in measures])
+
+
+def running_counts(counts, borders, by=(), measures=("n",)):
+    """Add, per measure, `<m>_upto` (rows with value <= v) and `<m>_all` (rows in the group)."""
+    group = [*by, "channel"]
+    cut = counts.withColumn("_b", _bucket(borders))
+    return _run(cut, _bucket_offsets(cut, group, measures), group, measures)
 
 
 def exact_quantiles(df, cols, probs, by=(), borders=None):
     """Long table (by.., channel, q, value): linearly interpolated quantiles, nulls skipped.
 
-    `q` is the index of the probability in `probs`.
+    `q` is the index of the probability in `probs`. Only the buckets that hold a wanted rank
+    are sorted; the others are counted.
     """
     borders = borders or bucket_borders(df, cols)
-    runs = running_counts(value_counts(df, cols, by), borders, by)
-    last = F.col("n_all") - 1
+    group = [*by, "channel"]
+    cut = value_counts(df, cols, by).withColumn("_b", _bucket(borders))
+    offsets = _bucket_offsets(cut, group, ("n",))
+    last, low = F.col("n_all") - 1, F.col("_o_n")
+    levels = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    def inside(x):
+        return ((F.ceil(x["p"] * last) >= low) & (F.floor(x["p"] * last) < low + F.col("_s_n")))
+    runs = _run(cut, offsets.filter(F.exists(levels, inside)), group, ("n",))
     first, end = F.col("n_upto") - F.col("n"), F.col("n_upto")
-    levels = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p"))
-                       for i, p in enumerate(probs)])
-    return _pick_ranks(runs, levels, first, end, last, [*by, "channel"])
+    return _pick_ranks(runs, levels, first, end, last, group)
 
 
 def exact_quantile_grid(df, cols, n, borders=None):

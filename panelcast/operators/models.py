@@ -19,15 +19,7 @@ from panelcast.functions.scalars import clip
 from panelcast.operators.cleaning import attach
 from panelcast.operators.splits import hashed_share
 from panelcast.operators.weights import density_ratio, with_unit_mean
-from panelcast.sources.files import fresh
-
-
-def store(df, name):
-    """Write a table to the shared folder and read it back, so later fits start from files."""
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+from panelcast.sources.files import store
 
 
 def assemble(df, cols, out="features"):

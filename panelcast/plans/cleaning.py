@@ -7,20 +7,20 @@ from panelcast.functions.scalars import sanitize
 from panelcast.operators import cleaning as cl
 from panelcast.operators.rolling import last_weeks, weekly_frames
 from panelcast.plans.base import query
-from panelcast.plans.inputs import test, train, weekly
+from panelcast.plans.inputs import stored_train, test, train, weekly
 
 ROW = "region_id:s day_idx:i " + " ".join(CHANNELS)
 
 
 def fitted(spark, d):
-    t = train(spark, d)
+    t = stored_train(spark, d)
     cut = ranks.bucket_borders(t, CHANNELS)
     return (t, cl.region_medians(t, borders=cut), cl.global_medians(t, borders=cut),
             cl.winsor_bounds(t, borders=cut))
 
 
 def imputed(spark, d):
-    t = train(spark, d)
+    t = stored_train(spark, d)
     cut = ranks.bucket_borders(t, CHANNELS)
     return cl.impute(t, cl.region_medians(t, borders=cut), cl.global_medians(t, borders=cut))
 
@@ -46,12 +46,12 @@ def transformed(src, which):
 @query("prep_winsor_fit", "channel:s lo hi", " UNION ALL ".join(
     f"SELECT '{c}' AS channel, quantile_cont({c}, 0.01) lo, quantile_cont({c}, 0.99) hi FROM train" for c in CHANNELS))
 def prep_winsor_fit(spark, d):
-    return cl.winsor_bounds(train(spark, d))
+    return cl.winsor_bounds(stored_train(spark, d))
 
 
 @query("prep_winsor_apply", ROW, CLIPPED("SELECT * FROM train"))
 def prep_winsor_apply(spark, d):
-    t = train(spark, d)
+    t = stored_train(spark, d)
     return cl.winsorize(t, cl.winsor_bounds(t))
 
 
@@ -69,7 +69,7 @@ def prep_transform(spark, d):
 @query("prep_impute_fit", "region_id:s " + " ".join(f"{c}_med" for c in CHANNELS),
        f"{MEDS} UNION ALL SELECT 'GLOBAL' AS region_id, * FROM ({GMEDS})")
 def prep_impute_fit(spark, d):
-    return cl.imputation_table(train(spark, d))
+    return cl.imputation_table(stored_train(spark, d))
 
 
 @query("prep_impute_apply", ROW, IMPUTED)
@@ -89,7 +89,7 @@ def anchors_sql(c):
 @query("prep_rank_fit", "channel:s q:i value",
        " UNION ALL ".join(f"SELECT '{c}' AS channel, q, value FROM ({anchors_sql(c)})" for c in RANK_CHANNELS))
 def prep_rank_fit(spark, d):
-    return cl.rank_anchors(train(spark, d), test(spark, d), RANK_CHANNELS)
+    return cl.rank_anchors(stored_train(spark, d), test(spark, d), RANK_CHANNELS)
 
 
 def ranked_sql(src, channels):
@@ -104,7 +104,7 @@ def ranked_sql(src, channels):
 @query("prep_rank_apply", "region_id:s day_idx:i " + " ".join(RANK_CHANNELS),
        ranked_sql("SELECT * FROM train", RANK_CHANNELS))
 def prep_rank_apply(spark, d):
-    t = train(spark, d)
+    t = stored_train(spark, d)
     return cl.rank_normalize(t, cl.rank_anchors(t, test(spark, d), RANK_CHANNELS), RANK_CHANNELS)
 
 

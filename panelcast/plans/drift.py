@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from panelcast.config import CHANNELS, HORIZONS
 from panelcast.operators import drift as dr, gaps, indices as ix, lags as lg
 from panelcast.plans.base import query
-from panelcast.plans.inputs import anchors, gapped_train, test, train, weekly
-from panelcast.sources.files import scored_rows
+from panelcast.plans.inputs import anchors, gapped_train, stored_train, test, train, weekly
+from panelcast.operators.weekly import weekly_blocks
+from panelcast.sources.files import scored_rows, store
 from panelcast.sources.panel import table
 
 PAIRS = [(a, b) for i, a in enumerate(CHANNELS) for b in CHANNELS[i + 1:]]
@@ -167,7 +168,7 @@ SELECT '{c}' AS channel, p1, p99, min({c}) AS min, max({c}) AS max, count(*) FIL
   100*count(*) FILTER ({c} < p1)/count({c}) pct_below, 100*count(*) FILTER ({c} > p99)/count({c}) pct_above, count(*) - count({c}) n_null
 FROM train CROSS JOIN (SELECT quantile_cont({c}, 0.01) p1, quantile_cont({c}, 0.99) p99 FROM train) GROUP BY p1, p99""" for c in CHANNELS))
 def eda_outliers(spark, d):
-    return dr.outliers(train(spark, d), CHANNELS)
+    return dr.outliers(stored_train(spark, d), CHANNELS)
 
 
 @query("eda_extremes", "channel:s side:s rank:i region_id:s day_idx:i value", " UNION ALL ".join(f"""
@@ -175,7 +176,7 @@ SELECT '{c}' AS channel, '{side}' AS side, row_number() OVER (ORDER BY {c} {o},
 FROM train WHERE {c} IS NOT NULL QUALIFY rank <= {k}""" for c in CHANNELS for side, o, k in (("above", "DESC", 3), ("below", "ASC", 2))))
 def eda_extremes(spark, d):
     """Top-k rows per channel, a report."""
-    return dr.extremes(train(spark, d), CHANNELS)
+    return dr.extremes(stored_train(spark, d), CHANNELS)
 
 
 @query("eda_shape", "channel:s n:i skew kurt_excess recommended:s", " UNION ALL ".join(f"""
@@ -196,13 +197,13 @@ def ks_sql(c):
        "SELECT channel, ks, mean_delta, train_median, test_median, ks > 0.1 AS alert FROM (" + " UNION ALL ".join(
            ks_sql(c).replace(", ks > 0.1 AS alert", "") for c in CHANNELS) + ")")
 def eda_ks(spark, d):
-    return dr.ks_distance(train(spark, d), test(spark, d), CHANNELS)
+    return dr.ks_distance(stored_train(spark, d), store(test(spark, d), "test"), CHANNELS)
 
 
 @query("eda_offset", "channel:s offset_", " UNION ALL ".join(
     f"SELECT '{c}' AS channel, (SELECT quantile_cont({c}, 0.5) FROM test) - (SELECT quantile_cont({c}, 0.5) FROM train) AS offset_" for c in CHANNELS))
 def eda_offset(spark, d):
-    return dr.median_offsets(train(spark, d), test(spark, d), CHANNELS).withColumnRenamed("offset", "offset_")
+    return dr.median_offsets(stored_train(spark, d), test(spark, d), CHANNELS).withColumnRenamed("offset", "offset_")
 
 
 @query("eda_offset_top", "channel:s offset_", "SELECT * FROM (" + " UNION ALL ".join(
@@ -324,7 +325,8 @@ def eda_feature_target(spark, d):
 
 @query("eda_summary", "section:s metric:s key:s value")
 def eda_summary(spark, d):
-    t, s, w = train(spark, d), scored(spark, d), weekly(spark, d)
+    t = stored_train(spark, d)
+    s, w = scored_rows(t), weekly_blocks(t, keep=["score"])
     return dr.findings({
         "missing": (dr.missing(t, COLS), ["column_name"]), "uniform": (dr.uniformity(t), []),
         "score": (dr.score_distribution(s), ["score"]), "score_summary": (dr.score_summary(s), []),

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions.calendar import region_number
 from panelcast.operators import lags, metrics, weekly as wk
+from panelcast.sources.files import store
 from panelcast.sources.panel import calendar_panel, gapped_train_part, test_part, train_part
 
 
@@ -14,6 +15,11 @@ def test(spark, d):
     return test_part(calendar_panel(spark, d))
 
 
+def stored_train(spark, d):
+    """Train part written once, for queries that pass over it several times."""
+    return store(train(spark, d), "train")
+
+
 def gapped_train(spark, d):
     return gapped_train_part(calendar_panel(spark, d))
 

@@ -11,13 +11,17 @@ from panelcast.functions.scalars import clip, nan_to_null
 
 
 def workspace(spark, name):
-    """Folder for written tables: the shared one the session names, else a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder for written tables: the shared folder the session names.
+
+    Only a local session without one gets a temporary folder; a cluster must name a folder
+    that all its machines see.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("panelcast.workspace", None)
     if not root:
-        root = spark.conf.get("panelcast.workspace", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="panelcast-")
-            spark.conf.set("panelcast.workspace", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+        root = tempfile.mkdtemp(prefix="panelcast-")
+        spark.conf.set("panelcast.workspace", root)
     return f"{root.rstrip('/')}/panelcast/{name}"
 
 
@@ -25,6 +29,18 @@ def fresh(spark, name):
     return f"{workspace(spark, name)}-{uuid.uuid4().hex}"
 
 
+def store(df, name):
+    """Write a table to the shared folder and read it back.
+
+    For a table that several passes read: they start from files instead of computing it
+    again, and a lost executor costs no more than its own tasks.
+    """
+    spark = df.sparkSession
+    path = fresh(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def panel_schema(channels=CHANNELS, scored=True):
     fields = [T.StructField("region_id", T.StringType()), T.StructField("date", T.StringType())]
     fields += [T.StructField(c, T.DoubleType()) for c in channels]
