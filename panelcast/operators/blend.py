@@ -90,7 +90,9 @@ def named_weights(spark, names, weight_rows):
 def grid_search(aligned, names, weight_rows, objective="cluster_mae", top=15):
     scored = score_weights(aligned, names, weight_rows)
     table = named_weights(aligned.sparkSession, names, weight_rows)
-    return scored.join(table, "weight_id").orderBy(objective, "weight_id").limit(top)
+    # errors that differ only in the last bits count as equal
+    rounded = F.floor(F.col(objective) * 1e9 + 0.5)
+    return scored.join(table, "weight_id").orderBy(rounded, "weight_id").limit(top)
 
 
 def hill_climb(aligned, names, step=0.02, max_steps=200, objective="cluster_mae"):

@@ -5,7 +5,7 @@ functions/ranks.py, and per-region statistics are aggregates of chunked windows.
 """
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Window, functions as F, types as T
 
 from panelcast.config import CHANNELS, HORIZONS, KEY, WEEK, WEEK_CHUNK
 from panelcast.functions import ranks
@@ -74,7 +74,7 @@ def first_low_lag(acf, limit=0.05):
     return F.get(low, F.lit(0))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def partial_autocorrelation(acf: pd.Series) -> pd.Series:
     """Durbin-Levinson recursion on each array of autocorrelations."""
     def one(r):
