@@ -4,15 +4,15 @@ from pyspark.sql import functions as F
 from panelcast.functions.calendar import region_number
 from panelcast.operators import lags, metrics, weekly as wk
 from panelcast.sources.files import store
-from panelcast.sources.panel import calendar_panel, gapped_train_part, test_part, train_part
+from panelcast.sources.panel import gapped_train_part, test_part, train_part
 
 
 def train(spark, d):
-    return train_part(calendar_panel(spark, d))
+    return train_part(spark, d)
 
 
 def test(spark, d):
-    return test_part(calendar_panel(spark, d))
+    return test_part(spark, d)
 
 
 def stored_train(spark, d):
@@ -21,7 +21,7 @@ def stored_train(spark, d):
 
 
 def gapped_train(spark, d):
-    return gapped_train_part(calendar_panel(spark, d))
+    return gapped_train_part(train_part(spark, d))
 
 
 def weekly(spark, d):

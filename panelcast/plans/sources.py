@@ -8,7 +8,7 @@ from panelcast.plans.base import query
 from panelcast.plans.inputs import anchors, test, train, weekly
 from panelcast.plans.prefix import _CH
 from panelcast.sources import files
-from panelcast.sources.panel import calendar_panel, panel, table, train_part, training_history
+from panelcast.sources.panel import panel, table, training_history
 
 PANEL_COLS = "region_id:s day_idx:i date:s " + " ".join(CHANNELS) + " score:i"
 PRED_COLS = "region_id:s " + " ".join(f"pred_week{h}" for h in HORIZONS)
@@ -23,19 +23,19 @@ def src_panel(spark, d):
        f"SELECT region_id, date, {_CH}, score FROM train")
 def src_csv(spark, d):
     path = files.fresh(spark, "csv")
-    files.write_panel_csv(train_part(panel(spark, d)).drop("day_idx"), path)
+    files.write_panel_csv(train(spark, d).select("region_id", "date", *CHANNELS, "score"), path)
     return files.read_panel_csv(spark, path)
 
 
 @query("src_cols", "region_id:s date:s score:i", "SELECT region_id, date, score FROM train")
 def src_cols(spark, d):
-    return train_part(panel(spark, d)).select("region_id", "date", "score")
+    return train(spark, d).select("region_id", "date", "score")
 
 
 @query("src_scored", "region_id:s date:s score:i",
        "SELECT region_id, date, score FROM train WHERE score IS NOT NULL")
 def src_scored(spark, d):
-    return files.scored_rows(train_part(panel(spark, d))).select("region_id", "date", "score")
+    return files.scored_rows(train(spark, d)).select("region_id", "date", "score")
 
 
 @query("src_region_sample", "region_id:s n_rows:i")

@@ -1,4 +1,6 @@
 """Dense region x day panel from the star-schema tables, and its train and test parts."""
+from datetime import date, timedelta
+
 from pyspark.sql import Window, functions as F
 
 from panelcast.config import CHANNELS, DAYS_PER_WEEK
@@ -16,39 +18,47 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def daily_observations(spark, sf_dir):
-    """Per (nation, day) sums of line items.
+def _between_days(items, first, end):
+    """Ship dates of days first .. end-1, as a range the parquet scan can use."""
+    kind = items.schema["l_shipdate"].dataType
+    start = date.fromisoformat(START)
+    low, high = (F.lit((start + timedelta(days=d)).isoformat()).cast(kind) for d in (first, end))
+    return items.filter((F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high))
+
+
+def daily_observations(spark, sf_dir, first=0, end=DAYS):
+    """Per (nation, day) sums of line items of the days first .. end-1.
 
-    Line items are summed per (supplier, day) before they meet the supplier table, so a
-    supplier with very many line items reaches the join as one row per day.
+    The supplier side joins on its key and is broadcast only when its measured size allows;
+    otherwise the join shuffles and the engine splits oversized supplier keys at run time.
+    Line items are summed map-side before the (nation, day) shuffle, which spreads a nation
+    over its days.
     """
     day = F.datediff(F.to_date("l_shipdate"), F.lit(START).cast("date")).cast("bigint")
-    items = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", day.alias("day_idx")).agg(
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    items = _between_days(table(spark, sf_dir, "lineitem"), first, end).join(supplier, "l_suppkey")
+    return items.groupBy("s_nationkey", day.alias("day_idx")).agg(
         F.count("*").alias("n"),
         F.sum("l_quantity").alias("qty"),
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("cents"),
+        F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("cents"),
         F.max("l_extendedprice").alias("hi"), F.min("l_extendedprice").alias("lo"),
-        F.sum(F.round(F.col("l_discount") * 100).cast("bigint")).alias("disc"),
+        F.sum(F.floor(F.col("l_discount") * 100 + 0.5)).alias("disc"),
         F.sum(F.col("l_orderkey") % 1000).alias("okey"),
         F.sum("l_partkey").alias("pkey"))
-    supplier = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    return items.join(supplier, "l_suppkey").groupBy("s_nationkey", "day_idx").agg(
-        *[F.sum(c).alias(c) for c in ("n", "qty", "cents", "disc", "okey", "pkey")],
-        F.max("hi").alias("hi"), F.min("lo").alias("lo"))
 
 
-def spine(entities, key, days):
-    """Every entity with every day index 0 .. days-1."""
-    return entities.select(key, F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day_idx")) \
-        .withColumn("day_idx", F.col("day_idx").cast("bigint"))
+def spine(entities, key, first, end):
+    """Every entity with every day index first .. end-1."""
+    days = F.explode(F.sequence(F.lit(first), F.lit(end - 1)))
+    return entities.select(key, days.alias("day_idx")).withColumn("day_idx", F.col("day_idx").cast("bigint"))
 
 
-def panel(spark, sf_dir):
-    """Columns region_id, day_idx, date, the nine channels and the weekly score."""
-    seen = daily_observations(spark, sf_dir)
+def panel(spark, sf_dir, first=0, end=DAYS):
+    """Columns region_id, day_idx, date, the nine channels and the weekly score, for the days
+    first .. end-1. Both are multiples of seven, so every score sees its whole week."""
+    seen = daily_observations(spark, sf_dir, first, end)
     entities = table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
-    dense = spine(entities, "s_nationkey", DAYS).join(seen, ["s_nationkey", "day_idx"], "left")
+    dense = spine(entities, "s_nationkey", first, end).join(seen, ["s_nationkey", "day_idx"], "left")
     n = F.col("n")
     dense = dense.select(
         F.concat(F.lit("R"), F.col("s_nationkey").cast("string")).alias("region_id"), "day_idx",
@@ -67,16 +77,18 @@ def panel(spark, sf_dir):
     return dense.withColumn("score", score).select("region_id", "day_idx", "date", *CHANNELS, "score")
 
 
-def calendar_panel(spark, sf_dir):
-    return with_calendar(panel(spark, sf_dir))
+def calendar_panel(spark, sf_dir, first=0, end=DAYS):
+    return with_calendar(panel(spark, sf_dir, first, end))
 
 
-def train_part(df):
-    return df.filter(F.col("day_idx") < TRAIN_DAYS)
+def train_part(spark, sf_dir):
+    """All but the last thirteen weeks."""
+    return calendar_panel(spark, sf_dir, 0, TRAIN_DAYS)
 
 
-def test_part(df):
-    return (df.filter(F.col("day_idx") >= TRAIN_DAYS)
+def test_part(spark, sf_dir):
+    """The last thirteen weeks, days counted from 0, without scores."""
+    return (calendar_panel(spark, sf_dir, TRAIN_DAYS, DAYS)
             .withColumn("day_idx", F.col("day_idx") - TRAIN_DAYS)
             .withColumn("score", F.lit(None).cast("bigint")))
 
