@@ -100,13 +100,16 @@ PET = {"hargreaves": "(tmp_mean+17.8)*sqrt(CASE WHEN tmp_max_mean IS NOT NULL TH
        "vpd": "CASE WHEN tmp_mean IS NOT NULL THEN greatest(tmp_mean-wb_tmp_mean, 0) END*7", "none": "0"}
 
 
+UNIT = {"hargreaves": 1000, "vpd": 1, "none": 1}
+
+
 @query("idx_pet", WK + " ".join(f"pet_{m} d_{m}" for m in PET),
-       "SELECT region_id, week_idx, " + ", ".join(f"{e}/1000 pet_{m}, (prec_sum - {e})/1000 d_{m}" for m, e in PET.items()) + " FROM wk")
+       "SELECT region_id, week_idx, " + ", ".join(f"{e}/{UNIT[m]} pet_{m}, (prec_sum - {e})/{UNIT[m]} d_{m}" for m, e in PET.items()) + " FROM wk")
 def idx_pet(spark, d):
-    """The three evaporation models, in thousands."""
+    """The three evaporation models; the large temperature-based one in thousands."""
     out = weekly(spark, d)
     for m in PET:
-        out = (ix.with_balance(out, m).withColumns({f"pet_{m}": F.col("PET") / 1000, f"d_{m}": F.col("D") / 1000})
+        out = (ix.with_balance(out, m).withColumns({f"pet_{m}": F.col("PET") / UNIT[m], f"d_{m}": F.col("D") / UNIT[m]})
                .drop("P", "PET", "D"))
     return out
 
@@ -182,10 +185,9 @@ def idx_multi_test(spark, d):
 
 
 @query("idx_interact", WK + "int_hot_dry int_prec_humid", """
-SELECT region_id, week_idx, tmp_max_mean*(1-humidity_mean)/1000 int_hot_dry, prec_mean*humidity_mean int_prec_humid FROM wk""")
+SELECT region_id, week_idx, tmp_max_mean*(1-humidity_mean) int_hot_dry, prec_mean*humidity_mean int_prec_humid FROM wk""")
 def idx_interact(spark, d):
-    out = weekly(spark, d).withColumns(ix.interactions("_mean"))
-    return out.withColumn("int_hot_dry", F.col("int_hot_dry") / 1000)
+    return weekly(spark, d).withColumns(ix.interactions("_mean"))
 
 
 EXTRA = WOY_COLS + [f"anom_{c}" for c in ANOMALY_CHANNELS] + [f"slope{n}_{b}" for b in TREND_COLUMNS for n in (4, 8)] + ["int_hot_dry", "int_prec_humid"]
