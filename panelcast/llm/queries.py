@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 import public_tokenizers
 
-from panelcast.llm import bpe, decontamination, suffix_dedup, token_files
+from panelcast.llm import bpe, dart_minhash, decontamination, suffix_dedup, token_files
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -21,6 +21,11 @@ def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_dart_minhash(spark, sf_dir):
+    return dart_minhash.classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     found = decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
