@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 import public_tokenizers
 
-from panelcast.llm import bpe, dart_minhash, decontamination, near_vectors, suffix_dedup, token_files
+from panelcast.llm import bpe, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -37,6 +37,12 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM v JOIN comp ON vec_id = comp.x LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON vec_id = l.x"""
 
 
+@query
+def op3_toxicity(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS junk", "toxic")
+    return toxicity.classify(table(spark, sf_dir, "documents"), labels)
+
+
 @query
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
@@ -47,6 +53,11 @@ def op5_dart_minhash(spark, sf_dir):
     return dart_minhash.classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_resampling(spark, sf_dir):
+    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_decontamination(spark, sf_dir):
     found = decontamination.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
