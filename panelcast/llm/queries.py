@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 import public_tokenizers
 
-from panelcast.llm import bpe, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity
+from panelcast.llm import bpe, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity, url_templates
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -37,6 +37,15 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM v JOIN comp ON vec_id = comp.x LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON vec_id = l.x"""
 
 
+@query
+def op2_url_templates(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "1 - quality AS bad")
+    return url_templates.judge(table(spark, sf_dir, "pages"), labels)
+
+
+SQL["op2_url_templates"] = url_templates.oracle()
+
+
 @query
 def op3_toxicity(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").selectExpr("doc_id", "1 - quality AS junk", "toxic")
