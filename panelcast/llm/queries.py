@@ -1,7 +1,7 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 import public_tokenizers
 
-from panelcast.llm import bpe, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity, url_templates
+from panelcast.llm import bpe, chaining, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity, url_templates
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -83,3 +83,8 @@ def op9_token_files(spark, sf_dir):
     folder = fresh(spark, "token_ids")
     token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
     return token_files.read(spark, folder)
+
+
+@query
+def op10_chaining(spark, sf_dir):
+    return chaining.report(table(spark, sf_dir, "documents"))

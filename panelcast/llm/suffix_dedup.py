@@ -26,18 +26,6 @@ from panelcast.llm import words as W
 from panelcast.sources.files import store
 
 GRAM = 40
-TOP = np.uint64(2**64 - 1)
-
-
-def sliding(x, width, op, fill):
-    """op over x[i:i + width] for each i where it fits."""
-    n = len(x)
-    padded = np.full(-(-n // width) * width, fill, x.dtype)
-    padded[:n] = x
-    blocks = padded.reshape(-1, width)
-    before = op.accumulate(blocks, axis=1).ravel()
-    after = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(after[:n - width + 1], before[width - 1:n])
 
 
 def anchors(data, offsets, length):
@@ -45,24 +33,10 @@ def anchors(data, offsets, length):
     n, empty = len(data), [np.zeros(0, np.int64)] * 6
     if n < length:
         return empty
-    width, starts, ends = length - GRAM + 1, offsets[:-1], offsets[1:]
     sums = W.prefix_sums(data)
     i = np.arange(n - GRAM + 1)
-    grams = np.clip(W.span_hashes(sums, i, i + GRAM), np.uint64(1), TOP - np.uint64(1))
-
-    def crossing(size, count):
-        """Places from which `size` bytes reach beyond their row."""
-        step = np.zeros(n + 1, np.int32)
-        np.add.at(step, np.maximum(starts, ends - size + 1), 1)
-        np.add.at(step, ends, -1)
-        return np.cumsum(step)[:count] > 0
-
-    grams[crossing(GRAM, len(grams))] = TOP
-    least = sliding(grams, width, np.minimum, TOP)
-    least[crossing(length, len(least))] = 0
-    edge = np.zeros(width - 1, np.uint64)
-    chosen = sliding(np.concatenate((edge, least, edge)), width, np.maximum, np.uint64(0))
-    place = np.flatnonzero((chosen == grams) & (grams != TOP))
+    grams = W.span_hashes(sums, i, i + GRAM)
+    place = W.window_minima(grams, offsets, GRAM, length)
     row = np.searchsorted(offsets, place, "right") - 1
     low = np.maximum(offsets[row], place - (length - GRAM))
     high = np.minimum(offsets[row + 1], place + length)

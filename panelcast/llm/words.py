@@ -137,6 +137,45 @@ def shingle_hashes(words, first, size):
     return mix(total), out_first
 
 
+def sliding(x, width, op, fill):
+    """op over x[i:i + width] for each i where it fits."""
+    n = len(x)
+    padded = np.full(-(-n // width) * width, fill, x.dtype)
+    padded[:n] = x
+    blocks = padded.reshape(-1, width)
+    before = op.accumulate(blocks, axis=1).ravel()
+    after = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return op(after[:n - width + 1], before[width - 1:n])
+
+
+def window_minima(grams, offsets, gram, length):
+    """Places of the least gram hashes: each window of `length` units inside a row has the least of its grams chosen.
+
+    grams[i] is the hash of units i..i + gram - 1 of the concatenated rows; equal least hashes of a
+    window are all chosen, so the choice depends on the window's content alone.
+    """
+    top = np.uint64(2**64 - 1)
+    n, width = int(offsets[-1]), length - gram + 1
+    if n < length:
+        return np.zeros(0, np.int64)
+    starts, ends = offsets[:-1], offsets[1:]
+
+    def crossing(size, count):
+        """Places from which `size` units reach beyond their row."""
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, np.maximum(starts, ends - size + 1), 1)
+        np.add.at(step, ends, -1)
+        return np.cumsum(step)[:count] > 0
+
+    grams = np.clip(grams, np.uint64(1), top - np.uint64(1))
+    grams[crossing(gram, len(grams))] = top
+    least = sliding(grams, width, np.minimum, top)
+    least[crossing(length, len(least))] = 0
+    edge = np.zeros(width - 1, np.uint64)
+    chosen = sliding(np.concatenate((edge, least, edge)), width, np.maximum, np.uint64(0))
+    return np.flatnonzero((chosen == grams) & (grams != top))
+
+
 def lists(values, first, kind=None):
     """Arrow list column with row borders `first`."""
     values = values if isinstance(values, pa.Array) else pa.array(values, kind)
