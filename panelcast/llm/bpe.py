@@ -12,7 +12,6 @@ import heapq
 import json
 import mmap
 import tempfile
-from array import array
 from collections import Counter
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from panelcast.llm import words as W
+from panelcast.llm import wordcodes as C, words as W
 
 #: Fixed value: the split of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,8 +50,6 @@ class Vocabulary:
         special = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self.pattern = regex.compile(SPLIT)
-        self.blank = regex.compile(r" \s")
-        self.spaced = [s for s in self.special if " " in s]
 
     def split(self, text):
         """Pre-tokens of a text; special tokens stand alone."""
@@ -60,18 +57,6 @@ class Vocabulary:
             return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self.pattern.findall(part))]
         return self.pattern.findall(text)
 
-    def chunks(self, text):
-        """Parts of a text whose pre-tokens, one part after another, are those of the text.
-
-        Before a single space inside the text a new pre-token always begins, and nothing left of it
-        depends on what follows, so a part is the text up to the next space with its space in front.
-        Only a space that white space or the end follows belongs to a longer run; such texts stay whole.
-        """
-        if text.endswith(" ") or self.blank.search(text) or any(s in text for s in self.spaced):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
-
     def merge(self, word):
         """Token ids of one pre-token: join the pair of least rank, the leftmost of equals, until none is left."""
         parts = [word[i:i + 1] for i in range(len(word))]
@@ -177,29 +162,31 @@ class Lexicon:
         starts, labels, self.targets, self.outputs, self.finals, self.borders, self.ids = parts
         self.arcs = np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * 256 + labels
 
-    def find(self, words):
-        """Token ids of each word, None for those not in the lexicon; all words take a step at a time."""
-        out = [None] * len(words)
-        if not words or not len(self.arcs):
+    def numbers(self, data, start, length):
+        """Number of each word data[start:start + length], -1 for those not in the lexicon; all take a step at a time."""
+        out = np.full(len(start), -1, np.int64)
+        if not len(self.arcs):
             return out
-        data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-        length = np.array([len(w) for w in words])
-        at = np.cumsum(length) - length
-        left = np.arange(len(words))
-        state, number = np.full(len(words), self.root), np.zeros(len(words), np.int64)
+        left, state, number = np.arange(len(start)), np.full(len(start), self.root), np.zeros(len(start), np.int64)
         step = 0
         while len(left):
             done = length[left] == step
-            for k, n in zip(left[done & (self.finals[state] == 1)].tolist(), number[done & (self.finals[state] == 1)].tolist()):
-                out[k] = self.ids[self.borders[n]:self.borders[n + 1]].tolist()
+            final = done & (self.finals[state] == 1)
+            out[left[final]] = number[final]
             left, state, number = left[~done], state[~done], number[~done]
-            key = state * 256 + data[at[left] + step]
+            key = state * 256 + data[start[left] + step]
             arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
             ok = self.arcs[arc] == key
             left, arc = left[ok], arc[ok]
             state, number, step = self.targets[arc].astype(np.int64), number[ok] + self.outputs[arc], step + 1
         return out
 
+    def find(self, number):
+        """Token ids of the words with these numbers, one after another, and how many each has."""
+        start = self.borders[number].astype(np.int64)
+        length = self.borders[number + 1] - start
+        return C.gather(self.ids, start, length)[0], length
+
 
 _held = {}
 
@@ -212,70 +199,102 @@ def _once(key, make):
 
 
 class Encoder:
-    """Encodes texts; keeps what recent words and parts of texts came to."""
-
-    KEPT = 300_000
+    """Encodes text columns, the plain rows with numpy and the others text by text; keeps the ids of recent words."""
 
     def __init__(self, path, block):
-        self.vocabulary = Vocabulary(path)
+        v = self.vocabulary = Vocabulary(path)
         self.lexicon = Lexicon(block)
-        self.words, self.chunks = {}, {}
-
-    def learn(self, chunks):
-        v = self.vocabulary
-        split = [v.split(c) for c in chunks]
-        if len(self.words) > self.KEPT:
-            self.words.clear()
-        words = self.words
-        new = [w for w in set().union(*split) if w not in words]
-        data = [w.encode() for w in new]
-        for word, raw, ids in zip(new, data, self.lexicon.find(data)):
+        single = [v.ids[bytes([b])] for b in range(256)]
+        self.merger = C.PairMerger(single, single, [(v.ids[a], v.ids[b], v.ids[a + b]) for a, b in v.ranks])
+        self.words = C.WordIds(self.learn)
+        size = max(v.bytes) + 1
+        self.token_bytes = np.frombuffer(b"".join(v.bytes.get(i, b"") for i in range(size)), np.uint8)
+        self.token_size = np.array([len(v.bytes.get(i, b"")) for i in range(size)])
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.decimal = [str(i) for i in range(size)]
+
+    def learn(self, data, start, length):
+        number = self.lexicon.numbers(data, start, length)
+        known = number >= 0
+        sizes = np.zeros(len(start), np.int64)
+        ids, sizes[known] = self.lexicon.find(number[known])
+        more, sizes[~known] = self.merger.encode(data, start[~known], length[~known])
+        out = np.empty(len(ids) + len(more), np.int32)
+        own = np.repeat(known, sizes)
+        out[own], out[~own] = ids, more
+        return out, sizes
+
+    def slow(self, text):
+        v, out = self.vocabulary, []
+        for word in v.split(text):
             if word in v.special:
-                ids = [v.special[word]]
-            elif ids is None:
-                ids = v.merge(raw)
-            words[word] = ",".join(map(str, ids)), array("i", ids).tobytes(), b"".join([v.bytes[i] for i in ids])
-        for chunk, parts in zip(chunks, split):
-            found = [words[w] for w in parts]
-            self.chunks[chunk] = (",".join([x[0] for x in found]), b"".join([x[1] for x in found]), b"".join([x[2] for x in found]))
-
-    def encode(self, texts):
-        """For each text: ids joined by commas, ids as little-endian bytes, bytes decoded from the ids."""
-        parts = [self.vocabulary.chunks(t) if t else [] for t in texts]
-        if len(self.chunks) > self.KEPT:
-            self.chunks.clear()
-        known = self.chunks
-        unknown = set()
-        for own in parts:
-            unknown.update([c for c in own if c not in known])
-        for low in range(0, len(unknown), 1 << 16):
-            self.learn(list(unknown)[low:low + (1 << 16)])
-        for own in parts:
-            found = [known[c] for c in own]
-            yield ",".join([x[0] for x in found]), b"".join([x[1] for x in found]), b"".join([x[2] for x in found])
-        for chunk in [c for c in unknown if len(c) > 200]:  # whole texts aren't worth keeping
-            del known[chunk]
-
-
-def _count(batches, path, text, most=200_000):
+                out.append(v.special[word])
+            else:
+                raw = np.frombuffer(word.encode(), np.uint8)
+                out += self.learn(raw, np.zeros(1, np.int64), np.array([len(raw)]))[0].tolist()
+        return np.array(out, np.int32)
+
+    def encode(self, column):
+        """For consecutive rows of a text column: their ids, one after another, and the rows' borders."""
+        special = [s.encode() for s in self.vocabulary.special]
+        for _, data, offsets in W.text_pieces(column):
+            raw = data.tobytes()
+            plain = C.plain_rows(data, offsets)
+            for s in special:
+                at = raw.find(s)
+                while at >= 0:
+                    plain[np.searchsorted(offsets, at, "right") - 1] = False
+                    at = raw.find(s, at + 1)
+            odd = np.flatnonzero(~plain)
+            texts = [data[offsets[k]:offsets[k + 1]].tobytes().decode() for k in odd]
+            if len(odd):
+                keep = np.repeat(plain, np.diff(offsets))
+                data, offsets = data[keep], np.concatenate(([0], np.cumsum(np.diff(offsets) * plain)))
+            begin, end, first = C.split_words(data, offsets, True)
+            ids, borders = self.words.ids(data, begin, end) if len(begin) else (np.zeros(0, np.int32), np.zeros(1, np.int64))
+            borders = borders[first]
+            if len(odd):
+                parts = np.split(ids, borders[1:-1])
+                for k, t in zip(odd, texts):
+                    parts[k] = self.slow(t)
+                ids, borders = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+            yield ids, borders
+
+    def decode(self, ids):
+        """Bytes of the ids, one after another, and the borders of each id."""
+        return C.gather(self.token_bytes, self.token_start[ids], self.token_size[ids])
+
+
+def _count(batches, path, text, most=400_000):
+    """(word, n): how often each pre-token stands in the texts of a task."""
     vocabulary = _once(("vocabulary", path), lambda: Vocabulary(path))
-    chunks, counts = Counter(), Counter()
+    counts, names, slow = {}, {}, Counter()
 
     def flush():
-        for chunk, n in chunks.items():
-            for word in vocabulary.split(chunk):
-                counts[word] += n
-        chunks.clear()
-        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-        counts.clear()
+        words = [names[h] for h in counts] + list(slow)
+        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*counts.values(), *slow.values()], pa.int64())], names=["word", "n"])
+        for x in (counts, names, slow):
+            x.clear()
         return out
 
     for batch in batches:
-        for value in batch.column(batch.schema.get_field_index(text)):
-            chunks.update(vocabulary.chunks(value.as_py() or ""))
-            if len(chunks) >= most:
+        for _, data, offsets in W.text_pieces(batch.column(batch.schema.get_field_index(text))):
+            plain = C.plain_rows(data, offsets)
+            for k in np.flatnonzero(~plain):
+                slow.update(w for w in vocabulary.split(data[offsets[k]:offsets[k + 1]].tobytes().decode()) if w not in vocabulary.special)
+            if not plain.all():
+                data, offsets = data[np.repeat(plain, np.diff(offsets))], np.concatenate(([0], np.cumsum(np.diff(offsets) * plain)))
+            begin, end, _ = C.split_words(data, offsets, True)
+            hashes, at, n = np.unique(W.span_hashes(W.prefix_sums(data), begin, end), return_index=True, return_counts=True)
+            raw = data.tobytes()
+            for h, count, low, high in zip(hashes.tolist(), n.tolist(), begin[at].tolist(), end[at].tolist()):
+                if h in counts:
+                    counts[h] += count
+                else:
+                    counts[h], names[h] = count, raw[low:high].decode()
+            if len(counts) + len(slow) >= most:
                 yield flush()
-    if chunks:
+    if counts or slow:
         yield flush()
 
 
@@ -288,20 +307,23 @@ def frequent_words(docs, path, text="text", size=50_000):
 
 def _encode(batches, path, block, text, keep, with_ids):
     encoder = _once(("encoder", path, hashlib.md5(block).hexdigest()), lambda: Encoder(path, block))
+    decimal = encoder.decimal
     for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
-        for low in range(0, batch.num_rows, 500):
-            n, ids_sha, decoded_sha, ids = [], [], [], []
-            for joined, packed, data in encoder.encode(column.slice(low, 500).to_pylist()):
-                n.append(len(packed) // 4)
+        low = 0
+        for ids, borders in encoder.encode(batch.column(batch.schema.get_field_index(text))):
+            data, ends = encoder.decode(ids)
+            data, places, numbers, rows = data.tobytes(), ends[borders].tolist(), ids.tolist(), borders.tolist()
+            ids_sha, decoded_sha = [], []
+            for k in range(len(rows) - 1):
+                joined = ",".join([decimal[i] for i in numbers[rows[k]:rows[k + 1]]])
                 ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(data.decode("utf-8", "replace").encode()).hexdigest())
-                ids.append(packed)
-            part = batch.slice(low, 500)
+                decoded_sha.append(hashlib.sha256(data[places[k]:places[k + 1]].decode("utf-8", "replace").encode()).hexdigest())
+            part = batch.slice(low, len(rows) - 1)
+            low += len(rows) - 1
             out = [part.column(part.schema.get_field_index(c)) for c in keep]
-            out += [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(decoded_sha)]
+            out += [pa.array(np.diff(borders)), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
             if with_ids:
-                out.append(W.lists(np.frombuffer(b"".join(ids), "<i4"), np.concatenate(([0], np.cumsum(n)))))
+                out.append(W.lists(ids, borders, pa.int32()))
             yield pa.RecordBatch.from_arrays(out, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
 

@@ -15,10 +15,11 @@ pairs across components are checked too, in blocks of bounded size, so no link i
 """
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
 from panelcast.llm.graph import components
+from panelcast.llm.names import free
 from panelcast.sources.files import store
 
 SHINGLE, BANDS, ROWS = 5, 18, 4
@@ -153,9 +154,9 @@ def _block_links(threshold):
     return run
 
 
-def text_ids(docs, text):
-    """64-bit id of each text (equal texts, equal id); a null text is empty."""
-    return docs.withColumn("_tid", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+def text_id(text):
+    """64-bit id of a text (equal texts, equal id); a null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def block_pairs(rows, group, block, share):
@@ -174,7 +175,7 @@ def block_pairs(rows, group, block, share):
 
 
 def links(docs, text="text", threshold=0.8):
-    """(id, component) of texts that have a link: `id` is `_tid` of text_ids."""
+    """(id, component) of texts that have a link: `id` is `_tid`, the text_id."""
     texts = docs.select("_tid", F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x20\x7F]"))
     bands = texts.mapInArrow(_band_rows, "id long, key long")
     counted = bands.groupBy("key", "id").agg(F.lit(1).alias("one"))
@@ -206,7 +207,7 @@ def links(docs, text="text", threshold=0.8):
 
 def _grouped(docs, doc_id, text, threshold):
     """(doc_id, _tid, component) per row, and the least (id, text) of each component with its rows."""
-    docs = text_ids(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("_tid", text_id("text"))
     groups = store(links(docs, "text", threshold), "components")
     rows = docs.select("doc_id", "_tid").join(groups.select(F.col("id").alias("_tid"), "component"), "_tid", "left")
     rows = rows.select("doc_id", "_tid", F.coalesce("component", "_tid").alias("component"))
@@ -231,6 +232,7 @@ def keep_one(docs, doc_id="doc_id", text="text", threshold=0.8):
     """One row of `docs` for each group of near copies, with all its columns."""
     _, least = _grouped(docs, doc_id, text, threshold)
     least = least.select(F.col("least.doc_id").alias("_id"), F.col("least._tid").alias("_tid"))
-    keyed = text_ids(docs, text).withColumn("_key", F.xxhash64(F.col(doc_id), F.col("_tid")))
-    kept = keyed.join(least.select(F.xxhash64("_id", "_tid").alias("_key")), "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*docs.columns)
+    key = free(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), text_id(text)))
+    kept = keyed.join(least.select(F.xxhash64("_id", "_tid").alias(key)), key, "left_semi")
+    return kept.dropDuplicates([key]).select(*docs.columns)

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelcast.llm import words as W
+from panelcast.llm.names import free
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = W.byte_classes({*range(48, 58), *range(97, 123), *range(128, 256)})
@@ -230,7 +231,7 @@ def shard_hits(column, phrases, limit=1 << 20, shard=1 << 19):
     return counts, row, item, first - firsts[row], last - firsts[row], start, stop
 
 
-def _with_hits(batches, phrases, text, keep_text):
+def _with_hits(batches, phrases, text, keep_text, words="_words", hits="_hits", old="_old"):
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         counts, row, item, first, last, start, stop = shard_hits(column, phrases)
@@ -238,29 +239,30 @@ def _with_hits(batches, phrases, text, keep_text):
             [pa.array(item, pa.int64()), *(pa.array(x, pa.int32()) for x in (first, last, start, stop))],
             names=["item", "first", "last", "start", "stop"])
         borders = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(column)))))
-        new = {"_words": pa.array(counts, pa.int32()), "_hits": W.lists(out, borders)}
+        new = {words: pa.array(counts, pa.int32()), hits: W.lists(out, borders)}
         columns, names = [], []
         for name, col in zip(batch.schema.names, batch.columns):
             if name in new or name == text and not keep_text:
                 continue
             columns.append(col)
             names.append(name)
-        if "_hits" in batch.schema.names:
-            new["_old"] = batch.column(batch.schema.get_field_index("_hits"))
+        if hits in batch.schema.names:
+            new[old] = batch.column(batch.schema.get_field_index(hits))
         yield pa.RecordBatch.from_arrays(columns + list(new.values()), names=names + list(new))
 
 
-def find(docs, benchmark, text="text", item_id="item_id", item_text="text", size=10, block_words=2_000_000, keep_text=False):
-    """`docs` with `_words` (int) and `_hits`, an array of the places of benchmark windows.
+def find(docs, benchmark, text="text", item_id="item_id", item_text="text", size=10, block_words=2_000_000, keep_text=False,
+         words="_words", hits="_hits"):
+    """`docs` with columns `words` (int) and `hits`, an array of the places of benchmark windows.
 
     A hit is one merged run of windows of one item: item, first and last + 1 word of the row,
     first and last + 1 byte of its UTF-8 text. Null texts and items have no words; an item
-    of fewer than `size` words is one window, an item without words is never found. Repeated
+    of fewer than `size` words is one window, an item without words or id is never found. Repeated
     rows are judged each by itself; repeated items give one hit. Other columns pass through,
-    the text only with `keep_text`.
+    the text only with `keep_text`; columns named as the new ones are replaced.
     """
-    named = [c for c in docs.columns if c not in ("_words", "_hits", "_old")]
-    docs = docs.select(*named)
+    docs = docs.select(*[c for c in docs.columns if c not in (words, hits)])
+    old = free(docs, "_old")
     items = [(r[0], item_words(r[1])) for r in benchmark.select(item_id, item_text).toLocalIterator() if r[0] is not None]
     blocks, used = [[]], 0
     for item in items:
@@ -269,23 +271,20 @@ def find(docs, benchmark, text="text", item_id="item_id", item_text="text", size
             used = 0
         blocks[-1].append(item)
         used += len(item[1])
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+        keep = keep_text or k < len(blocks) - 1
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, size))
-        fields = [s for f, s in zip(docs.schema, schema) if f.name not in ("_words", "_hits") and (f.name != text or keep_text or not last)]
-        fields += ["`_words` int", f"`_hits` {HIT}"] + ([f"`_old` {HIT}"] if k else [])
-        keep = keep_text or not last
-        docs = docs.mapInArrow(lambda b, p=phrases, keep=keep: _with_hits(b, p.value, text, keep), ", ".join(fields))
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (words, hits) and (f.name != text or keep)]
+        fields += [f"`{words}` int", f"`{hits}` {HIT}"] + ([f"`{old}` {HIT}"] if k else [])
+        docs = docs.mapInArrow(lambda b, p=phrases, keep=keep: _with_hits(b, p.value, text, keep, words, hits, old), ", ".join(fields))
         if k:
-            docs = docs.withColumn("_hits", F.concat("_old", "_hits")).drop("_old")
-        schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+            docs = docs.withColumn(hits, F.concat(old, hits)).drop(old)
     return docs
 
 
-def _union(batch, low, high):
+def _union(batch, low, high, hits="_hits"):
     """Merged [low, high) ranges of the hits of each row: row, first, last."""
-    hits = batch.column(batch.schema.get_field_index("_hits"))
+    hits = batch.column(batch.schema.get_field_index(hits))
     flat = hits.flatten()
     row = np.repeat(np.arange(len(hits)), np.asarray(hits.value_lengths().fill_null(0)))
     first, last = (np.asarray(flat.field(x)).astype(np.int64) for x in (low, high))
@@ -310,9 +309,9 @@ def report(found, key="doc_id"):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def _cut(batches, text, names):
+def _cut(batches, text, names, hits):
     for batch in batches:
-        row, start, stop = _union(batch, "start", "stop")
+        row, start, stop = _union(batch, "start", "stop", hits)
         column = batch.column(batch.schema.get_field_index(text))
         changed = column.to_pylist()
         spans = {}
@@ -333,5 +332,6 @@ def remove(docs, benchmark, text="text", **options):
 
     Hit spans begin and end at words, so no character is split. Texts without hits are unchanged.
     """
-    found = find(docs, benchmark, text, keep_text=True, **options)
-    return found.mapInArrow(lambda b, n=docs.columns: _cut(b, text, n), docs.schema)
+    words, hits = free(docs, "_words"), free(docs, "_hits")
+    found = find(docs, benchmark, text, keep_text=True, words=words, hits=hits, **options)
+    return found.mapInArrow(lambda b, n=docs.columns: _cut(b, text, n, hits), docs.schema)

@@ -1,6 +1,7 @@
 """The registered queries of this subpackage: each operator over its whole table."""
 import public_tokenizers
 
+import corpus_pipeline
 from panelcast.llm import bpe, chaining, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity, url_templates
 from panelcast.sources.files import fresh
 
@@ -88,3 +89,8 @@ def op9_token_files(spark, sf_dir):
 @query
 def op10_chaining(spark, sf_dir):
     return chaining.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from panelcast.llm import samples, words as W
+from panelcast.llm.names import free
 from panelcast.sources.files import store
 
 BITS, PRIOR, TEMPERATURE, SEED = 16, 20_000.0, 0.02, 11
@@ -161,4 +162,7 @@ def classify(docs, labels, doc_id="doc_id", text="text"):
 def keep(docs, labels, doc_id="doc_id", text="text"):
     """The rows of `docs` that are drawn, with all their columns."""
     _, ratio, labelled, least = _cut(docs, labels, doc_id, text)
-    return weigh(docs, ratio, labelled, doc_id, text).filter(_kept(least)).select(*docs.columns)
+    # columns of these names would hide the weights
+    hidden = {c: free(docs, c) for c in ("_log_weight", "_draw", "_held") if c in docs.columns}
+    rows = weigh(docs.withColumnsRenamed(hidden), ratio, labelled, doc_id, text).filter(_kept(least))
+    return rows.drop("_log_weight", "_draw", "_held").withColumnsRenamed({v: c for c, v in hidden.items()})

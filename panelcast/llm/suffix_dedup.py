@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Window, functions as F
 
 from panelcast.llm import words as W
+from panelcast.llm.names import free
 from panelcast.sources.files import store
 
 GRAM = 40
@@ -305,7 +306,7 @@ def spans(docs, key="_key", text="text", length=200, group=20_000):
     return every.groupBy("key").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
 
 
-def _row_spans(batch, column):
+def _row_spans(batch, column="_ranges"):
     """Merged ranges of each row of a batch, in row order: row, low, high."""
     ranges = batch.column(batch.schema.get_field_index(column))
     flat = ranges.flatten()
@@ -315,7 +316,7 @@ def _row_spans(batch, column):
 
 def _report(batches):
     for batch in batches:
-        row, low, high = _row_spans(batch, "_ranges")
+        row, low, high = _row_spans(batch)
         data, offsets = W.column_bytes(batch.column(1))
         n = batch.num_rows
         at = np.searchsorted(row, np.arange(n + 1))
@@ -345,9 +346,9 @@ def report(docs, doc_id="doc_id", text="text", length=200):
     return rows.mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def _cut(batches, text, names):
+def _cut(batches, text, names, ranges):
     for batch in batches:
-        row, low, high = _row_spans(batch, "_ranges")
+        row, low, high = _row_spans(batch, ranges)
         column = batch.column(batch.schema.get_field_index(text))
         texts = column.to_pylist()
         own = {}
@@ -372,6 +373,7 @@ def remove(docs, doc_id="doc_id", text="text", length=200):
 
     Runs that begin or end inside a character lose the bytes of that character. Null texts stay null.
     """
-    keyed = docs.withColumn("_key", document_key(doc_id, text))
-    found = spans(keyed, text=text, length=length).select(F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
-    return keyed.join(found, "_key", "left").mapInArrow(lambda b, n=docs.columns: _cut(b, text, n), docs.schema)
+    key, ranges = free(docs, "_key"), free(docs, "_ranges")
+    keyed = docs.withColumn(key, document_key(doc_id, text))
+    found = spans(keyed, key, text, length).select(F.col("key").alias(key), F.col("ranges").alias(ranges))
+    return keyed.join(found, key, "left").mapInArrow(lambda b, n=docs.columns: _cut(b, text, n, ranges), docs.schema)
