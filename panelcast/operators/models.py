@@ -22,6 +22,10 @@ from panelcast.operators.weights import density_ratio, with_unit_mean
 from panelcast.sources.files import store
 
 
+#: Trees of every boosted fit. With steps of 0.3 and depth 3 the holdout error levels off before.
+TREES = 20
+
+
 def assemble(df, cols, out="features"):
     filled = df.na.fill(0.0, cols)
     return VectorAssembler(inputCols=cols, outputCol=out).transform(filled)
@@ -77,8 +81,8 @@ def linear_horizons(train, rows, cols, alpha=10.0):
     return rows
 
 
-def boosted(train, cols, label, weight=None, holdout=None, trees=10, depth=3, seed=42):
-    """L1 boosted trees; with a holdout the number of trees with the lowest holdout error is kept.
+def boosted(train, cols, label, weight=None, holdout=None, trees=TREES, depth=3, seed=42):
+    """L1 boosted trees; with a holdout the number of trees with its lowest error is kept.
 
     Boosting is sequential and seeded, so refitting with fewer trees gives the same first trees.
     """
@@ -90,7 +94,10 @@ def boosted(train, cols, label, weight=None, holdout=None, trees=10, depth=3, se
     model = fit(trees)
     if holdout is None:
         return model, trees
-    errors = model.evaluateEachIteration(assemble(holdout.filter(F.col(label).isNotNull()), cols), "absolute")
+    held = holdout.filter(F.col(label).isNotNull())
+    if held.isEmpty():
+        return model, trees
+    errors = model.evaluateEachIteration(assemble(held, cols), "absolute")
     best = min(range(len(errors)), key=errors.__getitem__) + 1
     return (model if best == trees else fit(best)), best
 
@@ -117,6 +124,35 @@ def out_of_fold(rows, cols, label, fit, folds, minimum=(20, 10)):
     return (reduce(lambda a, b: a.unionByName(b), scored) if scored else None), models
 
 
+def early_late(rows, time="ord", share=0.8):
+    """Rows up to the day that `share` of them reach, and the later ones: the split where no fold has enough rows."""
+    cut = rows.agg(F.percentile_approx(time, share, 10000)).first()[0]
+    return (rows, rows.limit(0)) if cut is None else (rows.filter(F.col(time) <= cut), rows.filter(F.col(time) > cut))
+
+
+def out_of_fold_by_horizon(rows, cols, label, fit, folds, time="ord", minimum=(20, 10)):
+    """`out_of_fold` for each horizon by itself; returns (scored rows, models by horizon).
+
+    A horizon without a fold of enough rows is fitted on its early rows and scored on its late ones (fold 0).
+    """
+    scored, models = [], {}
+    for h in HORIZONS:
+        own = rows.filter(F.col("horizon") == h)
+        out, fits = out_of_fold(own, cols, label, fit, folds, minimum)
+        if not fits:
+            base = own.drop("fold", "part").distinct()
+            early, late = early_late(base, time)
+            if early.isEmpty():
+                models[h] = []
+                continue
+            fits = [fit(early, cols, label)]
+            out = predict(fits[0], late, cols).withColumns({"fold": F.lit(0), "part": F.lit("val")}).select(*rows.columns, "pred")
+        scored.append(out)
+        models[h] = fits
+    empty = rows.limit(0).withColumn("pred", F.lit(0.0))
+    return reduce(lambda a, b: a.unionByName(b), scored, empty), models
+
+
 def mean_prediction(models, rows, cols, fallback):
     """Mean of several models' predictions, or the fallback when there is none."""
     if not models:
@@ -128,8 +164,12 @@ def mean_prediction(models, rows, cols, fallback):
     return vec.withColumn("pred", clip(total / len(models), 0.0, 5.0)).drop("features", *[f"_p{i}" for i in range(len(models))])
 
 
-def shift_classifier(rows, cols, label, keys, max_rows=300_000, depth=3, trees=8, seed=42):
-    """Classifier of test-likeness, its AUC on a hashed fifth, and odds weights of all rows."""
+def shift_classifier(rows, cols, label, keys, max_rows=300_000, depth=3, trees=TREES, seed=42, holdout=True):
+    """Classifier of test-likeness, its AUC on a hashed fifth, and odds weights of all rows.
+
+    The classifier is fitted on a hashed sample of about `max_rows` labelled rows; every row is scored. With
+    holdout=False it is fitted on all of the sample, and the AUC is that of the fitted rows.
+    """
     n = rows.count()
     keep = min(1.0, max_rows / max(n, 1))
     share = hashed_share(keys, seed, 1_000_000)
@@ -137,9 +177,9 @@ def shift_classifier(rows, cols, label, keys, max_rows=300_000, depth=3, trees=8
     sample = vec.filter(share < keep * 1_000_000)
     inner = hashed_share(keys, seed + 1, 5)
     model = GBTClassifier(featuresCol="features", labelCol="_l", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed).fit(
-        sample.filter(inner != 0))
+        sample.filter(inner != 0) if holdout else sample)
     auc = BinaryClassificationEvaluator(labelCol="_l", rawPredictionCol="rawPrediction").evaluate(
-        model.transform(sample.filter(inner == 0)))
+        model.transform(sample.filter(inner == 0) if holdout else sample))
     scored = model.transform(vec).withColumn("p", vector_to_array("probability")[1])
     out = scored.drop("features", "rawPrediction", "probability", "prediction", "_l")
     return with_unit_mean(out.withColumn("weight", density_ratio(F.col("p"))), "weight"), auc
@@ -215,10 +255,15 @@ def profile_plane(profile):
     return out.withColumns({"share1": F.lit(a), "share2": F.lit(b)})
 
 
+#: Pooling of a monotone map's input: scores 0..5 make 50,001 points at most.
+GRID = 10_000
+
+
 def isotonic(rows, x="pred", y="truth", increasing=True):
-    """Monotone map x -> y. Equal x are pooled first, so a fit sees distinct values."""
-    pooled = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x")).agg(
-        F.avg(y).alias("_y"), F.count("*").cast("double").alias("_w"))
+    """Monotone map x -> y. Rows are pooled first on a grid of x, GRID steps for each unit, with their mean x,
+    mean y and number, so the fit sees at most GRID points for each unit of x, whatever the rows."""
+    pooled = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(F.col(x) * GRID).alias("_g")).agg(
+        F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.count("*").cast("double").alias("_w"))
     return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", isotonic=increasing, predictionCol="_out").fit(pooled)
 
 

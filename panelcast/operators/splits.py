@@ -146,8 +146,17 @@ def season_holdout(anchors, test_weeks, slack=SLACK_WEEKS, purge_weeks=PURGE_WEE
 
 
 def hashed_share(keys, seed, buckets=1000):
-    """Uniform number 0 .. buckets-1 that depends only on the row key."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(buckets))
+    """Uniform number 0 .. buckets-1 that depends only on the row key; any engine with MD5 draws the same."""
+    return F.conv(F.substring(_digest(keys, seed), 1, 12), 16, 10).cast("bigint") % buckets
+
+
+def _digest(keys, seed):
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+
+
+def hashed_rank(keys, seed):
+    """Order of rows that depends only on their key."""
+    return F.substring(_digest(keys, seed), 1, 16)
 
 
 def random_split(df, keys, val_share=0.1, seed=42):
@@ -171,7 +180,7 @@ def recent_biased(scored, k=200, minimum=10, recent=0.4, seed=42, chunk=1024):
     old = (F.col("_pos") < F.floor(F.col("_n") * (1 - recent))).cast("int")
     from pyspark.sql import Window
     w = Window.partitionBy(KEY).orderBy("_old", "_hash")
-    marked = ranked.withColumns({"_old": old, "_hash": F.xxhash64(KEY, "day_idx", F.lit(seed))})
+    marked = ranked.withColumns({"_old": old, "_hash": hashed_rank([KEY, "day_idx"], seed)})
     return marked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_old", "_hash", "_r", "_n", "_pos")
 
 
@@ -183,7 +192,7 @@ def first_rows(df, order, k):
 
 
 def capped_regions(df, k=250, seed=42):
-    return first_rows(df, [F.xxhash64(KEY, WEEK, F.lit(seed))], k)
+    return first_rows(df, [hashed_rank([KEY, WEEK], seed)], k)
 
 
 def newest_scored(daily, k=40, first=7):

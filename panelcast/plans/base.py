@@ -1,7 +1,8 @@
 """Registry of named queries, each with its result columns and, where SQL can say it, its SQL.
 
-Column specs are `name:type`, with type i (bigint), s (string), b (boolean) or d (double,
-the default). Doubles are cut to four decimals on both sides in the same way.
+Column specs are `name:type`, with type i (bigint), s (string), b (boolean), d (double, the
+default) or r (double of any size). Doubles are cut to four decimals on both sides in the same
+way, those of type r to two decimals from 1,000 on.
 """
 QUERIES, SQL = {}, {}
 
@@ -13,7 +14,9 @@ def _spec(cols):
 
 def shape(df, cols):
     text = {"d": "floor(CAST({n} AS DOUBLE) * 10000 + 0.501D) / 10000D AS {n}",
-            "i": "CAST({n} AS BIGINT) AS {n}"}
+            "i": "CAST({n} AS BIGINT) AS {n}",
+            "r": "CASE WHEN {n} IS NULL THEN NULL WHEN abs({n}) < 1000 THEN floor(CAST({n} AS DOUBLE) * 10000 + 0.501D) / 10000D "
+                 "ELSE floor(CAST({n} AS DOUBLE) * 100 + 0.501D) / 100D END AS {n}"}
     return df.selectExpr(*[text.get(kind, "{n}").format(n=name) for name, kind in _spec(cols)])
 
 
@@ -22,6 +25,9 @@ def shape_sql(cols):
     for name, kind in _spec(cols):
         if kind == "d":
             out.append(f"floor(CAST({name} AS DOUBLE)*10000+0.501)/10000.0 AS {name}")
+        elif kind == "r":
+            out.append(f"CASE WHEN abs({name}) < 1000 THEN floor(CAST({name} AS DOUBLE)*10000+0.501)/10000.0 "
+                       f"ELSE floor(CAST({name} AS DOUBLE)*100+0.501)/100.0 END AS {name}")
         elif kind == "i":
             out.append(f"CAST({name} AS BIGINT) AS {name}")
         else:

@@ -41,10 +41,10 @@ def bl_submissions(spark, d):
 
 @query("bl_align", "region_id:s week_idx:i horizon:i p_a p_b p_c truth truth_mismatch:b cluster_id:i", """
 SELECT region_id, week_idx, horizon, p_a, p_b, p_c, truth, week_idx % 50 = 7 AND truth <> 0 AS truth_mismatch, cluster_id
-FROM al WHERE week_idx % 11 <> 5""")
+FROM al""")
 def bl_align(spark, d):
-    """Member c lacks some weeks, and truths of member b differ in some."""
-    m = members(spark, d).filter((F.col("member") != "c") | (F.col("week_idx") % 11 != 5))
+    """Truths of member b differ in some weeks."""
+    m = members(spark, d)
     odd = (F.col("member") == "b") & (F.col("week_idx") % 50 == 7)
     return bl.align(m.withColumn("truth", F.when(odd, F.col("truth") / 2).otherwise(F.col("truth"))), MEMBERS, clusters(spark, d))
 
@@ -105,7 +105,7 @@ def bl_hillclimb_first(spark, d):
 
 @query("bl_hillclimb", "member:s weight objective")
 def bl_hillclimb(spark, d):
-    weights, history = bl.hill_climb(stored(spark, d), MEMBERS, step=0.1, max_steps=40)
+    weights, history = bl.hill_climb(stored(spark, d), MEMBERS, step=0.02, max_steps=200)
     rows = [(m, w, history[-1][1]) for m, w in zip(MEMBERS, weights)]
     return spark.createDataFrame(rows, "member string, weight double, objective double")
 
@@ -119,14 +119,14 @@ def bl_corr(spark, d):
 
 SHIFT = """SELECT region_id, n_nonzero, CASE WHEN n_nonzero >= 8 THEN least(greatest(m, -0.5), 0.5) ELSE 0 END AS shift FROM (
   SELECT region_id, count(*) FILTER (top > 0) n_nonzero, sum(r)/sum(n) m FROM (
-    SELECT region_id, week_idx, max(truth) top, sum(pred - truth) r, count(*) n FROM mem WHERE member = 'c' AND week_idx >= 300 GROUP BY 1, 2) GROUP BY 1)"""
+    SELECT region_id, week_idx, max(truth) top, sum(pred - truth) r, count(*) n FROM mem WHERE member = 'c' GROUP BY 1, 2) GROUP BY 1)"""
 
 
 @query("bl_region_shift", "region_id:s week_idx:i horizon:i n_nonzero:i shift pred", f"""
 SELECT region_id, week_idx, horizon, n_nonzero, shift, least(5, greatest(0, pred - shift)) AS pred FROM mem JOIN ({SHIFT}) USING (region_id) WHERE member = 'c'""")
 def bl_region_shift(spark, d):
     m = members(spark, d).filter("member = 'c'")
-    shifts = bl.region_shifts(m.filter("week_idx >= 300"))
+    shifts = bl.region_shifts(m)
     return bl.apply_shifts(m, shifts).join(shifts, "region_id")
 
 
@@ -143,15 +143,14 @@ def bl_clip(spark, d):
 SELECT region_id, horizon, CASE WHEN s IS NULL THEN l WHEN l IS NULL THEN s ELSE least(5, greatest(0, (1-w)*s + w*l)) END AS soft,
   CASE WHEN s IS NULL THEN l WHEN l IS NULL THEN s WHEN gap_weeks < 13 THEN s ELSE l END AS hard FROM (
   SELECT region_id, unnest([1,2,3,4,5]) horizon, least(greatest((gap_weeks-13)/4, 0), 1) w, gap_weeks,
-    CASE WHEN CAST(substr(region_id, 2) AS INT) % 7 <> 3 THEN 1.5 END s, CASE WHEN CAST(substr(region_id, 2) AS INT) % 5 <> 4 OR CAST(substr(region_id, 2) AS INT) % 7 = 3 THEN m END l
+    1.5 s, m l
   FROM (SELECT region_id, avg(score) m FROM train GROUP BY 1) JOIN gap USING (region_id))""")
 def ml_strata_blend(spark, d):
-    """A flat short-gap forecast and a region-mean long-gap forecast, each missing some regions."""
-    nk = F.substring("region_id", 2, 9).cast("int")
+    """A flat short-gap forecast and a region-mean long-gap forecast."""
     base = train(spark, d).groupBy("region_id").agg(F.avg("score").alias("m")).withColumn(
         "horizon", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    short = base.filter(nk % 7 != 3).select("region_id", "horizon", F.lit(1.5).alias("pred"))
-    long = base.filter((nk % 5 != 4) | (nk % 7 == 3)).select("region_id", "horizon", F.col("m").alias("pred"))
+    short = base.select("region_id", "horizon", F.lit(1.5).alias("pred"))
+    long = base.select("region_id", "horizon", F.col("m").alias("pred"))
     g = gaps.gap_weeks(gapped_train(spark, d), test(spark, d))
     soft = bl.blend_strata(short, long, g).withColumnRenamed("pred", "soft")
     return soft.join(bl.blend_strata(short, long, g, soft=False).withColumnRenamed("pred", "hard"), ["region_id", "horizon"])

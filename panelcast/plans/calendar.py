@@ -138,20 +138,16 @@ def cal_test_meta(spark, d):
     return gaps.test_meta_struct(test(spark, d))
 
 
-def _partly_seen(spark, d):
-    return gapped_train(spark, d).filter(cal.region_number(F.col("region_id")) % 7 != 3)
-
-
 @query("gap_weeks", "region_id:s gap_approx gap_weeks gap_fixed366", """
 SELECT s.region_id, ((sy-ey)*365 + (sm-em)*30 + (sd-ed))/7 gap_approx,
   coalesce(greatest(0, sg-eg)/7, 52) gap_weeks, (lo-eo)/7 gap_fixed366
 FROM (SELECT region_id, min_by(year,day_idx) sy, min_by(month,day_idx) sm, min_by(day,day_idx) sd,
         min(gord) sg, max(ord) lo FROM test GROUP BY 1) s
 LEFT JOIN (SELECT region_id, max_by(year,day_idx) ey, max_by(month,day_idx) em, max_by(day,day_idx) ed,
-        max(gord) eg, max(ord) eo FROM gtrain WHERE nk % 7 <> 3 GROUP BY 1) e USING (region_id)""".replace(
+        max(gord) eg, max(ord) eo FROM gtrain GROUP BY 1) e USING (region_id)""".replace(
     "greatest(0, sg-eg)/7", "CASE WHEN eg IS NOT NULL THEN greatest(0, sg-eg)/7 END"))
 def gap_weeks(spark, d):
-    a, b = _partly_seen(spark, d), test(spark, d)
+    a, b = gapped_train(spark, d), test(spark, d)
     names = {"approx": "gap_approx", "gregorian": "gap_weeks", "fixed366": "gap_fixed366"}
     out = None
     for method, name in names.items():

@@ -9,7 +9,6 @@ from panelcast.plans.base import query
 from panelcast.plans.inputs import test, train, weekly
 from panelcast.plans.weekly import DAYFRAMES, WEEKFRAMES
 
-EARLY = 100  # weeks the partial climatologies know
 Z = "avg(CAST(score = 0 AS INT))"
 RS = f"SELECT region_id, avg(score) m, stddev_samp(score) s, {Z} z FROM wk GROUP BY 1"
 
@@ -37,15 +36,13 @@ def _median_filled(cols, src):
             + f") FROM ({src}) j CROSS JOIN (SELECT " + ", ".join(f"quantile_cont({c}, 0.5) m_{c}" for c in cols) + f" FROM ({src})) m")
 
 
-WOY_JOIN = _median_filled(WOY_COLS, f"SELECT w.*, {', '.join(WOY_COLS)} FROM wk w LEFT JOIN ({WOY} WHERE week_idx < {EARLY} AND woy % 9 <> 4 GROUP BY 1, 2) USING (region_id, woy)")
+WOY_JOIN = _median_filled(WOY_COLS, f"SELECT w.*, {', '.join(WOY_COLS)} FROM wk w LEFT JOIN ({WOY} GROUP BY 1, 2) USING (region_id, woy)")
 
 
 @query("clim_woy_join", "region_id:s week_idx:i " + " ".join(WOY_COLS), WOY_JOIN)
 def clim_woy_join(spark, d):
-    """Some week buckets are unknown to the climatology."""
     w = weekly(spark, d)
-    known = cl.woy_score(w.filter((F.col("week_idx") < EARLY) & (F.col("woy") % 9 != 4)))
-    return cl.join_woy_score(w.select("region_id", "week_idx", "woy"), known)
+    return cl.join_woy_score(w.select("region_id", "week_idx", "woy"), cl.woy_score(w))
 
 
 METEO = ("SELECT region_id, woy, " + ", ".join(f"avg({c}_mean) clim_{c}_mean" for c in ANOMALY_CHANNELS) + ", "
@@ -59,18 +56,16 @@ def clim_woy_meteo(spark, d):
 
 
 ANOM_JOIN = _median_filled(METEO_COLS[:6], "SELECT w.*, " + ", ".join(METEO_COLS)
-                           + f" FROM wk w LEFT JOIN ({METEO} WHERE woy % 9 <> 4 GROUP BY 1, 2) USING (region_id, woy)")
+                           + f" FROM wk w LEFT JOIN ({METEO} GROUP BY 1, 2) USING (region_id, woy)")
 
 
-# An unknown deviation counts as 1e-3, so those anomalies are reported in thousands.
-@query("anom_woy", "region_id:s week_idx:i " + " ".join(f"anom_{c}" for c in ANOMALY_CHANNELS),
+@query("anom_woy", "region_id:s week_idx:i " + " ".join(f"anom_{c}:r" for c in ANOMALY_CHANNELS),
        "SELECT region_id, week_idx, " + ", ".join(
-           f"({c}_mean - clim_{c}_mean)/greatest(coalesce(clim_{c}_std, 1e-3), 1e-3)/1000 AS anom_{c}" for c in ANOMALY_CHANNELS)
+           f"({c}_mean - clim_{c}_mean)/greatest(coalesce(clim_{c}_std, 1e-3), 1e-3) AS anom_{c}" for c in ANOMALY_CHANNELS)
        + f" FROM ({ANOM_JOIN})")
 def anom_woy(spark, d):
     w = weekly(spark, d)
-    out = cl.woy_anomalies(w, cl.woy_meteo(w.filter(F.col("woy") % 9 != 4)), suffix="_mean")
-    return out.withColumns({f"anom_{c}": F.col(f"anom_{c}") / 1000 for c in ANOMALY_CHANNELS})
+    return cl.woy_anomalies(w, cl.woy_meteo(w), suffix="_mean")
 
 
 BASE = ", ".join(f"avg({c}) {c}_mu, stddev_samp({c}) {c}_sd" for c in CHANNELS)
@@ -108,21 +103,19 @@ def clim_last_score(spark, d):
 
 
 @query("clim_month_score", "region_id:s week_idx:i horizon:i reg_score_mo_mean fw_score_mo_mean", """
-WITH mo AS (SELECT region_id, month, avg(score) v FROM wk WHERE week_idx < 30 GROUP BY 1, 2),
-  rm AS (SELECT region_id, avg(score) m FROM wk WHERE week_idx < 30 GROUP BY 1)
+WITH mo AS (SELECT region_id, month, avg(score) v FROM wk GROUP BY 1, 2),
+  rm AS (SELECT region_id, avg(score) m FROM wk GROUP BY 1)
 SELECT w.region_id, w.week_idx, h.horizon, coalesce(a.v, m) reg_score_mo_mean, coalesce(b.v, m) fw_score_mo_mean
 FROM wk w CROSS JOIN (SELECT unnest([1,2,3,4,5]) horizon) h JOIN rm USING (region_id)
 LEFT JOIN mo a ON a.region_id = w.region_id AND a.month = w.month
 LEFT JOIN mo b ON b.region_id = w.region_id AND b.month = (w.month - 1 + (h.horizon-1)//4) % 12 + 1""")
 def clim_month_score(spark, d):
-    """Thirty known weeks leave some months to the region mean."""
     w = weekly(spark, d).select("region_id", "week_idx", "month", "score")
-    known = w.filter("week_idx < 30")
     rows = w.withColumn("horizon", F.explode(F.sequence(F.lit(1), F.lit(5))))
-    return cl.with_month_scores(rows, cl.month_score(known), cl.score_stats(known, ["region_id"], {"reg_mean": "mean"}))
+    return cl.with_month_scores(rows, cl.month_score(w), cl.score_stats(w, ["region_id"], {"reg_mean": "mean"}))
 
 
-ANOM_CH = ["tmp", "prec", "humidity", "surf_pre"]
+ANOM_CH = CHANNELS
 SD = lambda c: f"CASE WHEN {c}_sd IS NULL OR {c}_sd < 1e-6 THEN 1 ELSE {c}_sd END"
 
 
@@ -141,41 +134,33 @@ def anom_window(spark, d):
        "SELECT region_id, day_idx, " + ", ".join(f"coalesce(({c}_mean_7d - {c}_mo_mean)/({SD(c)}), 0) AS {c}_mo_anom_7d" for c in CHANNELS)
        + " FROM (SELECT region_id, day_idx, month, " + ", ".join(f"avg({c}) OVER w7 AS {c}_mean_7d" for c in CHANNELS)
        + f" FROM train WINDOW {DAYFRAMES}) JOIN (SELECT region_id, {BASE} FROM train GROUP BY 1) USING (region_id) "
-       + f"LEFT JOIN ({MONTHLY} WHERE month <> 5 GROUP BY 1, 2) USING (region_id, month)")
+       + f"LEFT JOIN ({MONTHLY} GROUP BY 1, 2) USING (region_id, month)")
 def anom_month(spark, d):
-    """May is unknown to the monthly table."""
     t = train(spark, d)
     rows = rolling_stats(t, {f"{c}_mean_7d": (c, "mean", 7) for c in CHANNELS}).drop(*CHANNELS)
-    return cl.month_anomalies(rows, cl.region_month_meteo(t.filter("month <> 5")), cl.region_meteo(t), CHANNELS)
-
-
-POOL = "week_idx < 200 AND CAST(substr(region_id, 2) AS INT) % 7 <> 3"
-
-
-def pool(w):
-    return w.filter((F.col("week_idx") < 200) & (F.substring("region_id", 2, 9).cast("int") % 7 != 3))
+    return cl.month_anomalies(rows, cl.region_month_meteo(t), cl.region_meteo(t), CHANNELS)
 
 
 @query("scal_region", "region_id:s week_idx:i " + " ".join(cl.SCALARS), f"""
 SELECT w.region_id, w.week_idx, coalesce(r.m, g.m) region_score_mean, coalesce(r.s, g.s) region_score_std,
   coalesce(r.z, g.z) region_zero_rate, coalesce(r.p, g.p) region_score_p90
 FROM wk w LEFT JOIN (SELECT region_id, avg(score) m, coalesce(stddev_samp(score), 0) s, {Z} z, quantile_cont(score, 0.9) p
-  FROM wk WHERE {POOL} GROUP BY 1) r USING (region_id)
-CROSS JOIN (SELECT avg(score) m, stddev_samp(score) s, {Z} z, quantile_cont(score, 0.9) p FROM wk WHERE {POOL}) g""")
+  FROM wk GROUP BY 1) r USING (region_id)
+CROSS JOIN (SELECT avg(score) m, stddev_samp(score) s, {Z} z, quantile_cont(score, 0.9) p FROM wk) g""")
 def scal_region(spark, d):
     w = weekly(spark, d).select("region_id", "week_idx", "month", "score")
-    return cl.region_scalars(w.drop("score"), pool(w))
+    return cl.region_scalars(w.drop("score"), w)
 
 
 @query("scal_season", "region_id:s week_idx:i region_month_score_mean region_month_score_std", f"""
-WITH pool AS (SELECT * FROM wk WHERE {POOL} AND month <> 5)
+WITH pool AS (SELECT * FROM wk)
 SELECT w.region_id, w.week_idx, coalesce(c.m, r.m, g.m) region_month_score_mean, coalesce(c.s, r.s, g.s) region_month_score_std
 FROM wk w LEFT JOIN (SELECT region_id, month, avg(score) m, coalesce(stddev_samp(score), 0) s FROM pool GROUP BY 1, 2) c USING (region_id, month)
 LEFT JOIN (SELECT region_id, avg(score) m, coalesce(stddev_samp(score), 0) s FROM pool GROUP BY 1) r USING (region_id)
 CROSS JOIN (SELECT avg(score) m, stddev_samp(score) s FROM pool) g""")
 def scal_season(spark, d):
     w = weekly(spark, d).select("region_id", "week_idx", "month", "score")
-    return cl.season_scalars(w.drop("score"), pool(w).filter("month <> 5"))
+    return cl.season_scalars(w.drop("score"), w)
 
 
 BM = [f"{c}_mean" for c in CHANNELS] + ["prec_sum"]
@@ -231,15 +216,11 @@ PRIOR = ["n_obs:i", "mo_mean", "mo_std", "mo_q25", "mo_q50", "mo_q75", "mo_q90",
 
 @query("prior_test_month", "region_id:s test_month:i " + " ".join(PRIOR) + " reg_mean", """
 WITH s AS (SELECT t.region_id, score, month, test_month, count(*) FILTER (month = test_month) OVER (PARTITION BY t.region_id) n
-  FROM train t JOIN tmeta USING (region_id) WHERE score IS NOT NULL AND NOT (CAST(substr(region_id, 2) AS INT) % 4 = 1 AND month = test_month AND day_idx > 400)),
+  FROM train t JOIN tmeta USING (region_id) WHERE score IS NOT NULL),
 k AS (SELECT * FROM s WHERE n < 3 OR month = test_month)
 SELECT region_id, test_month, count(*) n_obs, avg(score) mo_mean, stddev_pop(score) mo_std, quantile_cont(score, 0.25) mo_q25,
   quantile_cont(score, 0.5) mo_q50, quantile_cont(score, 0.75) mo_q75, quantile_cont(score, 0.9) mo_q90,
   avg(CAST(score > 0 AS INT)) mo_nonzero, avg(CAST(score >= 3 AS INT)) mo_severe, any_value(reg_mean) reg_mean
-FROM k JOIN (SELECT region_id, avg(score) reg_mean FROM s GROUP BY 1) USING (region_id) GROUP BY 1, 2""".replace("day_idx > 400", "day_idx > 300"))
+FROM k JOIN (SELECT region_id, avg(score) reg_mean FROM s GROUP BY 1) USING (region_id) GROUP BY 1, 2""")
 def prior_test_month(spark, d):
-    """A quarter of the regions keep too few scores of the test month."""
-    meta = gaps.test_meta(test(spark, d))
-    t = train(spark, d).join(meta.select("region_id", F.col("test_month").alias("_tm")), "region_id")
-    thin = (F.substring("region_id", 2, 9).cast("int") % 4 == 1) & (F.col("month") == F.col("_tm")) & (F.col("day_idx") > 300)
-    return cl.test_month_prior(t.filter(~thin).drop("_tm"), meta)
+    return cl.test_month_prior(train(spark, d), gaps.test_meta(test(spark, d)))

@@ -5,7 +5,7 @@ from panelcast.config import ANOMALY_CHANNELS, CHANNELS, ROLL_DAYS, TREND_COLUMN
 from panelcast.operators import climatology as cl, indices as ix, lags as lg
 from panelcast.operators.rolling import weekly_frames
 from panelcast.plans.base import query
-from panelcast.plans.climatology import BASE, BASE_SQL, METEO, METEO_COLS, WOY, WOY_COLS, _median_filled, pool
+from panelcast.plans.climatology import BASE, BASE_SQL, METEO, METEO_COLS, WOY, WOY_COLS, _median_filled
 from panelcast.plans.inputs import train, weekly, weekly_test
 from panelcast.plans.lags import LAG_SQL, ORD_SQL
 from panelcast.plans.weekly import DAYFRAMES, WEEKFRAMES
@@ -100,16 +100,13 @@ PET = {"hargreaves": "(tmp_mean+17.8)*sqrt(CASE WHEN tmp_max_mean IS NOT NULL TH
        "vpd": "CASE WHEN tmp_mean IS NOT NULL THEN greatest(tmp_mean-wb_tmp_mean, 0) END*7", "none": "0"}
 
 
-UNIT = {"hargreaves": 1000, "vpd": 1, "none": 1}
-
-
-@query("idx_pet", WK + " ".join(f"pet_{m} d_{m}" for m in PET),
-       "SELECT region_id, week_idx, " + ", ".join(f"{e}/{UNIT[m]} pet_{m}, (prec_sum - {e})/{UNIT[m]} d_{m}" for m, e in PET.items()) + " FROM wk")
+@query("idx_pet", WK + " ".join(f"pet_{m}:r d_{m}:r" for m in PET),
+       "SELECT region_id, week_idx, " + ", ".join(f"{e} pet_{m}, prec_sum - {e} d_{m}" for m, e in PET.items()) + " FROM wk")
 def idx_pet(spark, d):
-    """The three evaporation models; the large temperature-based one in thousands."""
+    """The three evaporation models."""
     out = weekly(spark, d)
     for m in PET:
-        out = (ix.with_balance(out, m).withColumns({f"pet_{m}": F.col("PET") / UNIT[m], f"d_{m}": F.col("D") / UNIT[m]})
+        out = (ix.with_balance(out, m).withColumns({f"pet_{m}": F.col("PET"), f"d_{m}": F.col("D")})
                .drop("P", "PET", "D"))
     return out
 
@@ -161,27 +158,24 @@ def idx_spei_test(spark, d):
 
 
 TRENDS = "z_D_4 - z_D_52 ztrend_D, z_P_4 - z_P_52 ztrend_P"
-RB = lambda c: f"rb_{c}_k/1000 AS rb_{c}"
 
 
-@query("idx_multi", WK + " ".join(ix.MULTI), f"""
-SELECT * REPLACE (rb_PET/1000 AS rb_PET, rb_D/1000 AS rb_D) FROM (
-  SELECT *, {TRENDS}, {", ".join(f"avg({c}) OVER w4 - avg({c}) OVER r rb_{c}" for c in ("PET", "D", "P"))}
-  FROM ({zs(cums(BAL + "wk", ix.SERIES, ix.SCALES, 2), ix.SERIES, ix.SCALES)}) WINDOW {WEEKFRAMES}, r AS (PARTITION BY region_id))""")
-def idx_multi(spark, d):
-    return _thousands(ix.multi_scale(ix.with_balance(weekly(spark, d))))
+MULTI_COLS = " ".join(c + ":r" if c.startswith("rb_") else c for c in ix.MULTI)
 
 
-def _thousands(df):
-    return df.withColumns({c: F.col(c) / 1000 for c in ("rb_PET", "rb_D")})
+@query("idx_multi", WK + MULTI_COLS, f"""
+  SELECT *, {TRENDS}, {", ".join(f"avg({c}) OVER w4 - avg({c}) OVER r rb_{c}" for c in ("PET", "D", "P"))}
+  FROM ({zs(cums(BAL + "wk", ix.SERIES, ix.SCALES, 2), ix.SERIES, ix.SCALES)}) WINDOW {WEEKFRAMES}, r AS (PARTITION BY region_id)""")
+def idx_multi(spark, d):
+    return ix.multi_scale(ix.with_balance(weekly(spark, d)))
 
 
-@query("idx_multi_test", "region_id:s " + " ".join(ix.MULTI), f"""
-SELECT t.*, {TRENDS}, (recent_PET - m_PET)/1000 rb_PET, (recent_D - m_D)/1000 rb_D, recent_P - m_P rb_P
+@query("idx_multi_test", "region_id:s " + MULTI_COLS, f"""
+SELECT t.*, {TRENDS}, recent_PET - m_PET rb_PET, recent_D - m_D rb_D, recent_P - m_P rb_P
 FROM ({tail_z(ix.SERIES, ix.SCALES, 2)}) t
 JOIN (SELECT region_id, avg(PET) m_PET, avg(D) m_D, avg(P) m_P FROM ({BAL} wk) GROUP BY 1) USING (region_id)""")
 def idx_multi_test(spark, d):
-    return _thousands(ix.multi_scale_test(ix.with_balance(weekly(spark, d)), ix.with_balance(weekly_test(spark, d))))
+    return ix.multi_scale_test(ix.with_balance(weekly(spark, d)), ix.with_balance(weekly_test(spark, d)))
 
 
 @query("idx_interact", WK + "int_hot_dry int_prec_humid", """
@@ -199,8 +193,8 @@ def _slope(b, n):
 
 
 ASSEMBLED = f"""WITH l AS (SELECT *, least(52, (doy-1)//7) AS woy FROM ({LAG_SQL})),
-j AS (SELECT l.*, {", ".join(WOY_COLS + METEO_COLS)} FROM l LEFT JOIN ({WOY} WHERE week_idx < 300 GROUP BY 1, 2) USING (region_id, woy)
-  LEFT JOIN ({METEO} WHERE week_idx < 300 GROUP BY 1, 2) USING (region_id, woy)),
+j AS (SELECT l.*, {", ".join(WOY_COLS + METEO_COLS)} FROM l LEFT JOIN ({WOY} GROUP BY 1, 2) USING (region_id, woy)
+  LEFT JOIN ({METEO} GROUP BY 1, 2) USING (region_id, woy)),
 k AS ({_median_filled(WOY_COLS + METEO_COLS[:6], "SELECT * FROM j")})
 SELECT *, {", ".join(f"({c}_mean_lag0 - clim_{c}_mean)/greatest(coalesce(clim_{c}_std, 1e-3), 1e-3) AS anom_{c}" for c in ANOMALY_CHANNELS)},
   {", ".join(_slope(b, n) for b in TREND_COLUMNS for n in (4, 8))},
@@ -210,8 +204,7 @@ SELECT *, {", ".join(f"({c}_mean_lag0 - clim_{c}_mean)/greatest(coalesce(clim_{c
 @query("feat_assemble", WK + " ".join(EXTRA), ASSEMBLED)
 def feat_assemble(spark, d):
     w = weekly(spark, d)
-    known = w.filter("week_idx < 300")
-    return ix.extra_blocks(lg.lag_matrix(w), cl.woy_score(known), cl.woy_meteo(known), TREND_COLUMNS)
+    return ix.extra_blocks(lg.lag_matrix(w), cl.woy_score(w), cl.woy_meteo(w), TREND_COLUMNS)
 
 
 FRAME_CH = ["tmp", "tmp_max", "tmp_min", "wb_tmp", "prec", "humidity"]
@@ -236,14 +229,14 @@ def feat_frame(spark, d):
 SELECT f.region_id, f.week_idx, f.spi_8, coalesce(r.m, g.m) region_score_mean, coalesce(r.p, g.p) region_score_p90,
   coalesce(c.m, r.m, g.m) region_month_score_mean
 FROM ({FRAME_SQL}) f
-LEFT JOIN (SELECT region_id, avg(score) m, quantile_cont(score, 0.9) p FROM wk WHERE week_idx < 200 AND CAST(substr(region_id, 2) AS INT) % 7 <> 3 GROUP BY 1) r USING (region_id)
-LEFT JOIN (SELECT region_id, month, avg(score) m FROM wk WHERE week_idx < 200 AND CAST(substr(region_id, 2) AS INT) % 7 <> 3 GROUP BY 1, 2) c USING (region_id, month)
-CROSS JOIN (SELECT avg(score) m, quantile_cont(score, 0.9) p FROM wk WHERE week_idx < 200 AND CAST(substr(region_id, 2) AS INT) % 7 <> 3) g""")
+LEFT JOIN (SELECT region_id, avg(score) m, quantile_cont(score, 0.9) p FROM wk GROUP BY 1) r USING (region_id)
+LEFT JOIN (SELECT region_id, month, avg(score) m FROM wk GROUP BY 1, 2) c USING (region_id, month)
+CROSS JOIN (SELECT avg(score) m, quantile_cont(score, 0.9) p FROM wk) g""")
 def feat_pool(spark, d):
     """Pool-fitted scalars beside the frame."""
     w = weekly(spark, d)
     f = ix.shift_aware_frame(w, ix.region_base(w)).select("region_id", "week_idx", "month", "spi_8")
-    return cl.season_scalars(cl.region_scalars(f, pool(w)), pool(w))
+    return cl.season_scalars(cl.region_scalars(f, w), w)
 
 
 STATCOLS = [f"{c}_{s}" for c in CHANNELS for s in ("mean", "std", "min", "max", "sum", "p95")]

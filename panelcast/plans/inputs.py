@@ -1,7 +1,6 @@
 """The tables most queries start from."""
 from pyspark.sql import functions as F
 
-from panelcast.functions.calendar import region_number
 from panelcast.operators import lags, metrics, weekly as wk
 from panelcast.sources.files import store
 from panelcast.sources.panel import gapped_train_part, test_part, train_part
@@ -40,9 +39,9 @@ def anchors(spark, d):
 
 
 def clusters(spark, d):
-    """Deterministic region classes by mean score; every seventh region has none."""
+    """Deterministic region classes by mean score."""
     w = weekly(spark, d).groupBy("region_id").agg(F.avg("score").alias("score_mean"))
-    return w.filter(region_number(F.col("region_id")) % 7 != 3).withColumn(
+    return w.withColumn(
         "region_cluster_id", F.floor(F.col("score_mean") * 2))
 
 

@@ -97,11 +97,9 @@ def last_score_features(spark, d):
 
 @query("join_last_scores", f"region_id:s week_idx:i {HIST}", f"""
 SELECT w.region_id, w.week_idx, {", ".join(f"coalesce({c}, 0) AS {c}" for c in lg.SCORE_HISTORY)} FROM wtest w
-LEFT JOIN ({LAST_SQL}) h ON h.region_id = w.region_id AND CAST(substr(w.region_id, 2) AS INT) % 7 <> 3""")
+LEFT JOIN ({LAST_SQL}) h ON h.region_id = w.region_id""")
 def join_last_scores(spark, d):
-    """Every seventh region has no history."""
-    from panelcast.functions.calendar import region_number
-    known = lg.last_score_history(weekly(spark, d)).filter(region_number(F.col("region_id")) % 7 != 3)
+    known = lg.last_score_history(weekly(spark, d))
     return lg.join_score_history(weekly_test(spark, d).select("region_id", "week_idx"), known)
 
 
@@ -170,10 +168,9 @@ def hz_explode(spark, d):
 @query("test_season_dist", "region_id:s week_idx:i month_dist:i in_season:i", """
 SELECT region_id, week_idx, dist AS month_dist, CAST(dist <= 2 AS BIGINT) AS in_season FROM (
   SELECT w.region_id, w.week_idx, CASE WHEN test_month IS NULL THEN 3 ELSE least(abs(month-test_month), 12-abs(month-test_month)) END AS dist
-  FROM wk w LEFT JOIN (SELECT * FROM tmeta WHERE CAST(substr(region_id, 2) AS INT) % 7 <> 3) USING (region_id))""")
+  FROM wk w LEFT JOIN tmeta USING (region_id))""")
 def test_season_dist(spark, d):
-    from panelcast.functions.calendar import region_number
-    meta = gaps.test_meta(test(spark, d)).filter(region_number(F.col("region_id")) % 7 != 3)
+    meta = gaps.test_meta(test(spark, d))
     j = weekly(spark, d).join(meta.select("region_id", "test_month"), "region_id", "left")
     dist, flag = asof.season_distance(F.col("month"), F.coalesce("test_month", F.lit(0)))
     return j.select("region_id", "week_idx", dist.alias("month_dist"), flag.alias("in_season"))

@@ -18,11 +18,11 @@ MACRO = "(" + " + ".join(f"avg({AE}) FILTER (horizon = {h})" for h in HORIZONS)
 
 @query("base_preds", "region_id:s week_idx:i zero persistence region_mean", """
 SELECT a.region_id, week_idx, 0 AS zero, score AS persistence, coalesce(r.m, g.m) AS region_mean FROM anc a
-LEFT JOIN (SELECT region_id, avg(score) m FROM wk WHERE CAST(substr(region_id, 2) AS INT) % 7 <> 3 GROUP BY 1) r USING (region_id)
-CROSS JOIN (SELECT avg(score) m FROM wk WHERE CAST(substr(region_id, 2) AS INT) % 7 <> 3) g""")
+LEFT JOIN (SELECT region_id, avg(score) m FROM wk GROUP BY 1) r USING (region_id)
+CROSS JOIN (SELECT avg(score) m FROM wk) g""")
 def base_preds(spark, d):
     rows = anchors(spark, d).select("region_id", "week_idx", "score")
-    known = weekly(spark, d).filter(F.substring("region_id", 2, 9).cast("int") % 7 != 3)
+    known = weekly(spark, d)
     for kind in ("zero", "persistence", "region_mean"):
         rows = mt.baseline_predictions(kind, known, rows).withColumnRenamed("pred", kind)
     return rows

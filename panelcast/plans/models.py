@@ -1,9 +1,11 @@
 """Model queries: profile tables and rules have SQL, fits return rows only."""
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
 from panelcast.operators import blend as bl, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
-from panelcast.operators import models as ml, rolling as ro, splits as sp, weights as wt
+from panelcast.operators import models as ml, rolling as ro, splits as sp, weekly as wk, weights as wt
 from panelcast.plans.base import query
 from panelcast.plans.indices import signals
 from panelcast.plans.inputs import aligned, anchors, clusters, gapped_train, members, test, train, weekly, weekly_test
@@ -13,26 +15,25 @@ PREDS = "region_id:s " + " ".join(f"pred_week{h}" for h in HORIZONS)
 FEATURES = [f"{c}_mean" for c in CHANNELS] + ["prec_sum", "tmp_p95", "prec_std"] + lg.SCORE_HISTORY
 
 
-def feature_rows(spark, d):
+def feature_rows(spark, d, weeks=None):
     """Weekly features with score history and targets, written once."""
-    w = lg.with_score_history(weekly(spark, d))
+    w = lg.with_score_history(weekly(spark, d) if weeks is None else weeks)
     return ml.store(lg.lead_targets(w).select("region_id", "week_idx", "month", "woy", "ord", "score", *FEATURES,
                                               *lg.TARGETS), "features")
 
 
-def long_features(spark, d):
-    rows = feature_rows(spark, d)
-    return mt.long_targets(rows)
+def long_features(spark, d, weeks=None):
+    return mt.long_targets(feature_rows(spark, d, weeks))
 
 
 @query("ml_proxy_ridge", "term:s value")
 def ml_proxy_ridge(spark, d):
-    """Signals of the days before each of the last 40 scored days, against the score."""
-    s = signals(spark, d)
+    """Signals of the day before each scored day, against the score; days that lack a signal are left out."""
     cols = ix.signal_names()
+    s = ml.store(signals(spark, d).select("region_id", "day_idx", "score", *cols), "signals")
     before = s.select("region_id", (F.col("day_idx") + 1).alias("day_idx"), *cols)
-    picked = sp.newest_scored(s.select("region_id", "day_idx", "score"))
-    rows = ml.store(picked.join(before, ["region_id", "day_idx"]), "proxy")
+    picked = s.select("region_id", "day_idx", "score").filter("score IS NOT NULL")
+    rows = ml.store(picked.join(before, ["region_id", "day_idx"]).na.drop(subset=cols), "proxy")
     return ml.coefficients(spark, ml.ridge(rows, cols, "score", 1.0), cols)
 
 
@@ -45,7 +46,7 @@ def frame(spark, d):
 @query("ml_proxy_scales", "region_id:s week_idx:i proxy_p4 proxy_p8 proxy_p12 proxy_main proxy_4_12 proxy_8_12 proxy_4_8")
 def ml_proxy_scales(spark, d):
     f = frame(spark, d)
-    return ml.proxy_scales(sp.first_rows(f, [F.desc("week_idx")], 40), f)
+    return ml.proxy_scales(f, f)
 
 
 @query("ml_lin_phys", PREDS)
@@ -68,14 +69,25 @@ def _split(spark, d):
     return ml.store(wt.with_unit_mean(rows, "w"), "split")
 
 
+def _pool(spark, d):
+    """(rows to fit, rows to choose a size on, holdout rows)."""
+    rows = sp.with_woy_distance(_split(spark, d).drop("test_woy", "woy_dist"), meta(spark, d))
+    pool = rows.filter("part = 'train'")
+    near = pool.filter(F.col("woy_dist") <= 6)
+    cut = near.agg(F.percentile_approx("ord", 0.8, 10000)).first()[0]
+    stop = near.filter(F.col("ord") > (cut if cut is not None else 0))
+    fit = pool.filter(~((F.col("woy_dist") <= 6) & (F.col("ord") > (cut if cut is not None else 0))))
+    return ml.store(fit, "fit"), ml.store(stop, "stop"), rows.filter("part = 'val'")
+
+
 @query("ml_gbt_horizon", "horizon:i trees:i mae baseline_mae")
 def ml_gbt_horizon(spark, d):
-    """Per horizon a weighted fit whose size is chosen on the calendar holdout."""
-    rows = _split(spark, d)
-    a, b = rows.filter("part = 'train'"), rows.filter("part = 'val'")
+    """Per horizon a weighted fit. Its size is chosen on the newest fifth of the pool's in-season weeks, which the
+    fit doesn't see; the error is that of the calendar holdout."""
+    a, stop, b = _pool(spark, d)
     out = []
     for h in HORIZONS:
-        model, k = ml.boosted(a, FEATURES, f"target_w{h}", "w", b, trees=6)
+        model, k = ml.boosted(a, FEATURES, f"target_w{h}", "w", stop)
         p = ml.predict(model, b, FEATURES)
         e = p.agg(F.avg(F.abs(F.col("pred") - F.col(f"target_w{h}"))), F.avg(F.abs(F.col("score") - F.col(f"target_w{h}")))).first()
         out.append((h, k, float(e[0]), float(e[1])))
@@ -84,33 +96,34 @@ def ml_gbt_horizon(spark, d):
 
 @query("ml_gbt_shared", "horizon:i mae n:i")
 def ml_gbt_shared(spark, d):
-    """One fit with the horizon as a feature."""
-    rows = mt.long_targets(_split(spark, d))
+    """One weighted fit with the horizon as a feature, its size chosen as for the single ones."""
+    a, stop, b = (mt.long_targets(x) for x in _pool(spark, d))
     cols = FEATURES + ["horizon"]
-    model, _ = ml.boosted(rows.filter("part = 'train'"), cols, "truth", trees=6)
-    p = ml.predict(model, rows.filter("part = 'val'"), cols)
+    model, _ = ml.boosted(a, cols, "truth", "w", stop)
+    p = ml.predict(model, b, cols)
     return p.groupBy("horizon").agg(F.avg(mt.error()).alias("mae"), F.count("*").alias("n"))
 
 
 def oof(spark, d):
-    rows = ml.store(sp.purged_folds(long_features(spark, d).filter("horizon <= 2"), 4, 91), "folds")
-    fit = lambda r, cols, label: ml.ridge(r, cols, label, 1.0, True)
-    return ml.out_of_fold(rows, FEATURES + ["horizon"], "truth", fit, range(1, 4))
+    """Boosted fits of each horizon and fold; each row scored by a fit that hasn't seen its time."""
+    rows = ml.store(sp.purged_folds(long_features(spark, d), 4, 91), "folds")
+    fit = lambda r, cols, label: ml.boosted(r, cols, label)[0]
+    return ml.out_of_fold_by_horizon(rows, FEATURES, "truth", fit, range(1, 4))
 
 
-@query("ml_fold_oof", "fold:i n:i mae")
+@query("ml_fold_oof", "fold:i horizon:i n:i mae")
 def ml_fold_oof(spark, d):
     scored, _ = oof(spark, d)
-    return scored.groupBy("fold").agg(F.count("*").alias("n"), F.avg(mt.error()).alias("mae"))
+    return scored.groupBy("fold", "horizon").agg(F.count("*").alias("n"), F.avg(mt.error()).alias("mae"))
 
 
 @query("ml_fold_predict", "region_id:s horizon:i pred")
 def ml_fold_predict(spark, d):
-    """Newest week of each region, predicted by the mean of the fold models."""
+    """Newest week of each region, predicted by the mean of the fold models of each horizon."""
     _, models = oof(spark, d)
-    last = lg.last_week(lg.with_score_history(weekly(spark, d)).select("region_id", "week_idx", *FEATURES))
-    rows = last.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS])))
-    return ml.mean_prediction(models, rows, FEATURES + ["horizon"], 0.5)
+    last = ml.store(lg.last_week(lg.with_score_history(weekly(spark, d)).select("region_id", "week_idx", *FEATURES)), "ends")
+    parts = [ml.mean_prediction(models[h], last, FEATURES, 0.5).withColumn("horizon", F.lit(h)) for h in HORIZONS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("ml_stratified", "region_id:s horizon:i pred")
@@ -118,8 +131,10 @@ def ml_stratified(spark, d):
     """Short-gap and long-gap fits, blended by each region's gap."""
     g = gaps.gap_weeks(gapped_train(spark, d), test(spark, d))
     strata = g.select("region_id", gaps.stratum(F.col("gap_weeks")).alias("stratum"))
-    rows = ml.store(sp.by_stratum(long_features(spark, d), strata), "strata")
-    last = lg.last_week(lg.with_score_history(weekly(spark, d)).select("region_id", "week_idx", *FEATURES))
+    # features, targets and newest week all end where the region's history ends
+    weeks = ml.store(wk.weekly_blocks(gapped_train(spark, d), keep=["score"]), "gapped-weeks")
+    rows = ml.store(sp.by_stratum(long_features(spark, d, weeks), strata), "strata")
+    last = lg.last_week(lg.with_score_history(weeks).select("region_id", "week_idx", *FEATURES))
     ends = ml.store(last.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))), "ends")
     cols = FEATURES + ["horizon"]
     preds = {s: ml.predict(ml.ridge(rows.filter(F.col("stratum") == s), cols, "truth", 1.0, True), ends, cols)
@@ -130,9 +145,11 @@ def ml_stratified(spark, d):
 @query("ml_av_rows", "region_id:s week_idx:i p weight auc")
 def ml_av_rows(spark, d):
     """How test-like each week's weather is, by the weather of its season."""
-    rows = ml.store(sp.with_woy_distance(feature_rows(spark, d), meta(spark, d)).withColumn(
-        "label", (F.col("woy_dist") <= 6).cast("int")), "av")
-    cols = [f"{c}_mean" for c in CHANNELS] + ["prec_sum", "tmp_p95", "prec_std"]
+    w = weekly(spark, d)
+    rows = lg.lag_matrix(w)
+    cols = sp.lag0_weather_columns(rows.columns)
+    rows = rows.select("region_id", "week_idx", *cols).join(w.select("region_id", "week_idx", "woy"), ["region_id", "week_idx"])
+    rows = ml.store(sp.with_woy_distance(rows, meta(spark, d)).withColumn("label", (F.col("woy_dist") <= 6).cast("int")), "av")
     out, auc = ml.shift_classifier(rows, cols, "label", ["region_id", "week_idx"])
     return out.withColumn("auc", F.lit(auc))
 
@@ -153,7 +170,7 @@ def ml_av_regions(spark, d):
     a = ml.region_weather(train(spark, d)).withColumn("label", F.lit(0))
     b = ml.region_weather(test(spark, d)).withColumn("label", F.lit(1))
     rows = ml.store(a.unionByName(b), "av-regions")
-    out, auc = ml.shift_classifier(rows, STATS, "label", ["region_id", "label"], trees=4)
+    out, auc = ml.shift_classifier(rows, STATS, "label", ["region_id", "label"], holdout=False)
     return wt.with_unit_mean(out.filter("label = 0"), "weight").withColumn("auc", F.lit(auc))
 
 
@@ -168,10 +185,8 @@ def ml_kmeans_profile(spark, d):
 
 @query("ml_kmeans", "region_id:s region_cluster_id:i cluster_score_mean cluster_zero_rate")
 def ml_kmeans(spark, d):
-    """Every seventh region is unseen by the clustering."""
     profile = ml.store(ml.score_profile(weekly(spark, d)), "profile")
-    seen = profile.filter(F.substring("region_id", 2, 9).cast("int") % 7 != 3)
-    return ml.join_clusters(profile.select("region_id"), ml.region_clusters(seen))
+    return ml.join_clusters(profile.select("region_id"), ml.region_clusters(profile))
 
 
 CLASSES = f"SELECT p.*, CAST(floor(mean_score*4) AS BIGINT) AS region_cluster_id FROM ({PROFILE_SQL}) p"
@@ -268,8 +283,8 @@ def ml_decomp_linear(spark, d):
 @query("ml_importance", "feature:s importance rank:i")
 def ml_importance(spark, d):
     rows = feature_rows(spark, d)
-    models = [ml.boosted(rows, FEATURES, f"target_w{h}", trees=3)[0] for h in (1, 5)]
-    ranked = ml.importance(models, FEATURES, 10)
+    models = [ml.boosted(rows, FEATURES, f"target_w{h}")[0] for h in HORIZONS]
+    ranked = ml.importance(models, FEATURES)
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
 
 

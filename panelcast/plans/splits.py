@@ -135,35 +135,47 @@ def split_leakfree(spark, d):
     return sp.season_holdout(ordinal_anchors(spark, d), last_test_week(spark, d))
 
 
-@query("split_random", "part:s n:i")
+def share_sql(keys, seed, buckets=1000):
+    """The row's place 0 .. buckets - 1 by the leading hexadecimal digits of a digest of its key and the seed."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 12) AS BIGINT) % {buckets}"
+
+
+def rank_sql(keys, seed):
+    return f"substr(md5(concat_ws('|', {', '.join(keys)}, '{seed}')), 1, 16)"
+
+
+@query("split_random", "part:s n:i", f"""SELECT CASE WHEN {share_sql(["region_id", "week_idx"], 42)} < 100 THEN 'val' ELSE 'train' END AS part, count(*) n
+FROM anc GROUP BY 1""")
 def split_random(spark, d):
     return sp.random_split(anchors(spark, d), ["region_id", "week_idx"]).groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("split_stratum", WK + "stratum:s", """
 SELECT region_id, week_idx, coalesce(stratum, 'long') AS stratum FROM anc LEFT JOIN
-  (SELECT region_id, CASE WHEN gap_weeks < 13 THEN 'short' ELSE 'long' END AS stratum FROM gap WHERE CAST(substr(region_id, 2) AS INT) % 7 <> 3) USING (region_id)""")
+  (SELECT region_id, CASE WHEN gap_weeks < 13 THEN 'short' ELSE 'long' END AS stratum FROM gap) USING (region_id)""")
 def split_stratum(spark, d):
-    g = gaps.gap_weeks(gapped_train(spark, d), test(spark, d)).filter(F.substring("region_id", 2, 9).cast("int") % 7 != 3)
+    g = gaps.gap_weeks(gapped_train(spark, d), test(spark, d))
     return sp.by_stratum(anchors(spark, d), g.select("region_id", gaps.stratum(F.col("gap_weeks")).alias("stratum")))
 
 
-@query("filt_season_tail", "in_season:b n:i")
+@query("filt_season_tail", "in_season:b n:i", f"""
+SELECT dist <= 6 AS in_season, count(*) n FROM (SELECT region_id, week_idx, least(abs(woy - test_woy), 52 - abs(woy - test_woy)) AS dist FROM anc JOIN tmeta USING (region_id))
+WHERE dist <= 6 OR {share_sql(["region_id", "week_idx"], 42)} < 200 GROUP BY 1""")
 def filt_season_tail(spark, d):
     df = sp.with_woy_distance(anchors(spark, d), meta(spark, d))
     return sp.season_and_tail(df).groupBy((F.col("woy_dist") <= 6).alias("in_season")).agg(F.count("*").alias("n"))
 
 
 def _totals(spark, d, cols):
-    """Sum of every kept column of the lag matrix, in thousands of units per anchor."""
+    """Sum of every kept column of the lag matrix per anchor."""
     df = lg.lag_matrix(weekly(spark, d))
-    one = df.agg(*[(F.sum(c) / F.count("*") / 1000).alias(c) for c in cols])
+    one = df.agg(*[(F.sum(c) / F.count("*")).alias(c) for c in cols])
     return one.unpivot([], list(cols), "column_name", "mean_value")
 
 
 def _totals_sql(cols):
     lagged = {n: (c, k) for n, c, k in LAGS}
-    exprs = ", ".join(f"avg(coalesce({n}, 0))/1000 AS {n}" for n in cols)
+    exprs = ", ".join(f"avg(coalesce({n}, 0)) AS {n}" for n in cols)
     inner = ", ".join(f"lag({lagged[n][0]}, {lagged[n][1]}, 0) OVER o AS {n}" if lagged[n][1] else f"{lagged[n][0]} AS {n}" for n in cols)
     return f"""UNPIVOT (SELECT {exprs} FROM (SELECT region_id, week_idx, lead(score, 5) OVER o AS t5, {inner} FROM wk
       WINDOW o AS (PARTITION BY region_id ORDER BY week_idx)) WHERE week_idx >= 12 AND t5 IS NOT NULL)
@@ -175,12 +187,12 @@ ALL_LAGS = [n for n, _, _ in LAGS]
 ALLOWED = [n for n in ALL_LAGS if "_p95_" not in n and int(n.rsplit("lag", 1)[1]) <= 6]
 
 
-@query("filt_feature_allow", "column_name:s mean_value", _totals_sql([n for n in ALL_LAGS if n in set(ALLOWED) or "_p95_" in n]))
+@query("filt_feature_allow", "column_name:s mean_value:r", _totals_sql([n for n in ALL_LAGS if n in set(ALLOWED) or "_p95_" in n]))
 def filt_feature_allow(spark, d):
     return _totals(spark, d, sp.allowed_columns(ALL_LAGS, ALLOWED))
 
 
-@query("filt_lag0_meteo", "column_name:s mean_value", _totals_sql([n for n in ALL_LAGS if n.endswith("_lag0")]))
+@query("filt_lag0_meteo", "column_name:s mean_value:r", _totals_sql([n for n in ALL_LAGS if n.endswith("_lag0")]))
 def filt_lag0_meteo(spark, d):
     return _totals(spark, d, sp.lag0_weather_columns(ALL_LAGS + PREV_COLS + ["anom_tmp_lag0", "month_sin"]))
 
@@ -199,15 +211,20 @@ def filt_lean(spark, d):
     return df.agg(*[F.count(c).alias(c) for c in kept]).unpivot([], kept, "column_name", "n_values")
 
 
-@query("samp_recent_bias", "region_id:s n:i oldest:i")
+@query("samp_recent_bias", "region_id:s n:i oldest:i", f"""
+SELECT region_id, count(*) n, min(day_idx) oldest FROM (SELECT * FROM (SELECT region_id, day_idx, count(*) OVER (PARTITION BY region_id) n,
+    row_number() OVER (PARTITION BY region_id ORDER BY day_idx) - 1 AS pos FROM train WHERE score IS NOT NULL) WHERE n >= 10
+  QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY CAST(pos < floor(n * (1 - 0.4)) AS INT), {rank_sql(["region_id", "day_idx"], 42)}) <= 200) GROUP BY 1""")
 def samp_recent_bias(spark, d):
     s = sp.recent_biased(train(spark, d).filter("score is not null").select("region_id", "day_idx", "score"))
     return s.groupBy("region_id").agg(F.count("*").alias("n"), F.min("day_idx").alias("oldest"))
 
 
-@query("samp_cap_region", "region_id:s n:i")
+@query("samp_cap_region", "region_id:s n:i first:i", f"""SELECT region_id, count(*) n, min(week_idx) AS first FROM (SELECT region_id, week_idx FROM anc
+  QUALIFY row_number() OVER (PARTITION BY region_id ORDER BY {rank_sql(["region_id", "week_idx"], 42)}) <= 250) GROUP BY 1""")
 def samp_cap_region(spark, d):
-    return sp.capped_regions(anchors(spark, d).select("region_id", "week_idx")).groupBy("region_id").agg(F.count("*").alias("n"))
+    return sp.capped_regions(anchors(spark, d).select("region_id", "week_idx")).groupBy("region_id").agg(
+        F.count("*").alias("n"), F.min("week_idx").alias("first"))
 
 
 @query("samp_tail_region", "region_id:s day_idx:i score:i", """
@@ -217,7 +234,8 @@ def samp_tail_region(spark, d):
     return sp.newest_scored(train(spark, d).select("region_id", "day_idx", "score"))
 
 
-@query("samp_majority", "quiet:b n:i")
+@query("samp_majority", "quiet:b n:i", f"""SELECT quiet, count(*) n FROM (SELECT *, greatest({", ".join(f"target_w{h}" for h in HORIZONS)}) = 0 AS quiet FROM anc)
+WHERE NOT quiet OR {share_sql(["region_id", "week_idx"], 42)} < 500 GROUP BY 1""")
 def samp_majority(spark, d):
     s = sp.thin_quiet(anchors(spark, d))
     quiet = F.greatest(*[f"target_w{h}" for h in HORIZONS]) == 0
@@ -225,12 +243,11 @@ def samp_majority(spark, d):
 
 
 @query("set_region_overlap", "n_both:i n_only_train:i n_only_test:i", """
-SELECT (SELECT count(*) FROM (SELECT region_id FROM train WHERE nk % 7 <> 3 INTERSECT SELECT region_id FROM test WHERE nk % 5 <> 4)) n_both,
-  (SELECT count(*) FROM (SELECT region_id FROM train WHERE nk % 7 <> 3 EXCEPT SELECT region_id FROM test WHERE nk % 5 <> 4)) n_only_train,
-  (SELECT count(*) FROM (SELECT region_id FROM test WHERE nk % 5 <> 4 EXCEPT SELECT region_id FROM train WHERE nk % 7 <> 3)) n_only_test""")
+SELECT (SELECT count(*) FROM (SELECT region_id FROM train INTERSECT SELECT region_id FROM test)) n_both,
+  (SELECT count(*) FROM (SELECT region_id FROM train EXCEPT SELECT region_id FROM test)) n_only_train,
+  (SELECT count(*) FROM (SELECT region_id FROM test EXCEPT SELECT region_id FROM train)) n_only_test""")
 def set_region_overlap(spark, d):
-    nk = F.substring("region_id", 2, 9).cast("int")
-    return sp.region_overlap(train(spark, d).filter(nk % 7 != 3), test(spark, d).filter(nk % 5 != 4))
+    return sp.region_overlap(train(spark, d), test(spark, d))
 
 
 def _strategy(name, score):

@@ -39,12 +39,11 @@ FULL = lambda c, s: f"CASE WHEN count({c}) = 7 THEN {stat_sql(c, s)} END AS {c}_
 
 
 @query("wk_back", f"region_id:s week_idx:i {META} " + " ".join(f"{c}_{s}" for c in CHANNELS for s in BACK),
-       "SELECT region_id, 11 - (90 - day_idx)//7 AS week_idx, max_by(month, day_idx) AS month, max_by(doy, day_idx) AS doy, "
+       "SELECT region_id, 12 - (90 - day_idx)//7 AS week_idx, max_by(month, day_idx) AS month, max_by(doy, day_idx) AS doy, "
        + ", ".join(FULL(c, s) for c in CHANNELS for s in BACK)
-       + " FROM test WHERE day_idx >= 3 GROUP BY region_id, (90 - day_idx)//7 HAVING count(*) = 7")
+       + " FROM test GROUP BY region_id, (90 - day_idx)//7 HAVING count(*) = 7")
 def wk_back(spark, d):
-    """88 days, so the four oldest do not fill a block."""
-    return wk.weekly_blocks_back(test(spark, d).filter("day_idx >= 3"))
+    return wk.weekly_blocks_back(test(spark, d))
 
 
 @query("wk_strict", f"region_id:s week_idx:i {META} score:i " + " ".join(f"{c}_{s}" for c in CHANNELS for s in BACK),
@@ -52,9 +51,9 @@ def wk_back(spark, d):
        + ", ".join(f"{c}_{s}" for c in CHANNELS for s in BACK) + " FROM (SELECT region_id, day_idx, month, doy, score, "
        "count(*) OVER w AS rows_, "
        + ", ".join(f"CASE WHEN count({c}) OVER w = 7 THEN {frame_stat(c, s)} END AS {c}_{s}" for c in CHANNELS for s in BACK)
-       + f" FROM train WHERE day_idx >= 3 {W7}) WHERE score IS NOT NULL AND rows_ = 7")
+       + f" FROM train {W7}) WHERE score IS NOT NULL AND rows_ = 7")
 def wk_strict(spark, d):
-    return wk.weekly_at_anchors(train(spark, d).filter("day_idx >= 3"), stats=BACK, strict=True)
+    return wk.weekly_at_anchors(train(spark, d), stats=BACK, strict=True)
 
 
 CH15 = [f"{c}_mean" for c in CHANNELS] + ["surf_pre_drop", "surf_pre_climb", "surf_pre_std", "prec_max",

@@ -64,8 +64,9 @@ def scored_rows(df):
 
 
 def sample_regions(df, k, seed=42, key="region_id"):
-    """All rows of k regions chosen by a seeded hash of the id."""
-    chosen = df.select(key).distinct().orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    """All rows of k regions chosen by a seeded digest of the id."""
+    digest = F.md5(F.concat_ws("|", F.col(key), F.lit(str(seed))))
+    chosen = df.select(key).distinct().orderBy(digest, key).limit(k)
     return df.join(chosen, key, "left_semi")
 
 
