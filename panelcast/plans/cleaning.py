@@ -108,7 +108,7 @@ def prep_rank_apply(spark, d):
     return cl.rank_normalize(t, cl.rank_anchors(t, test(spark, d), RANK_CHANNELS), RANK_CHANNELS)
 
 
-PIPE_RANK = ["humidity", "tmp_range"]
+PIPE_RANK = RANK_CHANNELS
 
 
 @query("prep_pipeline", ROW, ranked_sql(transformed(CLIPPED(IMPUTED), TRANSFORMS), PIPE_RANK))
@@ -133,7 +133,7 @@ def prep_zerofill(spark, d):
     return cl.fill_zero(train(spark, d), CHANNELS)
 
 
-NORM = ["tmp_mean", "prec_mean", "humidity_mean", "surf_pre_mean"]
+NORM = [f"{c}_mean" for c in CHANNELS]
 
 
 @query("prep_channel_norm", "region_id:s week_idx:i " + " ".join(f"{c}_z" for c in NORM),
@@ -149,10 +149,10 @@ def prep_channel_norm(spark, d):
     return cl.channel_norm(weekly(spark, d), cutoff, NORM, "week_idx")
 
 
-@query("prep_instance_norm", "region_id:s week_idx:i " + " ".join(f"{c}_mu {c}_sigma {c}_norm" for c in NORM[:2]),
+@query("prep_instance_norm", "region_id:s week_idx:i " + " ".join(f"{c}_mu {c}_sigma {c}_norm" for c in NORM),
        "SELECT region_id, week_idx, " + ", ".join(
            f"avg({c}) OVER w AS {c}_mu, stddev_pop({c}) OVER w AS {c}_sigma, "
-           f"({c} - avg({c}) OVER w)/(stddev_pop({c}) OVER w + 1e-5) AS {c}_norm" for c in NORM[:2])
+           f"({c} - avg({c}) OVER w)/(stddev_pop({c}) OVER w + 1e-5) AS {c}_norm" for c in NORM)
        + " FROM wk WINDOW w AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN 51 PRECEDING AND CURRENT ROW)")
 def prep_instance_norm(spark, d):
-    return weekly_frames(weekly(spark, d), cl.instance_norm(NORM[:2], last_weeks(52)), 51)
+    return weekly_frames(weekly(spark, d), cl.instance_norm(NORM, last_weeks(52)), 51)

@@ -1,4 +1,5 @@
 """CSV scans and sinks, small keyed tables, the feature cache and the run log."""
+import atexit
 import json
 import tempfile
 import uuid
@@ -25,8 +26,23 @@ def workspace(spark, name):
     return f"{root.rstrip('/')}/panelcast/{name}"
 
 
+_written = []
+
+
 def fresh(spark, name):
-    return f"{workspace(spark, name)}-{uuid.uuid4().hex}"
+    """A new folder for one table of this session; it goes when the process ends, or with `release`."""
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(f"{workspace(spark, name)}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def release(spark):
+    """Delete the tables that this process has stored so far. Nothing may still read them."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
 
 
 def store(df, name):

@@ -18,6 +18,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def entity(spark):
+    """What a region is: "nation" (the default), or "supplier", whose number grows with the scale factor."""
+    return spark.conf.get("panelcast.entity", "nation")
+
+
 def _between_days(items, first, end):
     """Ship dates of days first .. end-1, as a range the parquet scan can use."""
     kind = items.schema["l_shipdate"].dataType
@@ -27,17 +32,21 @@ def _between_days(items, first, end):
 
 
 def daily_observations(spark, sf_dir, first=0, end=DAYS):
-    """Per (nation, day) sums of line items of the days first .. end-1.
+    """Per (entity, day) sums of line items of the days first .. end-1.
 
-    The supplier side joins on its key and is broadcast only when its measured size allows;
-    otherwise the join shuffles and the engine splits oversized supplier keys at run time.
-    Line items are summed map-side before the (nation, day) shuffle, which spreads a nation
+    For nations the supplier side joins on its key and is broadcast only when its measured size
+    allows; otherwise the join shuffles and the engine splits oversized supplier keys at run time.
+    Line items are summed map-side before the (entity, day) shuffle, which spreads an entity
     over its days.
     """
     day = F.datediff(F.to_date("l_shipdate"), F.lit(START).cast("date")).cast("bigint")
-    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    items = _between_days(table(spark, sf_dir, "lineitem"), first, end).join(supplier, "l_suppkey")
-    return items.groupBy("s_nationkey", day.alias("day_idx")).agg(
+    items = _between_days(table(spark, sf_dir, "lineitem"), first, end)
+    if entity(spark) == "nation":
+        supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("entity"))
+        items = items.join(supplier, "l_suppkey")
+    else:
+        items = items.withColumn("entity", F.col("l_suppkey"))
+    return items.groupBy("entity", day.alias("day_idx")).agg(
         F.count("*").alias("n"),
         F.sum("l_quantity").alias("qty"),
         F.sum(F.floor(F.col("l_extendedprice") * 100 + 0.5)).alias("cents"),
@@ -57,11 +66,12 @@ def panel(spark, sf_dir, first=0, end=DAYS):
     """Columns region_id, day_idx, date, the nine channels and the weekly score, for the days
     first .. end-1. Both are multiples of seven, so every score sees its whole week."""
     seen = daily_observations(spark, sf_dir, first, end)
-    entities = table(spark, sf_dir, "supplier").select("s_nationkey").distinct()
-    dense = spine(entities, "s_nationkey", first, end).join(seen, ["s_nationkey", "day_idx"], "left")
+    key = "s_nationkey" if entity(spark) == "nation" else "s_suppkey"
+    entities = table(spark, sf_dir, "supplier").select(F.col(key).alias("entity")).distinct()
+    dense = spine(entities, "entity", first, end).join(seen, ["entity", "day_idx"], "left")
     n = F.col("n")
     dense = dense.select(
-        F.concat(F.lit("R"), F.col("s_nationkey").cast("string")).alias("region_id"), "day_idx",
+        F.concat(F.lit("R"), F.col("entity").cast("string")).alias("region_id"), "day_idx",
         F.date_format(F.date_add(F.lit(START).cast("date"), F.col("day_idx").cast("int")),
                       "yyyy-MM-dd").alias("date"),
         (F.col("disc") / n).alias("humidity"), (F.col("cents") / n / 100).alias("tmp"),
