@@ -246,3 +246,57 @@ def test_ragged_errors_skip_missing_targets(spark):
                                "region_id string, week_idx long, horizon int, pred double, truth double")
     r = metrics.macro_mae(df).first()
     assert r.mae_w1 == 1.0 and r.mae_w2 is None and r.macro_mae == 2.0
+
+
+def _fold_rows(spark, n):
+    rows = [("R1", k, h, k + h, float((k % 7) + h) / 4, 0, "val" if k % 3 == 0 else "train") for k in range(n) for h in range(1, 6)]
+    return spark.createDataFrame(rows, "region_id string, ord int, horizon int, x int, truth double, fold int, part string")
+
+
+def test_each_horizon_has_its_own_fold_models(spark):
+    seen = []
+
+    def fit(rows, cols, label):
+        seen.append({r.horizon for r in rows.select("horizon").distinct().collect()})
+        return models.ridge(rows, cols, label, 1.0)
+    scored, fits = models.out_of_fold_by_horizon(_fold_rows(spark, 60).withColumn("fold", F.lit(1)), ["x"], "truth", fit, [1])
+    assert sorted(fits) == [1, 2, 3, 4, 5] and all(len(m) == 1 for m in fits.values())
+    assert seen == [{1}, {2}, {3}, {4}, {5}]
+    assert {(r.horizon, r["count"]) for r in scored.groupBy("horizon").count().collect()} == {(h, 20) for h in range(1, 6)}
+
+
+def test_without_folds_the_late_rows_are_scored(spark):
+    fit = lambda rows, cols, label: models.ridge(rows, cols, label, 1.0)
+    scored, fits = models.out_of_fold_by_horizon(_fold_rows(spark, 10), ["x"], "truth", fit, [1, 2])
+    assert all(len(m) == 1 for m in fits.values())
+    got = scored.groupBy("horizon").agg(F.min("ord").alias("a"), F.count("*").alias("n"), F.max("fold").alias("f")).collect()
+    assert {(r.a, r.n, r.f) for r in got} == {(8, 2, 0)}
+    scored, fits = models.out_of_fold_by_horizon(_fold_rows(spark, 10).limit(0), ["x"], "truth", fit, [1])
+    assert scored.count() == 0 and not any(fits.values())
+
+
+def test_isotonic_input_is_bounded(spark):
+    rows = spark.range(1_000_000).select((F.col("id") / 200_000).alias("pred"), (F.col("id") / 200_000).alias("truth"))
+    model = models.isotonic(rows)
+    assert model.boundaries.size <= 50_001
+    worst = models.apply_isotonic(model, rows.filter("pred < 4.9").sample(0.001, 1)).agg(F.max(F.abs(F.col("pred") - F.col("truth")))).first()[0]
+    assert worst < 2e-4
+
+
+def test_sampling_digest_is_md5_of_key_and_seed(spark):
+    import hashlib
+    df = spark.createDataFrame([("R1", 3), ("R2", 4)], "region_id string, week_idx int")
+    got = [r[0] for r in df.orderBy("region_id").select(splits.hashed_share(["region_id", "week_idx"], 42)).collect()]
+    assert got == [int(hashlib.md5(f"{a}|{b}|42".encode()).hexdigest()[:12], 16) % 1000 for a, b in (("R1", 3), ("R2", 4))]
+
+
+def test_stored_tables_can_be_released(spark):
+    from panelcast.sources import files
+    df = files.store(spark.range(5), "x")
+    path = files._written[-1]
+    assert df.count() == 5 and files._exists(spark, path)
+    keep = list(files._written)
+    files._written[:] = [path]
+    files.release(spark)
+    assert not files._exists(spark, path)
+    files._written[:] = keep[:-1]
