@@ -100,17 +100,23 @@ def with_calendar(df, date="date"):
 
 
 def region_number(region_id) -> Column:
-    """'R123' -> 123."""
-    return F.substring(region_id, 2, 18).try_cast("bigint")
+    """'R123' -> 123; null where the rest of the id isn't a number that fits."""
+    return F.substring(region_id, F.lit(2), F.length(region_id)).try_cast("bigint")
 
 
 def dense_index(df, key="region_id", out="region_index"):
     """Distinct keys numbered 0.. in key order.
 
-    Keys are counted per hash-free range (their first characters), so only the short
-    table of prefixes is numbered by one task.
+    Keys are range-partitioned and numbered within their range; only the table of ranges, one row
+    each, is summed by one task. The ranges are stored, so both passes see the same ones.
     """
-    from panelcast.functions.chunks import with_position
-    ids = df.select(key).distinct()
-    return with_position(ids.withColumn("_p", F.substring(F.col(key), 1, 4)), [], key, out,
-                         chunk_expr=F.col("_p")).drop("_p")
+    from pyspark.sql import Window
+
+    from panelcast.sources.files import store
+    place = F.monotonically_increasing_id()
+    ids = df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).select(
+        key, F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_place"))
+    ids = store(ids, "ids")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return ids.join(sizes.drop("_n"), "_range").select(key, (F.col("_before") + F.col("_place")).alias(out))

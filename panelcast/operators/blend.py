@@ -99,13 +99,16 @@ def hill_climb(aligned, names, step=0.02, max_steps=200, objective="cluster_mae"
     """Greedy weights: add the step that lowers the objective most, stop below a gain of 1e-6.
 
     Every step is one aggregation that scores all members' moves together. Returns the
-    normalised weights and the history [(added member, objective)].
+    normalised weights and the history [(added member, objective)]; without rows the weights are
+    equal and the history is empty.
     """
     weights, best, history = [0.0] * len(names), float("inf"), []
     for _ in range(max_steps):
         total = sum(weights) + step
         moves = [[(w + step * (i == j)) / total for j, w in enumerate(weights)] for i in range(len(names))]
-        scores = {r["weight_id"]: r[objective] for r in score_weights(aligned, names, moves).collect()}
+        scores = {r["weight_id"]: r[objective] for r in score_weights(aligned, names, moves).collect() if r[objective] is not None}
+        if not scores:
+            break
         i = min(scores, key=lambda k: (scores[k], k))
         if scores[i] >= best - 1e-6:
             break
@@ -113,7 +116,7 @@ def hill_climb(aligned, names, step=0.02, max_steps=200, objective="cluster_mae"
         best = scores[i]
         history.append((names[i], best))
     total = sum(weights)
-    return [w / total for w in weights], history
+    return [w / total if total else 1 / len(names) for w in weights], history
 
 
 def member_correlations(aligned, names):

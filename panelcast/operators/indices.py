@@ -235,15 +235,14 @@ def standardized(rows, stats, series, scales):
 
 def tail_sums(train_weekly, test_weekly, series, scales, recent=4):
     """Sums of the last `scale` weeks of train and test history together, and recent means."""
-    ahead = F.lit(10 ** 6)
-    both = train_weekly.select(KEY, WEEK, *series).unionByName(
-        test_weekly.select(KEY, (F.col(WEEK) + ahead).alias(WEEK), *series))
+    both = train_weekly.select(KEY, WEEK, F.lit(False).alias("_ahead"), *series).unionByName(
+        test_weekly.select(KEY, WEEK, F.lit(True).alias("_ahead"), *series))
     # Weeks are 0-based without holes in each part, so the rank from the end is arithmetic.
-    sizes = both.groupBy(KEY).agg(F.max(WEEK).alias("_last"),
-                                  F.max(F.when(F.col(WEEK) < ahead, F.col(WEEK))).alias("_train_last"))
-    j = both.join(sizes.filter(F.col("_last") >= ahead), KEY)
-    back = F.when(F.col(WEEK) >= ahead, F.col("_last") - F.col(WEEK)).otherwise(
-        F.col("_last") - ahead + 1 + F.col("_train_last") - F.col(WEEK))
+    sizes = both.groupBy(KEY).agg(F.max(F.when(F.col("_ahead"), F.col(WEEK))).alias("_last"),
+                                  F.max(F.when(~F.col("_ahead"), F.col(WEEK))).alias("_train_last"))
+    j = both.join(sizes.filter(F.col("_last").isNotNull()), KEY)
+    back = F.when(F.col("_ahead"), F.col("_last") - F.col(WEEK)).otherwise(
+        F.col("_last") + 1 + F.col("_train_last") - F.col(WEEK))
     j = j.withColumn("_back", back)
     return j.groupBy(KEY).agg(
         *[F.expr(f"sum(CASE WHEN _back < {s} THEN {c} END) AS cum_{c}_{s}") for c in series for s in scales],

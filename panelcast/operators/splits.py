@@ -74,8 +74,8 @@ def purged_folds(df, n_splits, gap_days, time="ord", tie=("horizon",), chunk=409
     cut_days = rows.filter(F.size("_cuts") > 0).withColumn("_tie", region_number(F.col(KEY)))
     order = "_order"
     cut_days = cut_days.withColumnRenamed("_before", "_day_before")
-    ranked = with_position(cut_days.withColumn(order, F.struct("_tie", *tie)), [time], order, "_rank",
-                           chunk_expr=F.floor(F.col("_tie") / 65536)).drop("_tie", order).withColumnRenamed("_day_before", "_before")
+    ranked = with_position(cut_days.withColumn(order, F.struct("_tie", F.col(KEY).alias("_key"), *tie)), [time], order, "_rank",
+                           chunk_expr=F.coalesce(F.floor(F.col("_tie") / 65536), F.lit(-1))).drop("_tie", order).withColumnRenamed("_day_before", "_before")
     whole = rows.filter(F.size("_cuts") == 0).withColumn("_rank", F.lit(0).cast("bigint"))
     placed = whole.unionByName(ranked).withColumn(
         "_at", F.least(F.lit(n_splits - 1), F.floor((F.col("_before") + F.col("_rank")) / F.col("_block"))))

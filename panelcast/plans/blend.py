@@ -106,7 +106,7 @@ def bl_hillclimb_first(spark, d):
 @query("bl_hillclimb", "member:s weight objective")
 def bl_hillclimb(spark, d):
     weights, history = bl.hill_climb(stored(spark, d), MEMBERS, step=0.02, max_steps=200)
-    rows = [(m, w, history[-1][1]) for m, w in zip(MEMBERS, weights)]
+    rows = [(m, w, history[-1][1] if history else None) for m, w in zip(MEMBERS, weights)]
     return spark.createDataFrame(rows, "member string, weight double, objective double")
 
 

@@ -95,7 +95,7 @@ def prediction_table(long, pred="pred"):
 
 def write_predictions(wide, path):
     """CSV parts in numeric region order; the range sort keeps the parts in order too."""
-    ordered = wide.withColumn("_id", region_number(F.col("region_id"))).orderBy("_id").drop("_id")
+    ordered = wide.withColumn("_id", region_number(F.col("region_id"))).orderBy("_id", "region_id").drop("_id")
     ordered.write.mode("overwrite").option("header", True).csv(path)
 
 
