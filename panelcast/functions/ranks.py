@@ -8,28 +8,30 @@ decide how evenly the work is spread, never the result.
 import numpy as np
 from pyspark.sql import Window, functions as F
 
-MAX_BUCKETS = 4096
-
 
 def bucket_borders(df, cols, buckets=None):
     """Per column, at most buckets-1 increasing border values (a driver list of fixed size).
 
-    There are as many buckets as shuffle partitions.
+    There are as many buckets as shuffle partitions, and the sketch is four times finer than they are.
     """
-    buckets = buckets or min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets < 2:
         return {c: [] for c in cols}
     probs = [i / buckets for i in range(1, buckets)]
-    found = df.select(*[F.col(c).cast("double") for c in cols]).approxQuantile(list(cols), probs, 0.005)
+    found = df.select(*[F.col(c).cast("double") for c in cols]).approxQuantile(list(cols), probs, 0.25 / buckets)
     return {c: sorted(set(v)) for c, v in zip(cols, found)}
 
 
+def _long(df, ids, cols):
+    return df.unpivot(list(ids), list(cols), "channel", "v").filter(F.col("v").isNotNull())
+
+
 def value_counts(df, cols, by=(), weights=None):
     """Long table (by.., channel, v, n) of distinct values; `weights` adds counted flags."""
     long = (df.select(*by, *(weights or {}).values(), *[F.col(c).cast("double").alias(c) for c in cols])
             if weights else df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]))
     ids = [*by, *(weights or {}).keys()]
-    long = long.unpivot(ids, list(cols), "channel", "v").filter(F.col("v").isNotNull())
+    long = _long(long, ids, cols)
     sums = [F.sum(w).alias(w) for w in (weights or {})]
     return long.groupBy(*by, "channel", "v").agg(F.count("*").alias("n"), *sums)
 
@@ -82,22 +84,29 @@ def running_counts(counts, borders, by=(), measures=("n",)):
 def exact_quantiles(df, cols, probs, by=(), borders=None):
     """Long table (by.., channel, q, value): linearly interpolated quantiles, nulls skipped.
 
-    `q` is the index of the probability in `probs`. Only the buckets that hold a wanted rank
-    are sorted; the others are counted.
+    `q` is the index of the probability in `probs`. Rows are counted by bucket, which reduces
+    before the shuffle; only the values of buckets that hold a wanted rank are dealt out and sorted.
     """
     borders = borders or bucket_borders(df, cols)
     group = [*by, "channel"]
-    cut = value_counts(df, cols, by).withColumn("_b", _bucket(borders))
-    offsets = _bucket_offsets(cut, group, ("n",))
+    rows = _long(df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols]), by, cols).withColumn("_b", _bucket(borders))
+    offsets = _bucket_offsets(rows.withColumn("n", F.lit(1)), group, ("n",))
     last, low = F.col("n_all") - 1, F.col("_o_n")
     levels = F.array(*[F.struct(F.lit(i).alias("q"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
     def inside(x):
         return ((F.ceil(x["p"] * last) >= low) & (F.floor(x["p"] * last) < low + F.col("_s_n")))
-    runs = _run(cut, offsets.filter(F.exists(levels, inside)), group, ("n",))
+    wanted = offsets.filter(F.exists(levels, inside))
+    cut = wanted_values(rows, wanted, [*group, "_b"])
+    runs = _run(cut, wanted, group, ("n",))
     first, end = F.col("n_upto") - F.col("n"), F.col("n_upto")
     return _pick_ranks(runs, levels, first, end, last, group)
 
 
+def wanted_values(rows, wanted, keys):
+    """Distinct values, with their number, of the buckets in `wanted`."""
+    return rows.join(wanted.select(*keys), keys, "left_semi").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+
+
 def exact_quantile_grid(df, cols, n, borders=None):
     """As `exact_quantiles` for the n evenly spaced probabilities 0 .. 1."""
     borders = borders or bucket_borders(df, cols)

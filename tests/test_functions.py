@@ -130,3 +130,16 @@ def test_dense_index(spark):
     ids = [f"R{i}" for i in (5, 10, 2, 33, 100, 7)]
     got = {r.region_id: r.region_index for r in cal.dense_index(spark.createDataFrame([(i,) for i in ids] * 2, "region_id string")).collect()}
     assert got == {k: i for i, k in enumerate(sorted(ids))}
+
+
+def test_only_wanted_buckets_reach_the_second_shuffle(spark):
+    from panelcast.functions import ranks
+    df = spark.range(20_000).selectExpr("'R1' AS region_id", "CAST(id * 7919 % 20011 AS double) AS x")
+    borders = ranks.bucket_borders(df, ["x"], 200)
+    assert 190 <= len(borders["x"]) <= 199
+    rows = ranks._long(df, ["region_id"], ["x"]).withColumn("_b", ranks._bucket(borders))
+    wanted = rows.filter("v < 20").select("region_id", "channel", "_b").distinct()
+    assert ranks.wanted_values(rows, wanted, ["region_id", "channel", "_b"]).count() < 400
+    got = {r.q: r.value for r in ranks.exact_quantiles(df, ["x"], [0.01, 0.5, 0.99], borders=borders).collect()}
+    values = np.sort([k * 7919 % 20011 for k in range(20_000)])
+    assert [got[q] for q in range(3)] == pytest.approx([np.quantile(values, p) for p in (0.01, 0.5, 0.99)])
