@@ -259,7 +259,7 @@ def document_key(doc_id, text):
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def spans(docs, key="_key", text="text", length=200, group=20_000):
+def spans(docs, key="_key", text="text", length=200, group=100_000):
     """(key, ranges): byte ranges of each text covered by `length`-byte strings that stand elsewhere too.
 
     `docs` has a 64-bit key per document. Rows with equal key and text are copies of each other. The
@@ -291,10 +291,16 @@ def spans(docs, key="_key", text="text", length=200, group=20_000):
         joined = texts.join(wanted, "key").select("key", "text", "asked")
         return joined.mapInArrow(lambda b: _contexts(b, length), "gram long, key long, at long, single boolean, raw binary")
 
-    usual = fetched(ask.filter(F.col("reps") <= group)).repartition("gram").sortWithinPartitions("gram")
+    contexts = fetched(ask.select("key", "gram", "at", "single"))
+    big = ask.filter(F.col("reps") > group).select("gram").distinct()
+    hot = None
+    if not big.isEmpty():
+        contexts = store(contexts, "contexts")
+        hot, contexts = contexts.join(big, "gram", "left_semi"), contexts.join(big, "gram", "left_anti")
+    usual = contexts.repartition("gram").sortWithinPartitions("gram")
     parts = [covered, usual.mapInArrow(lambda b: _sorted_groups(b, length), "key long, low long, high long")]
-    if not ask.filter(F.col("reps") > group).isEmpty():
-        hot = store(fetched(ask.filter(F.col("reps") > group)), "hot_contexts")
+    if hot is not None:
+        hot = hot.select("gram", "key", "at", "single", "raw")
         windows = hot.mapInArrow(lambda b: _window_hashes(b, length), "gram long, before long, hash long, key long, place long, single boolean")
         same = ["gram", "before", "hash"]
         twice = windows.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
