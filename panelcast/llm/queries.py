@@ -2,7 +2,7 @@
 import public_tokenizers
 
 import corpus_pipeline
-from panelcast.llm import bpe, chaining, dart_minhash, decontamination, near_vectors, resampling, suffix_dedup, token_files, toxicity, url_templates
+from panelcast.llm import bpe, chaining, dart_minhash, decontamination, near_vectors, oracles, resampling, suffix_dedup, token_files, toxicity, url_templates
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -91,6 +91,9 @@ def op10_chaining(spark, sf_dir):
     return chaining.report(table(spark, sf_dir, "documents"))
 
 
+SQL["op4_suffix_dedup"] = oracles.SUFFIX_DEDUP
+SQL["op5_dart_minhash"] = oracles.NEAR_DUPLICATES
+SQL["op7_decontamination"] = oracles.DECONTAMINATION
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
