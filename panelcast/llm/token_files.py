@@ -9,77 +9,78 @@ protocol survives lost executors; the sections are the file format below.
 
 Section formats, little-endian: `ids` int64 document ids with `has_id` flags; `sizes` uint32
 tokens and `symbols` uint32 compressed symbols per document; `rules` uint32 pairs (rule k makes
-symbol BASE + k); `expansions` uint32 per rule; `sequence` uint32 symbols, zlib-packed.
+symbol BASE + k); `expansions` uint32 per rule; `sequence` the symbols in three bytes each.
 """
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-BASE = 1 << 24  # first symbol of a rule; vocabularies are smaller
+from panelcast.llm import wordcodes as C, words as W
+
+BASE = 1 << 20  # first symbol of a rule; vocabularies are smaller
 END = 1
-SHARD = "part int, seq int, n_docs int, n_ids bigint, ids binary, has_id binary, sizes binary, symbols binary, rules binary, expansions binary, sequence binary"
+SLOTS = 18
+SHARD = "part int, seq int, n_docs int, n_ids bigint, before bigint, ids binary, has_id binary, sizes binary, symbols binary, rules binary, expansions binary, sequence binary"
 _held = {}
 
 
-class ChunkEncoder:
-    """Encodes texts with a tokenizers file; keeps the ids of the chunks between ASCII white space.
+class TextEncoder:
+    """Encodes texts with a tokenizers file whose normalizer composes, lower-cases and drops white space.
 
-    The tokenizer drops white space before it splits words, so a text's ids are those of its
-    chunks one after another.
+    Plain texts are split into words with numpy, and the library encodes each word it hasn't seen lately once. A
+    text with special tokens or letters beyond U+0500 is encoded by the library as a whole.
     """
 
-    KEPT = 400_000
-    BREAKS = str.maketrans("\t\n\r", "   ")
-
     def __init__(self, path):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.reset()
-
-    def reset(self):
-        self.known = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.start, self.length = [], []
-
-    def learn(self, chunks):
-        chunks = sorted(chunks)
-        for low in range(0, len(chunks), 4096):
-            part = chunks[low:low + 4096]
-            for chunk, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = got.ids
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.known[chunk] = len(self.start)
-                self.start.append(self.used)
-                self.length.append(len(ids))
-                self.used += len(ids)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.words = C.WordIds(self.learn)
+
+    def learn(self, data, start, length):
+        raw = data.tobytes()
+        words = [raw[a:a + n].decode() for a, n in zip(start.tolist(), length.tolist())]
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    @staticmethod
+    def normal(text):
+        # the library lower-cases letter by letter, so the sigma at a word's end isn't special
+        return unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower().encode()
 
     def encode(self, texts):
-        """Ids of all texts, END after each, and the tokens of each text."""
-        chunks, counts = [], []
-        for text in texts:
-            own = [c for c in (text or "").translate(self.BREAKS).split(" ") if c]
-            chunks += own
-            counts.append(len(own))
-        if len(self.known) > self.KEPT:
-            self.reset()
-        known = self.known
-        self.learn([c for c in set(chunks) if c not in known])
-        number = np.fromiter((known[c] for c in chunks), np.int64, len(chunks))
-        length = np.array(self.length, np.int64)[number] if len(chunks) else np.zeros(0, np.int64)
-        start = np.array(self.start, np.int64)[number] if len(chunks) else np.zeros(0, np.int64)
-        borders = np.concatenate(([0], np.cumsum(length)))
-        ids = self.flat[np.repeat(start - borders[:-1], length) + np.arange(borders[-1])]
-        ends = borders[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate(([0], ends))) + 1
-        return np.insert(ids, ends, END), sizes
+        """Ids of all texts, END after each, and the tokens of each text with its END."""
+        whole = [k for k, t in enumerate(texts) if any(s in t for s in self.special)]
+        own = set(whole)
+        raw = [b"" if k in own else self.normal(t) for k, t in enumerate(texts)]
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        odd = np.flatnonzero(~C.plain_rows(data, offsets)).tolist()
+        if odd:
+            whole += odd
+            for k in odd:
+                raw[k] = b""
+            offsets = np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64)))
+            data = np.frombuffer(b"".join(raw), np.uint8)
+        begin, end, first = C.split_words(data, offsets, False)
+        if len(begin):
+            ids, borders = self.words.ids(data, begin, end)
+            borders = borders[first]
+        else:
+            ids, borders = np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+        if whole:
+            parts = np.split(ids, borders[1:-1])
+            for k, x in zip(whole, self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)):
+                parts[k] = np.array(x.ids, np.int32)
+            ids, borders = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return np.insert(ids, borders[1:], END).astype(np.uint32), np.diff(borders) + 1
 
 
 def compress(ids, sizes, pairs=2048, least=8, gain=0.02):
@@ -100,25 +101,33 @@ def compress(ids, sizes, pairs=2048, least=8, gain=0.02):
         out[rule] = lengths[symbols[rule] - BASE]
         return out
 
+    turn = 0x9E3779B1
     while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        slot = ((a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int64)
-        slot[last[:-1]] = 1 << 18
-        counts = np.bincount(slot, minlength=(1 << 18) + 1)
+        turn = turn * 0x85EBCA77 & 0xFFFFFFFF  # other pairs share slots in each round
+        slot = ((a * np.uint32(turn) ^ b * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - SLOTS)).astype(np.int64)
+        slot[last[:-1]] = 1 << SLOTS
+        counts = np.bincount(slot, minlength=(1 << SLOTS) + 1)
         counts[-1] = 0
-        if len(counts) > pairs:
-            floor = max(least, int(np.partition(counts, -pairs)[-pairs]))
+        floor = max(least, int(np.partition(counts, -pairs)[-pairs]))
         at = np.flatnonzero(counts[slot] >= floor)
-        code = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        found, which, n = np.unique(code, return_inverse=True, return_counts=True)
-        chosen = np.argsort(-n, kind="stable")[:pairs]
-        chosen = chosen[n[chosen] >= least]
+        if not len(at):
+            break
+        # of pairs that share a slot one goes first, the others in a later round
+        own = slot[at]
+        first = np.zeros(len(counts), np.int64)
+        first[own] = at
+        same = (a[at] == a[first[own]]) & (b[at] == b[first[own]])
+        at, own = at[same], own[same]
+        n = np.bincount(own, minlength=len(counts))
+        chosen = np.flatnonzero(n >= least)
+        chosen = chosen[np.argsort(-n[chosen], kind="stable")][:pairs]
         if not len(chosen):
             break
-        place = np.full(len(found), pairs, np.int64)
+        place = np.full(len(counts), pairs, np.int32)
         place[chosen] = np.arange(len(chosen))
-        rank = np.full(len(seq) + 1, pairs, np.int64)  # rank[i + 1]: of the pair at i
-        rank[at + 1] = place[which]
+        rank = np.full(len(seq) + 1, pairs, np.int32)  # rank[i + 1]: of the pair at i
+        rank[at + 1] = place[own]
         here = np.flatnonzero(rank < pairs)
         # of overlapping pairs the lower rank stays; of equal ones in a row every second
         new_run = np.ones(len(here), bool)
@@ -149,6 +158,18 @@ def compress(ids, sizes, pairs=2048, least=8, gain=0.02):
     return rules, lengths, seq, np.diff(np.concatenate(([0], ends)))
 
 
+def pack(sequence):
+    """Symbols below 2**24 as three little-endian bytes each; a shard has fewer rules than fit."""
+    assert len(sequence) == 0 or int(sequence.max()) < 1 << 24
+    return np.ascontiguousarray(sequence.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def unpack(data):
+    out = np.zeros((len(data) // 3, 4), np.uint8)
+    out[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+    return out.view("<u4").ravel()
+
+
 def expand(sequence, rules):
     """Terminal ids of a sequence: each pass replaces the rules by their pairs."""
     while True:
@@ -164,29 +185,29 @@ def expand(sequence, rules):
 
 
 def _shards(batches, path, limit):
-    encoder = _held.get(path) or _held.setdefault(path, ChunkEncoder(path))
+    encoder = _held.get(path) or _held.setdefault(path, TextEncoder(path))
     part, seq = TaskContext.get().partitionId(), 0
-    waiting, size = [], 0
+    waiting, size, before = [], 0, 0
 
     def shard():
-        nonlocal waiting, size, seq
+        nonlocal waiting, size, seq, before
         names = np.concatenate([x[0] for x in waiting])
         has = np.concatenate([x[1] for x in waiting])
         ids, sizes = np.concatenate([x[2] for x in waiting]), np.concatenate([x[3] for x in waiting])
         rules, lengths, sequence, symbols = compress(ids, sizes)
-        row = [[part], [seq], [len(names)], [len(ids)], names.astype("<i8").tobytes(), has.astype(np.uint8).tobytes(),
+        row = [[part], [seq], [len(names)], [len(ids)], [before], names.astype("<i8").tobytes(), has.astype(np.uint8).tobytes(),
                sizes.astype("<u4").tobytes(), symbols.astype("<u4").tobytes(), rules.astype("<u4").tobytes(),
-               lengths.astype("<u4").tobytes(), zlib.compress(sequence.astype("<u4").tobytes(), 1)]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64()] + [pa.binary()] * 7
-        waiting, size, seq = [], 0, seq + 1
+               lengths.astype("<u4").tobytes(), pack(sequence)]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()] + [pa.binary()] * 7
+        waiting, size, seq, before = [], 0, seq + 1, before + len(ids)
         return pa.RecordBatch.from_arrays([pa.array(v if isinstance(v, list) else [v], t) for v, t in zip(row, types)],
                                           names=[f.split()[0] for f in SHARD.split(", ")])
 
     for batch in batches:
         doc_id, texts = batch.column(0), batch.column(1)
-        for low in range(0, batch.num_rows, 256):
-            ids, sizes = encoder.encode(texts.slice(low, 256).to_pylist())
-            own = doc_id.slice(low, 256)
+        for low, high in W.pieces(W.column_bytes(texts)[1], 1 << 20):
+            ids, sizes = encoder.encode(texts.slice(low, high - low).to_pylist())
+            own = doc_id.slice(low, high - low)
             waiting.append((np.asarray(own.fill_null(0)).astype(np.int64), np.asarray(own.is_valid()), ids, sizes))
             size += len(ids)
             if size >= limit:
@@ -206,33 +227,36 @@ def write(docs, path, folder, doc_id="doc_id", text="text", shard_ids=1 << 20):
     rows.mapInArrow(lambda b: _shards(b, path, shard_ids), SHARD).write.mode("overwrite").parquet(folder)
 
 
-def _documents(batches):
+def _documents(batches, starts):
     for batch in batches:
         for row in batch.to_pylist():
             rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-            ids = expand(np.frombuffer(zlib.decompress(row["sequence"]), "<u4"), rules).astype("<u4")
+            ids = expand(unpack(row["sequence"]), rules).astype("<u4")
             sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
             ends = np.cumsum(sizes)
             data = memoryview(ids.tobytes())
             crc = [zlib.crc32(data[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
             names = pa.array(np.frombuffer(row["ids"], "<i8"), mask=np.frombuffer(row["has_id"], np.uint8) == 0)
             yield pa.RecordBatch.from_arrays(
-                [names, pa.array(row["start"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
+                [names, pa.array(starts[row["part"]] + row["before"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())],
                 names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read(spark, folder):
     """One row per document of a shard table: where its ids start among all, their number and checksum."""
     shards = spark.read.schema(SHARD).parquet(folder)
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = shards.select("part", "seq", "n_ids").withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
-    rows = shards.join(starts.drop("n_ids"), ["part", "seq"])
-    return rows.mapInArrow(_documents, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # one number per writing task, as many as the write had partitions
+    sizes = {r["part"]: r["n"] for r in shards.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    starts, total = {}, 0
+    for part in sorted(sizes):
+        starts[part], total = total, total + sizes[part]
+    rows = shards.select("part", "before", "ids", "has_id", "sizes", "rules", "sequence")
+    return rows.mapInArrow(lambda b: _documents(b, starts), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def read_document(row, k):
     """Ids of the k-th document of one shard row, decoding only its own symbols."""
     symbols = np.frombuffer(row["symbols"], "<u4").astype(np.int64)
     end = int(symbols[:k + 1].sum())
-    sequence = np.frombuffer(zlib.decompress(row["sequence"]), "<u4")[end - int(symbols[k]):end]
+    sequence = unpack(row["sequence"][3 * (end - int(symbols[k])):3 * end])
     return expand(sequence, np.frombuffer(row["rules"], "<u4").reshape(-1, 2))

@@ -34,17 +34,19 @@ def plain_rows(data, offsets):
 def characters(data, offsets):
     """(class, byte place) of each character and the rows' first characters; at most two bytes a character."""
     head = np.flatnonzero((data & 0xC0) != 0x80)
-    lead = data[head].astype(np.int32)
-    after = data[np.minimum(head + 1, len(data) - 1)].astype(np.int32) if len(data) else lead
-    code = np.where(lead < 0x80, lead, (lead & 0x1F) << 6 | after & 0x3F)
-    return CLASSES[code], head, np.searchsorted(head, offsets), lead
+    lead = data[head]
+    cls = CLASSES[lead]
+    two = np.flatnonzero(lead >= 0x80)
+    if len(two):
+        cls[two] = CLASSES[(lead[two].astype(np.int32) & 0x1F) << 6 | data[head[two] + 1] & 0x3F]
+    return cls, head, np.searchsorted(head, offsets), lead
 
 
 def _contractions(cls, lead, start, row_start):
     """Ends of the contractions that begin at each of the characters `start` (0: none)."""
     n = len(cls)
     out = np.zeros(len(start), np.int64)
-    padded = np.concatenate((lead, [0, 0, 0]))
+    padded = np.concatenate((lead, np.zeros(3, np.uint8)))
     row_of = np.searchsorted(row_start, start, "right")
     limit = row_start[np.minimum(row_of, len(row_start) - 1)] if n else out
     for ending in reversed(ENDINGS):
