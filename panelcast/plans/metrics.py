@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from panelcast.config import HORIZONS
 from panelcast.operators import lags as lg, metrics as mt, splits as sp
 from panelcast.plans.base import query
-from panelcast.plans.inputs import anchors, clusters, members, test, weekly, weekly_test
+from panelcast.plans.inputs import anchors, clusters, members, weekly
 from panelcast.plans.lags import ORD_SQL
 from panelcast.plans.sources import PRED_SQL, _raw, predictions
 from panelcast.plans.splits import holdout_sql, last_test_week, ordinal_anchors

@@ -2,7 +2,6 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
-from panelcast.functions.calendar import region_number
 from panelcast.operators.checks import panel_violations, target_violations
 from panelcast.plans.base import query
 from panelcast.plans.inputs import anchors, test, train, weekly
