@@ -188,16 +188,6 @@ class Lexicon:
         return C.gather(self.ids, start, length)[0], length
 
 
-_held = {}
-
-
-def _once(key, make):
-    """One object per worker process."""
-    if key not in _held:
-        _held[key] = make()
-    return _held[key]
-
-
 class Encoder:
     """Encodes text columns, the plain rows with numpy and the others text by text; keeps the ids of recent words."""
 
@@ -267,7 +257,7 @@ class Encoder:
 
 def _count(batches, path, text, most=400_000):
     """(word, n): how often each pre-token stands in the texts of a task."""
-    vocabulary = _once(("vocabulary", path), lambda: Vocabulary(path))
+    vocabulary = Vocabulary(path)
     counts, names, slow = {}, {}, Counter()
 
     def flush():
@@ -278,7 +268,7 @@ def _count(batches, path, text, most=400_000):
         return out
 
     for batch in batches:
-        for _, data, offsets in W.text_pieces(batch.column(batch.schema.get_field_index(text))):
+        for _, data, offsets in W.text_pieces(batch.column(batch.schema.get_field_index(text)), 1 << 19):
             plain = C.plain_rows(data, offsets)
             for k in np.flatnonzero(~plain):
                 slow.update(w for w in vocabulary.split(data[offsets[k]:offsets[k + 1]].tobytes().decode()) if w not in vocabulary.special)
@@ -306,7 +296,7 @@ def frequent_words(docs, path, text="text", size=50_000):
 
 
 def _encode(batches, path, block, text, keep, with_ids):
-    encoder = _once(("encoder", path, hashlib.md5(block).hexdigest()), lambda: Encoder(path, block))
+    encoder = Encoder(path, block)  # lives as long as the task
     decimal = encoder.decimal
     for batch in batches:
         low = 0
@@ -347,7 +337,7 @@ def encode(docs, path, text="text", keep=("doc_id",), lexicon_size=50_000, with_
 def decode(encoded, path, ids="ids", out="text"):
     """The texts of a column of token ids."""
     def run(batches):
-        known = _once(("vocabulary", path), lambda: Vocabulary(path)).bytes
+        known = Vocabulary(path).bytes
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
             texts = [None if not x.is_valid else b"".join(known[i] for i in x.as_py()).decode("utf-8", "replace") for x in column]

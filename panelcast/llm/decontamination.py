@@ -186,7 +186,7 @@ def merged(first, last, group):
     return first[head], np.maximum.reduceat(last, head), group[head]
 
 
-def shard_hits(column, phrases, limit=1 << 20, shard=1 << 19):
+def shard_hits(column, phrases, limit=1 << 18, shard=1 << 18):
     """Words of each row of a text column, and the hits as arrays: row, item, word and byte places in the row."""
     counts, hits, waiting, base = [], [], [], 0
 

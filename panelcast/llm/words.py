@@ -1,4 +1,4 @@
-"""Whole Arrow text columns cut into words and hashed with numpy, a few megabytes at a time.
+"""Whole Arrow text columns cut into words and hashed with numpy, a quarter of a megabyte at a time.
 
 A text column is one byte array with row offsets, so no function here loops over words. Word
 and window hashes are differences of one prefix sum of `table[byte] * BASE**position` modulo
@@ -47,8 +47,11 @@ def column_bytes(column):
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets, limit=1 << 20):
-    """Row ranges of about `limit` bytes; a longer row makes a range of its own."""
+def pieces(offsets, limit=1 << 18):
+    """Row ranges of about `limit` bytes; a longer row makes a range of its own.
+
+    A piece needs some 200 times its bytes for a while, so pieces are small.
+    """
     low, n = 0, len(offsets) - 1
     while low < n:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, "right")) - 1)
@@ -56,7 +59,7 @@ def pieces(offsets, limit=1 << 20):
         low = min(high, n)
 
 
-def text_pieces(column, limit=1 << 20):
+def text_pieces(column, limit=1 << 18):
     """(first row, bytes, offsets) of consecutive pieces of a text column."""
     data, offsets = column_bytes(column)
     for low, high in pieces(offsets, limit):
