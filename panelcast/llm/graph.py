@@ -1,5 +1,4 @@
 """Connected components of a table of links, by alternating star contractions."""
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 

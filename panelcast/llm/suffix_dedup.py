@@ -227,9 +227,9 @@ def _sorted_groups(batches, length, rows=8192):
         held = table if held is None else pa.concat_tables([held, table])
         if held.num_rows >= rows:
             grams = np.asarray(held["gram"])
-            cut = int(np.searchsorted(grams != grams[-1], False)) if grams[0] != grams[-1] else 0
-            cut = int(np.flatnonzero(grams != grams[-1])[-1]) + 1 if cut else 0
-            if cut:
+            others = np.flatnonzero(grams != grams[-1])
+            if len(others):
+                cut = int(others[-1]) + 1
                 yield ranges(held.slice(0, cut).combine_chunks())
                 held = held.slice(cut)
     if held is not None and held.num_rows:
