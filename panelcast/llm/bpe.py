@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import functions as F
 
 from panelcast.llm import wordcodes as C, words as W
+from panelcast.llm.resampling import border
+from panelcast.sources.files import store
 
 #: Fixed value: the split of byte-level vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -289,10 +291,15 @@ def _count(batches, path, text, most=400_000):
 
 
 def frequent_words(docs, path, text="text", size=50_000):
-    """The `size` most frequent pre-tokens of all documents (ties by the word), bounded by `size`."""
+    """The most frequent pre-tokens of all documents, at most `size`; words that tie at the border are left out.
+
+    The border is found by counting, so only the chosen words come to the driver.
+    """
     counts = docs.select(text).mapInArrow(lambda b: _count(b, path, text), "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counts = store(counts.groupBy("word").agg(F.sum("n").alias("n")), "word_counts")
+    least = border(counts, size + 1, "n")
+    top = counts if least is None or counts.count() <= size else counts.filter(F.col("n") > least)
+    return sorted(r.word for r in top.select("word").collect())
 
 
 def _encode(batches, path, block, text, keep, with_ids):

@@ -106,7 +106,10 @@ def best_cut(keys, good, highest=False):
 
 
 def border(drawn, k, column="_draw", most=5000):
-    """The k-th largest value of a column, found by counting in ever finer ranges; None for k < 1."""
+    """The k-th largest value of a column, found by counting in ever finer ranges; None for k < 1 or no rows.
+
+    With fewer than k rows it is the least value.
+    """
     if k < 1:
         return None
     low, high, above = *drawn.agg(F.min(column), F.max(column)).first(), 0
