@@ -5,6 +5,8 @@ horizons, folds or scales, never over rows; each pass is a distributed fit.
 """
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
@@ -12,7 +14,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from panelcast.config import CHANNELS, HORIZONS, KEY
 from panelcast.functions.scalars import clip
@@ -322,6 +324,41 @@ def spei_map(train, rows):
     return rows
 
 
+def decomposed(rows, seq, kernel):
+    """`seq`, an array of weeks of channel arrays, replaced by one flat array `parts`: the trend of each channel,
+    then its seasonal part, as `rolling.sequence_decomposition` has them."""
+    front, end = (kernel - 1) // 2, kernel // 2
+    kept = [c for c in rows.columns if c != seq]
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("parts", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for whole in batches:
+            for low in range(0, whole.num_rows, 256):
+                batch = whole.slice(low, 256)
+                weeks = batch.column(len(kept))
+                n = len(weeks)
+                x = np.asarray(weeks.flatten().flatten()).reshape(n, len(weeks[0]), -1).transpose(0, 2, 1)
+                padded = np.concatenate((np.repeat(x[:, :, :1], front, 2), x, np.repeat(x[:, :, -1:], end, 2)), 2)
+                sums = np.concatenate((np.zeros((n, x.shape[1], 1)), np.cumsum(padded, 2)), 2)
+                trend = (sums[:, :, kernel:] - sums[:, :, :-kernel]) / kernel
+                values = np.concatenate((trend, x - trend), 1).reshape(n, -1)
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], parts], names=schema.names)
+    return rows.select(*kept, seq).mapInArrow(run, schema)
+
+
+def decomposition_members(rows, seq, kernels, dense_cols):
+    """Mean of the linear decompositions with each kernel, fitted on the rows of part `train`; columns pred_week1..5."""
+    keep = [KEY, "week_idx", "part", *[f"target_w{h}" for h in HORIZONS]]
+    preds = [f"pred_week{h}" for h in HORIZONS]
+    members = []
+    for k in kernels:
+        parts = decomposed(rows, seq, k)
+        out = decomposition_linear(parts.filter("part = 'train'"), parts, ["parts"], dense_cols)
+        members.append(store(out.select(*keep, *preds), "decomp-member"))
+    return reduce(lambda a, b: a.unionByName(b), members).groupBy(*keep).agg(*[F.avg(p).alias(p) for p in preds])
+
+
 def decomposition_linear(train, rows, seq_cols, dense_cols):
     """Linear map of trend and seasonal weeks, calendar terms and region indicators to each horizon.
 
@@ -337,7 +374,7 @@ def decomposition_linear(train, rows, seq_cols, dense_cols):
     region = Pipeline(stages=[StringIndexer(inputCol=KEY, outputCol="_r", handleInvalid="keep"),
                               OneHotEncoder(inputCol="_r", outputCol="_hot", handleInvalid="keep"),
                               VectorAssembler(inputCols=["_dense", "_hot"], outputCol="features")]).fit(train)
-    train, rows = region.transform(train), region.transform(rows)
+    train, rows = (store(region.transform(df), "decomp-features") for df in (train, rows))
     for h in HORIZONS:
         lr = LinearRegression(featuresCol="features", labelCol=f"target_w{h}", predictionCol="_p", loss="huber",
                               maxIter=15, regParam=0.01, epsilon=1.35)

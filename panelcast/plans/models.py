@@ -4,12 +4,14 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
+from panelcast.functions.calendar import cyclic
 from panelcast.operators import blend as bl, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
 from panelcast.operators import models as ml, rolling as ro, splits as sp, weekly as wk, weights as wt
 from panelcast.plans.base import query
 from panelcast.plans.indices import signals
 from panelcast.plans.inputs import aligned, anchors, clusters, gapped_train, members, test, train, weekly, weekly_test
 from panelcast.plans.splits import calendar, last_test_week, meta
+from panelcast.plans.weekly import CH15, KERNELS, imputed
 
 PREDS = "region_id:s " + " ".join(f"pred_week{h}" for h in HORIZONS)
 FEATURES = [f"{c}_mean" for c in CHANNELS] + ["prec_sum", "tmp_p95", "prec_std"] + lg.SCORE_HISTORY
@@ -259,23 +261,34 @@ def ml_iso_spei(spark, d):
     return ml.spei_map(rows, ix.spei_test(a, b).select("region_id", "spei"))
 
 
+DECOMP_WEEKS = 260
+
+
+def decomp_inputs(spark, d):
+    """Anchors with the last 260 weeks of the fifteen channels, normalised, and a hashed 90/10 split.
+
+    Mean and deviation of a channel are those of the weeks up to a region's last anchor of the fit.
+    """
+    w = lg.with_score_history(wk.weekly_channels(imputed(spark, d)))
+    w = ml.store(w.select("region_id", "week_idx", "month", "doy", "score", *CH15, *lg.SCORE_HISTORY), "channels")
+    w = w.withColumns(dict(zip(("month_sin", "month_cos", "doy_sin", "doy_cos"), (*cyclic(F.col("month"), 12), *cyclic(F.col("doy"), 365)))))
+    rows = sp.random_split(lg.lead_targets(w), ["region_id", "week_idx"])
+    rows = ml.store(rows.select("region_id", "week_idx", "part", *DECOMP_SIDE, *lg.TARGETS), "anchors")
+    last = rows.filter("part = 'train'").groupBy("region_id").agg(F.max("week_idx").alias("_last"))
+    fitted = w.join(last, "region_id").filter("week_idx <= _last")
+    norm = fitted.agg(*[F.avg(c).alias(f"{c}_m") for c in CH15], *[F.stddev_pop(c).alias(f"{c}_s") for c in CH15]).first()
+    x = [F.coalesce((F.col(c) - (norm[f"{c}_m"] or 0.0)) / (norm[f"{c}_s"] if (norm[f"{c}_s"] or 0.0) >= 1e-6 else 1.0), F.lit(0.0)) for c in CH15]
+    seq = ro.sequence_window(w.select("region_id", "week_idx", F.array(*x).alias("x")), ["x"], DECOMP_WEEKS)
+    return ml.store(rows.join(seq.drop("x"), ["region_id", "week_idx"]), "decomp")
+
+
+DECOMP_SIDE = [*lg.SCORE_HISTORY, "month_sin", "month_cos", "doy_sin", "doy_cos"]
+
+
 @query("ml_decomp_linear", "part:s " + " ".join(f"mae_w{h}" for h in HORIZONS) + " macro_mae")
 def ml_decomp_linear(spark, d):
-    """Thirteen weeks of rain and heat split into trend and season, hashed 90/10 split."""
-    from panelcast.functions.calendar import cyclic
-    cols = ["prec_sum", "tmp_max_mean"]
-    w = lg.with_score_history(weekly(spark, d)).na.fill(0.0, cols)
-    w = w.select("region_id", "week_idx", "month", "score", *cols, *lg.SCORE_HISTORY)
-    seq = ro.sequence_window(lg.lead_targets(w).select("region_id", "week_idx", "month", *cols, *lg.SCORE_HISTORY, *lg.TARGETS), cols, 13)
-    parts = {}
-    for c in cols:
-        trend, season = ro.sequence_decomposition(F.transform(F.col(f"{c}_seq"), lambda x: x / (1000.0 if c != "prec_sum" else 1.0)), 5)
-        parts.update({f"{c}_trend": trend, f"{c}_season": season})
-    parts["month_sin"], parts["month_cos"] = cyclic(F.col("month"), 12)
-    rows = sp.random_split(seq.withColumns(parts), ["region_id", "week_idx"])
-    rows = ml.store(rows.drop(*[f"{c}_seq" for c in cols]), "decomp")
-    out = ml.decomposition_linear(rows.filter("part = 'train'"), rows, [f"{c}_{p}" for c in cols for p in ("trend", "season")],
-                                  [*lg.SCORE_HISTORY, "month_sin", "month_cos"])
+    """260 weeks of fifteen channels split into trend and season with three kernels, whose members are averaged."""
+    out = ml.decomposition_members(decomp_inputs(spark, d), "x_seq", KERNELS, DECOMP_SIDE)
     return out.groupBy("part").agg(*[F.avg(F.abs(F.col(f"pred_week{h}") - F.col(f"target_w{h}"))).alias(f"mae_w{h}") for h in HORIZONS]) \
         .withColumn("macro_mae", sum((F.col(f"mae_w{h}") for h in HORIZONS[1:]), F.col("mae_w1")) / 5)
 
