@@ -2,7 +2,7 @@
 import public_tokenizers
 
 import corpus_pipeline
-from panelcast.llm import bpe, chaining, dart_minhash, decontamination, near_vectors, oracles, resampling, suffix_dedup, token_files, toxicity, url_templates
+from panelcast.llm import bpe, chaining, dart_minhash, decontamination, divergence, near_vectors, oracles, periodic_runs, planted, resampling, scaled_sketch, suffix_dedup, token_files, toxicity, url_templates
 from panelcast.sources.files import fresh
 
 QUERIES, SQL = {}, {}
@@ -91,6 +91,22 @@ def op10_chaining(spark, sf_dir):
     return chaining.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_scaled_sketch(spark, sf_dir):
+    return scaled_sketch.report(scaled_sketch.beside_next(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    return periodic_runs.report(periodic_runs.find(table(spark, sf_dir, "documents"), before=planted.repeated))
+
+
+@query
+def op13_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = oracles.DIVERGENCE
 SQL["op4_suffix_dedup"] = oracles.SUFFIX_DEDUP
 SQL["op5_dart_minhash"] = oracles.NEAR_DUPLICATES
 SQL["op7_decontamination"] = oracles.DECONTAMINATION
