@@ -110,3 +110,22 @@ def with_running_sum(df, order, value, out, size):
               .withColumn("_off", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t"))
     return (run.join(totals, CHUNK).withColumn(out, F.col("_in") + F.col("_off"))
             .drop(CHUNK, "_in", "_off"))
+
+
+def asof_join(asked, known, key, pos, value, out, size, strict=False):
+    """Latest non-null `value` of `known` at or before each row of `asked` (before it, with `strict`).
+
+    Both streams are laid on one line per key, so no pair of rows is ever compared, and a long history is cut into chunks
+    that carry their last value on. `known` has one row per key and position; rows of `asked` without a position find nothing.
+    """
+    keys = _keys(key)
+    cols = [F.col(c) for c in asked.columns]
+    side = F.lit(1 if strict else 0)
+    line = known.select(*keys, (F.col(pos) * 2 + side).alias("_at"), F.col(value).alias("_value"), F.lit(None).alias("_row"))
+    rows = asked.select(*keys, (F.col(pos) * 2 + (1 - side)).alias("_at"), F.lit(None).cast(known.schema[value].dataType).alias("_value"),
+                        F.struct(*cols).alias("_row"))
+    line = line.withColumn("_row", F.col("_row").cast(rows.schema["_row"].dataType))
+    seen = with_last_seen(line.unionByName(rows).filter("_at IS NOT NULL"), key, "_at", "_value", "_found", 2 * size)
+    found = seen.filter("_row IS NOT NULL").select("_row.*", F.col("_found").alias(out))
+    lost = asked.filter(F.col(pos).isNull()).withColumn(out, F.lit(None).cast(known.schema[value].dataType))
+    return found.unionByName(lost)

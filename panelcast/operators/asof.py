@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import DAY, DAY_CHUNK, DAYS_PER_WEEK, HORIZONS, KEY
-from panelcast.functions.chunks import with_last_seen
+from panelcast.functions.chunks import asof_join, with_last_seen
 from panelcast.functions.scalars import clip
 
 DECAY = 0.96
@@ -49,6 +49,34 @@ def known_score(last, proxy, region_mean):
     return F.coalesce(last, clip(proxy, 0.0, 5.0), region_mean)
 
 
+def dated_scores(signals, models, terms, start="valid_from", day=DAY):
+    """(region, day, proxy): each day's score by the model in force, the last one that starts on or before it.
+
+    `models` has a row (valid_from, term, value) for each term and "(intercept)" of each refit, so it is as long as the
+    number of refits and is read by the driver. Days before the first model have none.
+    """
+    fits = {}
+    for r in models.select(start, "term", "value").collect():
+        fits.setdefault(r[start], {})[r["term"]] = r["value"]
+    proxy = F.lit(None).cast("double")
+    for first in sorted(fits):
+        own = fits[first]
+        score = sum((F.col(t) * float(own.get(t, 0.0)) for t in terms), F.lit(float(own.get("(intercept)", 0.0))))
+        proxy = F.when(F.col(day) >= first, score).otherwise(proxy)
+    return signals.select(KEY, day, proxy.alias("proxy"))
+
+
+def with_dated_proxy(targets, scored_days, out="proxy"):
+    """The latest proxy estimate of a day inside each target's window, that is before `window_end`."""
+    asked = targets.withColumn(DAY, F.col("window_end"))
+    return asof_join(asked, scored_days.filter(F.col("proxy").isNotNull()), KEY, DAY, "proxy", out, DAY_CHUNK, strict=True).drop(DAY)
+
+
+def known_from(last, proxy):
+    """Which step of `known_score` gives the value."""
+    return F.when(last.isNotNull(), "score").when(proxy.isNotNull(), "proxy").otherwise("mean")
+
+
 def decayed(score, gap):
     return score * F.pow(F.lit(DECAY), gap)
 

@@ -5,19 +5,17 @@ horizons, folds or scales, never over rows; each pass is a distributed fit.
 """
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, OneHotEncoder, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression
-from pyspark.sql import functions as F, types as T
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS, KEY
 from panelcast.functions.scalars import clip
+from panelcast.operators import monotone as mo
 from panelcast.operators.cleaning import attach
 from panelcast.operators.splits import hashed_share
 from panelcast.operators.weights import density_ratio, with_unit_mean
@@ -257,36 +255,22 @@ def profile_plane(profile):
     return out.withColumns({"share1": F.lit(a), "share2": F.lit(b)})
 
 
-#: Pooling of a monotone map's input: scores 0..5 make 50,001 points at most.
-GRID = 10_000
+def calibrated(fit_rows, rows, by=(), x="pred", y="truth", out="pred", increasing=True):
+    """`out`: x by a monotone map x -> y for each group of `by`, fitted on other rows, all groups in one pass.
 
-
-def isotonic(rows, x="pred", y="truth", increasing=True):
-    """Monotone map x -> y. Rows are pooled first on a grid of x, GRID steps for each unit, with their mean x,
-    mean y and number, so the fit sees at most GRID points for each unit of x, whatever the rows."""
-    pooled = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.round(F.col(x) * GRID).alias("_g")).agg(
-        F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.count("*").cast("double").alias("_w"))
-    return IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w", isotonic=increasing, predictionCol="_out").fit(pooled)
-
-
-def apply_isotonic(model, rows, x="pred", out="pred"):
-    fitted = model.transform(rows.withColumn("_x", F.col(x)))
-    return fitted.withColumn(out, clip(F.col("_out"), 0.0, 5.0)).drop("_x", "_out") if out != "_out" else fitted
+    A group without fit rows takes the map of the groups one column less, at last x itself.
+    """
+    maps = [(list(by[k:]), mo.curves(mo.pools(fit_rows, by[k:], x, y, increasing), by[k:], increasing)) for k in range(max(1, len(by)))]
+    return mo.mapped(rows, maps, x, out)
 
 
 def calibrate_global(oof, minimum=50):
     """One map over all out-of-fold rows; unchanged rows when there are too few."""
-    if oof.limit(minimum).count() < minimum:
-        return oof
-    return apply_isotonic(isotonic(oof), oof)
+    return oof if oof.limit(minimum).count() < minimum else calibrated(oof, oof)
 
 
 def calibrate_horizons(fit_rows, rows):
-    parts = []
-    for h in HORIZONS:
-        model = isotonic(fit_rows.filter(F.col("horizon") == h))
-        parts.append(apply_isotonic(model, rows.filter(F.col("horizon") == h)))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return calibrated(fit_rows, rows, ["horizon"])
 
 
 def accept_if_better(before, after, objective, gain=1e-4):
@@ -296,19 +280,8 @@ def accept_if_better(before, after, objective, gain=1e-4):
 
 
 def calibrate_clusters(fit_rows, rows):
-    """One map per (cluster, horizon); clusters without fit rows use the horizon's map.
-
-    The number of fits is the number of clusters times five, whatever the number of rows.
-    """
-    known = sorted(r[0] for r in fit_rows.select("cluster_id").distinct().collect())
-    parts = []
-    for h in HORIZONS:
-        at_h, to_h = fit_rows.filter(F.col("horizon") == h), rows.filter(F.col("horizon") == h)
-        for c in known:
-            model = isotonic(at_h.filter(F.col("cluster_id") == c))
-            parts.append(apply_isotonic(model, to_h.filter(F.col("cluster_id") == c)))
-        parts.append(apply_isotonic(isotonic(at_h), to_h.filter(~F.col("cluster_id").isin(known))))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """One map per (cluster, horizon); clusters without fit rows use the horizon's map."""
+    return calibrated(fit_rows, rows, ["cluster_id", "horizon"])
 
 
 def spei_map(train, rows):
@@ -318,71 +291,14 @@ def spei_map(train, rows):
     """
     mean = train.agg(F.avg("spei")).scalar()
     train, rows = (df.withColumn("spei", F.coalesce("spei", mean)) for df in (train, rows))
-    train, rows = store(train, "spei-train"), store(rows, "spei-rows")
+    targets = F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"target_w{h}").cast("double").alias("y")) for h in HORIZONS])
+    long = train.select("spei", F.explode(targets).alias("t")).select("spei", F.col("t.h").alias("horizon"), F.col("t.y").alias("truth"))
+    curves = mo.curves(mo.pools(long, ["horizon"], "spei", "truth", False), ["horizon"], False)
     for h in HORIZONS:
-        rows = apply_isotonic(isotonic(train, "spei", f"target_w{h}", False), rows, "spei", f"pred_week{h}")
+        rows = mo.mapped(rows, [([], {(): curves[h,]} if (h,) in curves else {})], "spei", f"pred_week{h}")
     return rows
 
 
-def decomposed(rows, seq, kernel):
-    """`seq`, an array of weeks of channel arrays, replaced by one flat array `parts`: the trend of each channel,
-    then its seasonal part, as `rolling.sequence_decomposition` has them."""
-    front, end = (kernel - 1) // 2, kernel // 2
-    kept = [c for c in rows.columns if c != seq]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("parts", T.ArrayType(T.DoubleType()))])
-
-    def run(batches):
-        for whole in batches:
-            for low in range(0, whole.num_rows, 256):
-                batch = whole.slice(low, 256)
-                weeks = batch.column(len(kept))
-                n = len(weeks)
-                x = np.asarray(weeks.flatten().flatten()).reshape(n, len(weeks[0]), -1).transpose(0, 2, 1)
-                padded = np.concatenate((np.repeat(x[:, :, :1], front, 2), x, np.repeat(x[:, :, -1:], end, 2)), 2)
-                sums = np.concatenate((np.zeros((n, x.shape[1], 1)), np.cumsum(padded, 2)), 2)
-                trend = (sums[:, :, kernel:] - sums[:, :, :-kernel]) / kernel
-                values = np.concatenate((trend, x - trend), 1).reshape(n, -1)
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], parts], names=schema.names)
-    return rows.select(*kept, seq).mapInArrow(run, schema)
-
-
-def decomposition_members(rows, seq, kernels, dense_cols):
-    """Mean of the linear decompositions with each kernel, fitted on the rows of part `train`; columns pred_week1..5."""
-    keep = [KEY, "week_idx", "part", *[f"target_w{h}" for h in HORIZONS]]
-    preds = [f"pred_week{h}" for h in HORIZONS]
-    members = []
-    for k in kernels:
-        parts = decomposed(rows, seq, k)
-        out = decomposition_linear(parts.filter("part = 'train'"), parts, ["parts"], dense_cols)
-        members.append(store(out.select(*keep, *preds), "decomp-member"))
-    return reduce(lambda a, b: a.unionByName(b), members).groupBy(*keep).agg(*[F.avg(p).alias(p) for p in preds])
-
-
-def decomposition_linear(train, rows, seq_cols, dense_cols):
-    """Linear map of trend and seasonal weeks, calendar terms and region indicators to each horizon.
-
-    Huber loss; the sequence arrays enter as they are.
-    """
-    def vectors(df):
-        flat = F.concat(*[F.coalesce(F.col(c), F.array().cast("array<double>")) for c in seq_cols],
-                        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in dense_cols]))
-        from pyspark.ml.functions import array_to_vector
-        safe = F.transform(flat, lambda x: F.coalesce(x, F.lit(0.0)))
-        return df.withColumn("_dense", array_to_vector(safe))
-    train, rows = vectors(train), vectors(rows)
-    region = Pipeline(stages=[StringIndexer(inputCol=KEY, outputCol="_r", handleInvalid="keep"),
-                              OneHotEncoder(inputCol="_r", outputCol="_hot", handleInvalid="keep"),
-                              VectorAssembler(inputCols=["_dense", "_hot"], outputCol="features")]).fit(train)
-    train, rows = (store(region.transform(df), "decomp-features") for df in (train, rows))
-    for h in HORIZONS:
-        lr = LinearRegression(featuresCol="features", labelCol=f"target_w{h}", predictionCol="_p", loss="huber",
-                              maxIter=15, regParam=0.01, epsilon=1.35)
-        model = lr.fit(train.filter(F.col(f"target_w{h}").isNotNull()))
-        rows = model.transform(rows).withColumn(f"pred_week{h}", clip(F.col("_p"), 0.0, 5.0)).drop("_p")
-    return rows.drop("_dense", "_r", "_hot", "features")
-
-
 TEMPERATURES = ("tmp", "tmp_max", "tmp_min", "tmp_range", "surf_tmp", "wb_tmp", "dp_tmp")
 
 

@@ -2,7 +2,7 @@
 import importlib
 
 GROUPS = ["sources", "calendar", "cleaning", "weekly", "lags", "climatology", "indices",
-          "splits", "weights", "metrics", "blend", "drift", "models"]
+          "known", "splits", "weights", "metrics", "blend", "drift", "models"]
 
 
 def load():

@@ -120,31 +120,11 @@ ASOF_SQL = ASOF_SQL.replace("coalesce(greatest(0, (target_gord - sc.gord)/7),",
                             "coalesce(CASE WHEN sc.gord IS NOT NULL THEN greatest(0, (target_gord - sc.gord)/7) END,")
 
 
-@query("asof_last_score", "region_id:s target_pos:i horizon:i last_score:i known",
-       f"""SELECT a.*, coalesce(last_score, m) AS known FROM ({ASOF_SQL}) a
-       JOIN (SELECT region_id, avg(score) m FROM gtrain GROUP BY 1) USING (region_id)""")
-def asof_last_score(spark, d):
-    means = gapped_train(spark, d).groupBy("region_id").agg(F.avg("score").alias("m"))
-    out = targets(spark, d).join(means, "region_id")
-    return out.withColumn("known", asof.known_score(F.col("last_score"), F.lit(None).cast("double"), F.col("m")))
-
-
 @query("asof_gap", "region_id:s target_pos:i horizon:i score_gap", ASOF_SQL)
 def asof_gap(spark, d):
     return targets(spark, d)
 
 
-@query("score_decay", "region_id:s target_pos:i horizon:i decayed", f"""
-SELECT a.*, coalesce(last_score, m) * pow(0.96, score_gap) AS decayed FROM ({ASOF_SQL}) a
-JOIN (SELECT region_id, avg(score) m FROM gtrain GROUP BY 1) USING (region_id)""")
-def score_decay(spark, d):
-    out = QUERY_ASOF(spark, d)
-    return out.withColumn("decayed", asof.decayed(F.col("known"), F.col("score_gap")))
-
-
-QUERY_ASOF = asof_last_score
-
-
 @query("hz_window", "region_id:s target_pos:i horizon:i window_end:i tmp_mean prec_sum", f"""
 WITH {ENDS_SQL}, f AS (SELECT region_id, day_idx, avg(tmp) OVER w tmp_mean, coalesce(sum(prec) OVER w, 0) prec_sum FROM gtrain
   WINDOW w AS (PARTITION BY region_id ORDER BY day_idx ROWS BETWEEN 90 PRECEDING AND CURRENT ROW))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panelcast.config import CHANNELS, HORIZONS
 from panelcast.functions.calendar import cyclic
 from panelcast.operators import blend as bl, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
-from panelcast.operators import models as ml, rolling as ro, splits as sp, weekly as wk, weights as wt
+from panelcast.operators import models as ml, sequence_fit as sf, splits as sp, weekly as wk, weights as wt
 from panelcast.plans.base import query
 from panelcast.plans.indices import signals
 from panelcast.plans.inputs import aligned, anchors, clusters, gapped_train, members, test, train, weekly, weekly_test
@@ -234,7 +234,34 @@ def member_rows(spark, d):
         "region_id", "week_idx", "horizon", "pred", "truth", "cluster_id"), "member")
 
 
-@query("ml_iso_horizon", "horizon:i mae_before mae_after accepted:i")
+def monotone_sql(fit, by, x="pred", y="truth"):
+    """Points (`by`, x, v) of the monotone fit of table `fit`: the greatest over earlier starts of the least mean up to a later end."""
+    keys, same = ", ".join(by), " AND ".join(f"a.{c} = b.{c}" for c in by)
+    own = f"PARTITION BY {keys} ORDER BY p"
+    return f"""(WITH pt AS (SELECT {keys}, round({x} * 10000) p, avg({x}) x, sum({y}) s, count(*) w FROM {fit} GROUP BY {keys}, p),
+  c AS (SELECT *, row_number() OVER ({own}) i, sum(s) OVER ({own}) cs, sum(w) OVER ({own}) cw FROM pt),
+  m AS (SELECT {", ".join(f"a.{c}" for c in by)}, a.i j, b.i i, b.x x,
+    min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY {", ".join(f"a.{c}" for c in by)}, a.i ORDER BY b.i DESC) v
+    FROM c a JOIN c b ON {same} AND a.i <= b.i)
+  SELECT {keys}, i, x, max(v) v FROM m GROUP BY {keys}, i, x)"""
+
+
+def mapped_sql(rows, points, by, x="pred"):
+    """Rows with `out`: x between the neighbouring points of its group, null where the group has none."""
+    same = lambda t: " AND ".join(f"{t}.{c} = r.{c}" for c in by)
+    return f"""(SELECT r.*, least(greatest(CASE WHEN lo.x IS NULL THEN hi.v WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.v
+    ELSE lo.v + (hi.v - lo.v) * (r.{x} - lo.x) / (hi.x - lo.x) END, 0), 5) AS out
+  FROM {rows} r ASOF LEFT JOIN {points} lo ON {same("lo")} AND lo.x <= r.{x} ASOF LEFT JOIN {points} hi ON {same("hi")} AND hi.x >= r.{x})"""
+
+
+MEMBER_SQL = "m AS (SELECT region_id, week_idx, horizon, p_c AS pred, truth, cluster_id FROM al), early AS (SELECT * FROM m WHERE week_idx < 250), late AS (SELECT * FROM m WHERE week_idx >= 250)"
+
+
+@query("ml_iso_horizon", "horizon:i mae_before mae_after accepted:i", f"""
+WITH {MEMBER_SQL}, pts AS {monotone_sql("early", ["horizon"])},
+e AS (SELECT horizon, avg(abs(pred - truth)) b, avg(abs(out - truth)) a FROM {mapped_sql("late", "pts", ["horizon"])} GROUP BY 1),
+ok AS (SELECT CASE WHEN avg(b) - avg(a) >= 1e-4 THEN 1 ELSE 0 END AS yes FROM e)
+SELECT horizon, b AS mae_before, CASE WHEN yes = 1 THEN a ELSE b END AS mae_after, yes AS accepted FROM e CROSS JOIN ok""")
 def ml_iso_horizon(spark, d):
     """Calibrated on the earlier weeks, accepted only if the later weeks improve."""
     m = member_rows(spark, d)
@@ -246,7 +273,11 @@ def ml_iso_horizon(spark, d):
     return before.join(after, "horizon").withColumn("accepted", F.lit(int(accepted)))
 
 
-@query("ml_iso_cluster", "cluster_id:i horizon:i n:i mae")
+@query("ml_iso_cluster", "cluster_id:i horizon:i n:i mae", f"""
+WITH {MEMBER_SQL}, known AS (SELECT * FROM early WHERE cluster_id >= 0), pts AS {monotone_sql("known", ["cluster_id", "horizon"])},
+whole AS {monotone_sql("known", ["horizon"])}, one AS (SELECT * RENAME (out AS own) FROM {mapped_sql("late", "pts", ["cluster_id", "horizon"])}),
+two AS {mapped_sql("one", "whole", ["horizon"])}
+SELECT cluster_id, horizon, count(*) n, avg(abs(coalesce(own, out) - truth)) mae FROM two GROUP BY 1, 2""")
 def ml_iso_cluster(spark, d):
     """Clusters seen in the earlier weeks get their own maps."""
     m = member_rows(spark, d)
@@ -262,34 +293,46 @@ def ml_iso_spei(spark, d):
 
 
 DECOMP_WEEKS = 260
+DECOMP_SIDE = [*lg.SCORE_HISTORY, "month_sin", "month_cos", "doy_sin", "doy_cos"]
 
 
-def decomp_inputs(spark, d):
-    """Anchors with the last 260 weeks of the fifteen channels, normalised, and a hashed 90/10 split.
+def decomp_blocks(spark, d):
+    """Blocks of the fifteen channels and the side columns, normalised, with a hashed 90/10 split of the anchors.
 
-    Mean and deviation of a channel are those of the weeks up to a region's last anchor of the fit.
+    Mean and deviation of a column are those of the weeks up to a region's last anchor of the fit.
     """
     w = lg.with_score_history(wk.weekly_channels(imputed(spark, d)))
     w = ml.store(w.select("region_id", "week_idx", "month", "doy", "score", *CH15, *lg.SCORE_HISTORY), "channels")
     w = w.withColumns(dict(zip(("month_sin", "month_cos", "doy_sin", "doy_cos"), (*cyclic(F.col("month"), 12), *cyclic(F.col("doy"), 365)))))
-    rows = sp.random_split(lg.lead_targets(w), ["region_id", "week_idx"])
-    rows = ml.store(rows.select("region_id", "week_idx", "part", *DECOMP_SIDE, *lg.TARGETS), "anchors")
+    rows = ml.store(sp.random_split(lg.lead_targets(w), ["region_id", "week_idx"]).select("region_id", "week_idx", "part", *lg.TARGETS), "anchors")
     last = rows.filter("part = 'train'").groupBy("region_id").agg(F.max("week_idx").alias("_last"))
-    fitted = w.join(last, "region_id").filter("week_idx <= _last")
-    norm = fitted.agg(*[F.avg(c).alias(f"{c}_m") for c in CH15], *[F.stddev_pop(c).alias(f"{c}_s") for c in CH15]).first()
-    x = [F.coalesce((F.col(c) - (norm[f"{c}_m"] or 0.0)) / (norm[f"{c}_s"] if (norm[f"{c}_s"] or 0.0) >= 1e-6 else 1.0), F.lit(0.0)) for c in CH15]
-    seq = ro.sequence_window(w.select("region_id", "week_idx", F.array(*x).alias("x")), ["x"], DECOMP_WEEKS)
-    return ml.store(rows.join(seq.drop("x"), ["region_id", "week_idx"]), "decomp")
+    cols = [*CH15, *DECOMP_SIDE]
+    norm = w.join(last, "region_id").filter("week_idx <= _last").agg(
+        *[F.avg(c).alias(f"{c}_m") for c in cols], *[F.stddev_pop(c).alias(f"{c}_s") for c in cols]).first()
+    scale = {c: (norm[f"{c}_m"] or 0.0, norm[f"{c}_s"] if (norm[f"{c}_s"] or 0.0) >= 1e-6 else 1.0) for c in cols}
+    w = w.select("region_id", "week_idx", *[((F.col(c) - m) / s).alias(c) for c, (m, s) in scale.items()])
+    rows = rows.join(w.select("region_id", "week_idx", *DECOMP_SIDE), ["region_id", "week_idx"])
+    return sf.blocks(w, rows, CH15, DECOMP_SIDE, lg.TARGETS, DECOMP_WEEKS)
 
 
-DECOMP_SIDE = [*lg.SCORE_HISTORY, "month_sin", "month_cos", "doy_sin", "doy_cos"]
+def decomp_fit(spark, d):
+    """(blocks, shape, weights) of the members with three kernels, fitted together."""
+    shape = sf.Shape(len(CH15), DECOMP_WEEKS, KERNELS, len(DECOMP_SIDE), len(HORIZONS))
+    rows, weights, _ = sf.fit(decomp_blocks(spark, d), shape)
+    return rows, shape, weights
 
 
-@query("ml_decomp_linear", "part:s " + " ".join(f"mae_w{h}" for h in HORIZONS) + " macro_mae")
+@query("ml_decomp_linear", "part:s " + " ".join(f"mae_w{h}" for h in HORIZONS) + " macro_mae n:i")
 def ml_decomp_linear(spark, d):
     """260 weeks of fifteen channels split into trend and season with three kernels, whose members are averaged."""
-    out = ml.decomposition_members(decomp_inputs(spark, d), "x_seq", KERNELS, DECOMP_SIDE)
-    return out.groupBy("part").agg(*[F.avg(F.abs(F.col(f"pred_week{h}") - F.col(f"target_w{h}"))).alias(f"mae_w{h}") for h in HORIZONS]) \
+    rows, shape, weights = decomp_fit(spark, d)
+    out = sf.predicted(rows, shape, weights).select("region_id", "week_idx", "part", *[
+        F.least(F.greatest(F.col("pred")[h - 1], F.lit(0.0)), F.lit(5.0)).alias(f"pred_week{h}") for h in HORIZONS])
+    truth = rows.select("region_id", F.explode(F.arrays_zip("at", F.expr(
+        f"transform(sequence(0, size(at) - 1), i -> slice(truth, i * {len(HORIZONS)} + 1, {len(HORIZONS)}))").alias("y"))).alias("t"))
+    out = out.join(truth.select("region_id", F.col("t.at").alias("week_idx"), F.col("t.y").alias("y")), ["region_id", "week_idx"])
+    return out.groupBy("part").agg(*[F.avg(F.abs(F.col(f"pred_week{h}") - F.col("y")[h - 1])).alias(f"mae_w{h}") for h in HORIZONS],
+                                   F.count("*").alias("n")) \
         .withColumn("macro_mae", sum((F.col(f"mae_w{h}") for h in HORIZONS[1:]), F.col("mae_w1")) / 5)
 
 

@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import HORIZONS
-from panelcast.operators import gaps, indices as ix, lags as lg, metrics, splits as sp
+from panelcast.operators import gaps, indices as ix, lags as lg, metrics, splits as sp, walkforward as wf
 from panelcast.plans.base import query
 from panelcast.plans.inputs import anchors, gapped_train, test, train, weekly, weekly_test
 from panelcast.plans.lags import LAGS, ORD_SQL
@@ -52,6 +52,22 @@ def split_walkforward(spark, d):
     return sp.walk_forward(anchors(spark, d).select("region_id", "week_idx"), BOUNDS)
 
 
+SCORED = "boundary:i n:i " + " ".join(f"mae_w{h}" for h in HORIZONS) + " macro_mae avg_macro_mae last_macro_mae"
+
+
+@query("split_walkforward_scores", SCORED, f"""
+WITH l AS (SELECT region_id, week_idx, score, unnest([1,2,3,4,5]) horizon, unnest([target_w1,target_w2,target_w3,target_w4,target_w5]) truth FROM anc),
+b AS (SELECT unnest({BOUNDS}) boundary),
+f AS (SELECT boundary, horizon, regr_slope(truth, score) s, regr_intercept(truth, score) c FROM l JOIN b ON week_idx <= boundary GROUP BY 1, 2),
+e AS (SELECT boundary, horizon, abs(least(greatest(c + s * score, 0), 5) - truth) e FROM f JOIN l USING (horizon) WHERE week_idx > boundary AND week_idx <= boundary + 5),
+p AS (SELECT boundary, count(*) n, {", ".join(f"avg(e) FILTER (horizon = {h}) mae_w{h}" for h in HORIZONS)} FROM e GROUP BY 1),
+m AS (SELECT *, ({" + ".join(f"mae_w{h}" for h in HORIZONS)}) / 5 AS macro_mae FROM p)
+SELECT *, avg(macro_mae) OVER () avg_macro_mae, last_value(macro_mae) OVER (ORDER BY boundary ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) last_macro_mae FROM m""")
+def split_walkforward_scores(spark, d):
+    """Least squares on the current score, fitted up to each boundary and scored on the five weeks after it."""
+    return wf.scores(anchors(spark, d), ["score"], BOUNDS, alpha=0.0)
+
+
 def long_rows(spark, d):
     return metrics.long_targets(anchors(spark, d).select(
         "region_id", "week_idx", "ord", "month", *[f"target_w{h}" for h in HORIZONS]))

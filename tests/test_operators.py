@@ -154,7 +154,7 @@ def test_partial_autocorrelation(spark):
 
 def test_isotonic_ties(spark):
     rows = spark.createDataFrame([(1.0, 0.0), (2.0, 1.0), (3.0, 0.5), (4.0, 2.0), (4.0, 4.0)], "pred double, truth double")
-    out = models.apply_isotonic(models.isotonic(rows), rows.withColumn("x", F.col("pred"))).orderBy("x").collect()
+    out = models.calibrated(rows, rows.withColumn("x", F.col("pred"))).orderBy("x").collect()
     assert [r.pred for r in out] == pytest.approx([0, 0.75, 0.75, 3, 3])
 
 
@@ -276,10 +276,11 @@ def test_without_folds_the_late_rows_are_scored(spark):
 
 
 def test_isotonic_input_is_bounded(spark):
+    from panelcast.operators import monotone
     rows = spark.range(1_000_000).select((F.col("id") / 200_000).alias("pred"), (F.col("id") / 200_000).alias("truth"))
-    model = models.isotonic(rows)
-    assert model.boundaries.size <= 50_001
-    worst = models.apply_isotonic(model, rows.filter("pred < 4.9").sample(0.001, 1)).agg(F.max(F.abs(F.col("pred") - F.col("truth")))).first()[0]
+    fitted = monotone.pools(rows)
+    assert fitted.count() <= 50_001
+    worst = models.calibrated(rows, rows.filter("pred < 4.9").sample(0.001, 1)).agg(F.max(F.abs(F.col("pred") - F.col("truth")))).first()[0]
     assert worst < 2e-4
 
 
