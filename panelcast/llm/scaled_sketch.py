@@ -14,7 +14,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import functions as F, types as T
 
 from panelcast.llm import words as W
 from panelcast.llm.names import free
@@ -22,6 +22,8 @@ from panelcast.llm.names import free
 SHINGLE, FRACTION = 5, 1 / 4
 #: Sampled keys for each border between ranges of documents.
 PER_RANGE = 20
+#: A range holds about this many documents, fewer where there are more shuffle partitions.
+RANGE = 10_000
 
 
 def _word_hashes(data):
@@ -139,10 +141,11 @@ def written(sketch):
 
 
 def _ranges(keys, n):
-    """At most `n` keys (doc_id, hash), the first of each range of about equal size, in order; None where there is no row."""
+    """About `n` keys (doc_id, hash), the first of each range of about equal size, in order; None where there is no row."""
     head = keys.agg(F.count("*").alias("n"), F.max("doc_id").alias("id")).first()
     if not head.n:
         return None
+    n = n or max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), head.n // RANGE)
     top = keys.filter(F.col("doc_id").eqNullSafe(F.lit(head.id).cast("long"))).agg(F.min("_h")).first()[0]
     share = min(1.0, PER_RANGE * n / head.n)
     some = keys.filter(F.xxhash64(F.lit(29), "doc_id", "_h") <= min(2**63 - 1, int(-(2**63) + share * 2**64))).distinct()
@@ -167,7 +170,7 @@ def beside_next(docs, doc_id="doc_id", text="text", fraction=FRACTION, partition
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("_h", F.xxhash64("text"))
-    borders = _ranges(rows.select("doc_id", "_h"), partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    borders = _ranges(rows.select("doc_id", "_h"), partitions)
     schema = "doc_id long, n_chars long, edited_sha256 string, sketch array<long>, edited_sketch array<long>, next_sketch array<long>"
     if borders is None:
         return spark.createDataFrame([], schema)
