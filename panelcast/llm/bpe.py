@@ -277,9 +277,10 @@ def _count(batches, path, text, most=400_000):
             if not plain.all():
                 data, offsets = data[np.repeat(plain, np.diff(offsets))], np.concatenate(([0], np.cumsum(np.diff(offsets) * plain)))
             begin, end, _ = C.split_words(data, offsets, True)
-            hashes, at, n = np.unique(W.span_hashes(W.prefix_sums(data), begin, end), return_index=True, return_counts=True)
-            raw = data.tobytes()
-            for h, count, low, high in zip(hashes.tolist(), n.tolist(), begin[at].tolist(), end[at].tolist()):
+            first, second, at, number = W.distinct_strings(data, begin, end)
+            raw, n = data.tobytes(), np.bincount(number, minlength=len(at))
+            for *h, count, low, high in zip(first.tolist(), second.tolist(), n.tolist(), begin[at].tolist(), end[at].tolist()):
+                h = tuple(h)
                 if h in counts:
                     counts[h] += count
                 else:

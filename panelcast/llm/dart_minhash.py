@@ -29,8 +29,8 @@ BLOCK = 256
 
 def shingle_units(data, offsets):
     """(hash of each unit region, shingle hash, unit number, row borders); units of one shingle count up from 0."""
-    hashes, first = W.word_hashes(data, offsets, W.PLAIN)
-    shingles, first = W.shingle_hashes(hashes, first, SHINGLE)
+    starts, ends, first = W.word_spans(data, offsets, W.PLAIN)
+    shingles, first = W.shingle_hashes(W.lane_hashes(data, starts, ends), first, SHINGLE)
     rows = W.row_numbers(first)
     order = np.lexsort((shingles, rows))
     shingles = shingles[order]

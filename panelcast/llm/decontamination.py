@@ -22,7 +22,7 @@ from panelcast.llm.names import free
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 TABLE = W.byte_classes({*range(48, 58), *range(97, 123), *range(128, 256)})
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-HIT = "array<struct<item:bigint,first:int,last:int,start:int,stop:int>>"
+HIT = "array<struct<item:{},first:int,last:int,start:int,stop:int>>"
 
 
 def item_words(text):
@@ -110,16 +110,17 @@ class Phrases:
     """The windows of a block of items, as numbers of the block's vocabulary."""
 
     def __init__(self, items, size=10):
-        windows = {}
+        self.items = sorted({item for item, _ in items})
+        place, windows = {item: k for k, item in enumerate(self.items)}, {}
         for item, words in items:
             for i in range(max(1, len(words) - size + 1) if words else 0):
-                windows.setdefault(tuple(words[i:i + size]), set()).add(item)
+                windows.setdefault(tuple(words[i:i + size]), set()).add(place[item])
         vocabulary = sorted({w for window in windows for w in window})
         data = np.frombuffer("".join(vocabulary).encode(), np.uint8)
         ends = np.cumsum([len(w.encode()) for w in vocabulary], dtype=np.int64)
-        hashes = W.span_hashes(W.prefix_sums(data), np.concatenate(([0], ends[:-1])).astype(np.int64), ends)
+        hashes, checks = W.lane_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64), ends, True)
         self.order = np.argsort(hashes)
-        self.hashes, number = hashes[self.order], np.empty(len(vocabulary), np.int64)
+        self.hashes, self.checks, number = hashes[self.order], checks[self.order], np.empty(len(vocabulary), np.int64)
         number[self.order] = np.arange(len(vocabulary)) + 2  # 0 ends the text, 1 separates
         number = dict(zip(vocabulary, number.tolist()))
         self.largest = len(vocabulary) + 1
@@ -131,12 +132,12 @@ class Phrases:
         pairs = {number[a] * (self.largest + 1) + number[b] for w in windows for a, b in zip(w, w[1:])}
         self.pairs = np.array(sorted(pairs), np.int64)
 
-    def reduced(self, hashes, first):
+    def reduced(self, hashes, checks, first):
         """Symbols that can lie inside an occurrence, a separator after each run, and their word places."""
         if not self.groups or not len(hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        symbol = np.where(self.hashes[at] == hashes, at + 2, 0)
+        symbol = np.where((self.hashes[at] == hashes) & (self.checks[at] == checks), at + 2, 0)
         inside = symbol > 0
         new = np.ones(len(symbol) + 1, bool)
         new[1:-1] = True
@@ -157,7 +158,7 @@ class Phrases:
 
 
 def occurrences(phrases, symbols, places):
-    """(item, first word, last word + 1) of every window found, as arrays."""
+    """(number of the item, first word, last word + 1) of every window found, as arrays."""
     found = []
     if len(symbols):
         index = FMIndex(symbols, phrases.largest)
@@ -212,8 +213,8 @@ def shard_hits(column, phrases, limit=1 << 18, shard=1 << 18):
     for low, data, offsets in W.text_pieces(column, limit):
         data = W.LOWER[data]
         starts, ends, first = W.word_spans(data, offsets, TABLE)
-        hashes = W.span_hashes(W.prefix_sums(data), starts, ends)
-        symbols, places = phrases.reduced(hashes, first)
+        hashes, checks = W.lane_hashes(data, starts, ends, True)
+        symbols, places = phrases.reduced(hashes, checks, first)
         rows = W.row_numbers(first)
         counts.append(np.diff(first))
         waiting.append((symbols, places + base, starts - offsets[rows], ends - offsets[rows], rows + low, base))
@@ -231,12 +232,13 @@ def shard_hits(column, phrases, limit=1 << 18, shard=1 << 18):
     return counts, row, item, first - firsts[row], last - firsts[row], start, stop
 
 
-def _with_hits(batches, phrases, text, keep_text, words="_words", hits="_hits", old="_old"):
+def _with_hits(batches, phrases, kind, text, keep_text, words="_words", hits="_hits", old="_old"):
+    items = pa.array(phrases.items, kind)
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         counts, row, item, first, last, start, stop = shard_hits(column, phrases)
         out = pa.StructArray.from_arrays(
-            [pa.array(item, pa.int64()), *(pa.array(x, pa.int32()) for x in (first, last, start, stop))],
+            [items.take(pa.array(item)), *(pa.array(x, pa.int32()) for x in (first, last, start, stop))],
             names=["item", "first", "last", "start", "stop"])
         borders = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(column)))))
         new = {words: pa.array(counts, pa.int32()), hits: W.lists(out, borders)}
@@ -251,32 +253,43 @@ def _with_hits(batches, phrases, text, keep_text, words="_words", hits="_hits",
         yield pa.RecordBatch.from_arrays(columns + list(new.values()), names=names + list(new))
 
 
+def _blocks(benchmark, most):
+    """Lists of (item, words) of about `most` words, one held at a time; at least one list."""
+    block, used = [], 0
+    for r in benchmark.toLocalIterator():
+        if r[0] is None:
+            continue
+        words = item_words(r[1])
+        if used and used + len(words) > most:
+            yield block
+            block, used = [], 0
+        block.append((r[0], words))
+        used += len(words)
+    yield block
+
+
 def find(docs, benchmark, text="text", item_id="item_id", item_text="text", size=10, block_words=2_000_000, keep_text=False,
          words="_words", hits="_hits"):
     """`docs` with columns `words` (int) and `hits`, an array of the places of benchmark windows.
 
     A hit is one merged run of windows of one item: item, first and last + 1 word of the row,
     first and last + 1 byte of its UTF-8 text. Null texts and items have no words; an item
-    of fewer than `size` words is one window, an item without words or id is never found. Repeated
+    of fewer than `size` words is one window, an item without words or id is never found; ids are of any atomic type. Repeated
     rows are judged each by itself; repeated items give one hit. Other columns pass through,
     the text only with `keep_text`; columns named as the new ones are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in (words, hits)])
     old = free(docs, "_old")
-    items = [(r[0], item_words(r[1])) for r in benchmark.select(item_id, item_text).toLocalIterator() if r[0] is not None]
-    blocks, used = [[]], 0
-    for item in items:
-        if used and used + len(item[1]) > block_words:
-            blocks.append([])
-            used = 0
-        blocks[-1].append(item)
-        used += len(item[1])
-    for k, block in enumerate(blocks):
-        keep = keep_text or k < len(blocks) - 1
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, size))
+    hit = HIT.format(benchmark.select(item_id).schema[0].dataType.simpleString())
+    kind = benchmark.select(item_id).limit(0).toArrow().schema.field(0).type
+    ahead = _blocks(benchmark.select(item_id, item_text), block_words)
+    block, k = next(ahead), -1
+    while block is not None:
+        phrases, k, block = docs.sparkSession.sparkContext.broadcast(Phrases(block, size)), k + 1, next(ahead, None)
+        keep = keep_text or block is not None
         fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in (words, hits) and (f.name != text or keep)]
-        fields += [f"`{words}` int", f"`{hits}` {HIT}"] + ([f"`{old}` {HIT}"] if k else [])
-        docs = docs.mapInArrow(lambda b, p=phrases, keep=keep: _with_hits(b, p.value, text, keep, words, hits, old), ", ".join(fields))
+        fields += [f"`{words}` int", f"`{hits}` {hit}"] + ([f"`{old}` {hit}"] if k else [])
+        docs = docs.mapInArrow(lambda b, p=phrases, keep=keep: _with_hits(b, p.value, kind, text, keep, words, hits, old), ", ".join(fields))
         if k:
             docs = docs.withColumn(hits, F.concat(old, hits)).drop(old)
     return docs

@@ -178,9 +178,9 @@ class PairMerger:
 
 
 class WordIds:
-    """Ids of words by their hash: a direct-mapped table in front of `learn`.
+    """Ids of words by two hashes: a direct-mapped table in front of `learn`.
 
-    learn(data, start, length) gives the ids of new words, one after another, and their numbers.
+    A word is known by both its hashes, 128 bits; one that shares only the first takes the other's slot. learn(data, start, length) gives the ids of new words, one after another, and their numbers.
     """
 
     BITS, KEPT = 21, 1 << 23
@@ -190,7 +190,7 @@ class WordIds:
         self.clear()
 
     def clear(self):
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.keys, self.checks = np.zeros(1 << self.BITS, np.uint64), np.zeros(1 << self.BITS, np.uint64)
         self.entry = np.zeros(1 << self.BITS, np.int32)
         self.flat, self.start, self.length = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
         self.used = self.entries = 0
@@ -203,11 +203,10 @@ class WordIds:
         """Ids of the words data[begin:end], one after another, and the borders of each word's ids."""
         if self.used > self.KEPT:
             self.clear()
-        hashes = W.span_hashes(W.prefix_sums(data), begin, end)
-        known, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+        known, check, at, word = W.distinct_strings(data, begin, end)
         slot = (known >> np.uint64(64 - self.BITS)).astype(np.int64)
         entry = self.entry[slot].astype(np.int64)
-        new = np.flatnonzero(self.keys[slot] != known)
+        new = np.flatnonzero((self.keys[slot] != known) | (self.checks[slot] != check))
         if len(new):
             start = begin[at[new]]
             flat, length = self.learn(data, start, end[at[new]] - start)
@@ -218,7 +217,7 @@ class WordIds:
             self.start[number] = self.used + np.cumsum(length) - length
             self.length[number] = length
             self.used, self.entries = self.used + len(flat), self.entries + len(new)
-            self.keys[slot[new]], self.entry[slot[new]] = known[new], number
+            self.keys[slot[new]], self.checks[slot[new]], self.entry[slot[new]] = known[new], check[new], number
             entry[new] = number
         entry = entry[word]
         return gather(self.flat, self.start[entry], self.length[entry].astype(np.int64))

@@ -112,22 +112,50 @@ def span_hashes(sums, starts, ends):
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def lane_hashes(data, starts, ends):
-    """Hashes of the byte strings [starts, ends), mixed eight bytes at a time, so that no sum of powers can vanish."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    lanes = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+LANE = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)]
+
+
+def lane_hashes(data, starts, ends, twice=False):
+    """Hashes of the byte strings [starts, ends), mixed eight bytes at a time, so that no sum of powers can vanish.
+
+    With `twice` two independent ones, to tell apart strings whose first hash agrees.
+    """
+    lanes = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
     length = (ends - starts).astype(np.int64)
-    out = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
-    at, todo, done = starts.astype(np.int64), np.flatnonzero(length > 0), 0
-    while len(todo) and done < 512:
-        left = length[todo] - done
-        lane = lanes[at[todo] + done] & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
-        out[todo] = mix(out[todo] * np.uint64(0xD6E8FEB86659FD93) ^ lane)
-        todo, done = todo[left > 8], done + 8
+    seed = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)
+    at, done, todo = starts.astype(np.int64), 0, None
+    out = [mix(seed * k) for k in LANE[:1 + twice]]
+    while done < 512:  # all strings at first, later those that go on
+        left = length if todo is None else length[todo] - done
+        some = left > 0 if todo is None else None
+        lane = lanes[np.minimum(at, len(data)) if todo is None else at[todo] + done]
+        lane = lane & (np.uint64(2**64 - 1) >> (np.uint64(8) * (8 - np.clip(left, 1, 8)).astype(np.uint64)))
+        for h, k in zip(out, LANE):
+            if todo is None:
+                h[:] = np.where(some, mix(h * k ^ lane), h)
+            else:
+                h[todo] = mix(h[todo] * k ^ lane)
+        todo = np.flatnonzero(left > 8) if todo is None else todo[left > 8]
+        done += 8
+        if not len(todo):
+            return out if twice else out[0]
     for k in todo:  # few words are that long; their ends go through a library digest
-        rest = hashlib.blake2b(data[at[k] + done:ends[k]].tobytes(), digest_size=8).digest()
-        out[k] = mix(out[k:k + 1] ^ np.uint64(int.from_bytes(rest, "little")))[0]
-    return out
+        rest = hashlib.blake2b(data[at[k] + done:ends[k]].tobytes(), digest_size=16).digest()
+        for h, half in zip(out, (rest[:8], rest[8:])):
+            h[k] = mix(h[k:k + 1] ^ np.uint64(int.from_bytes(half, "little")))[0]
+    return out if twice else out[0]
+
+
+def distinct_strings(data, starts, ends):
+    """(first and second hash, one place in the list, number in the list) of the distinct byte strings [starts, ends).
+
+    The places are of the distinct ones, the numbers of all; strings are one if both hashes agree.
+    """
+    first, second = lane_hashes(data, starts, ends, True)
+    _, at, number = np.unique(first, return_index=True, return_inverse=True)
+    if (second[at][number] != second).any():
+        _, at, number = np.unique(np.stack([first, second], 1), axis=0, return_index=True, return_inverse=True)
+    return first[at], second[at], at, number.ravel()
 
 
 def word_hashes(data, offsets, table, lower=False):

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from compare import compare, duck
-from panelcast.llm import divergence, periodic_runs, planted, scaled_sketch, words as W
+from panelcast.llm import bpe, dart_minhash, decontamination, divergence, periodic_runs, planted, scaled_sketch, token_files, words as W
+from panelcast.sources.files import fresh
 
-from . import brute_new as brute
+from . import brute as plain, brute_new as brute
 from .brute import sha
-from .test_llm_operators import docs, empty, prose, texts  # noqa: F401
+from .test_llm_operators import BYTES, WORDS, docs, empty, prose, texts  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 
@@ -115,6 +116,37 @@ def test_word_hashes_differ_where_sums_of_powers_would_not():
     assert h[0] == h[1] and h[3] == h[4] and len(set(h.tolist())) == 5
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_share_a_polynomial_hash(spark, n):
+    """Both Thue-Morse words in one table: ids, files and hits are those of the library and of brute force."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    b = a.translate(str.maketrans("ab", "ba"))
+    some = [(1, a), (2, b), (3, f"{a} x {b}"), (4, b[:-1]), (5, f"{b} y {a}")]
+    df = spark.createDataFrame(some, "doc_id long, text string")
+    got = {r.doc_id: r for r in bpe.encode(df, BYTES).collect()}
+    for (i, _), want in zip(some, plain.byte_bpe([t for _, t in some])):
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == want
+    folder = fresh(spark, "token_ids")
+    token_files.write(df, WORDS, folder)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, folder).collect()) == plain.word_bpe(some)
+    items = [("item b", b), ("item a", f"{a} x"), ("none", a + "c"), (None, a), ("", None)]
+    found = decontamination.find(df, spark.createDataFrame(items, "item_id string, text string"), block_words=1)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.report(found).collect()}
+    assert got == {i: want for (i, _), want in zip(some, plain.contamination([t for _, t in some], items))}
+    assert {r.doc_id: r.class_id for r in dart_minhash.classes(df).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}
+
+
+def test_strings_that_share_the_first_hash(monkeypatch):
+    data = np.frombuffer(b"one two one six two", np.uint8)
+    at, to = np.array([0, 4, 8, 12, 16]), np.array([3, 7, 11, 15, 19])
+    want = W.distinct_strings(data, at, to)
+    real = W.lane_hashes
+    monkeypatch.setattr(W, "lane_hashes", lambda *a: (np.zeros(5, np.uint64), real(*a)[1]))
+    got = W.distinct_strings(data, at, to)
+    texts = lambda r: [data[at[r[2]][k]:to[r[2]][k]].tobytes() for k in r[3]]
+    assert texts(got) == texts(want) == [b"one", b"two", b"one", b"six", b"two"] and len(got[2]) == 3
+
+
 # periodic runs
 
 def test_runs_against_all_periods():
