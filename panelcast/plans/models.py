@@ -1,14 +1,15 @@
 """Model queries: profile tables and rules have SQL, fits return rows only."""
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
 from panelcast.functions.calendar import cyclic
 from panelcast.operators import blend as bl, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
-from panelcast.operators import models as ml, sequence_fit as sf, splits as sp, weekly as wk, weights as wt
+from panelcast.operators import models as ml, normal as no, sequence_fit as sf, splits as sp, weekly as wk, weights as wt
 from panelcast.plans.base import query
-from panelcast.plans.indices import signals
+from panelcast.plans.indices import FRAME_SQL, signals
 from panelcast.plans.inputs import aligned, anchors, clusters, gapped_train, members, test, train, weekly, weekly_test
 from panelcast.plans.splits import calendar, last_test_week, meta
 from panelcast.plans.weekly import CH15, KERNELS, imputed
@@ -47,8 +48,9 @@ def frame(spark, d):
 
 @query("ml_proxy_scales", "region_id:s week_idx:i proxy_p4 proxy_p8 proxy_p12 proxy_main proxy_4_12 proxy_8_12 proxy_4_8")
 def ml_proxy_scales(spark, d):
-    f = frame(spark, d)
-    return ml.proxy_scales(f, f)
+    """Proxies of the newest in-season holdout, fitted on the pool, which ends 13 weeks around it."""
+    f = ml.store(sp.season_holdout(frame(spark, d), last_test_week(spark, d)), "proxy-frame")
+    return ml.proxy_scales(f.filter("part = 'train'"), f.filter("part = 'val'"))
 
 
 @query("ml_lin_phys", PREDS)
@@ -130,17 +132,19 @@ def ml_fold_predict(spark, d):
 
 @query("ml_stratified", "region_id:s horizon:i pred")
 def ml_stratified(spark, d):
-    """Short-gap and long-gap fits, blended by each region's gap."""
+    """Short-gap and long-gap fits for each horizon, from one scan, blended by each region's gap."""
     g = gaps.gap_weeks(gapped_train(spark, d), test(spark, d))
     strata = g.select("region_id", gaps.stratum(F.col("gap_weeks")).alias("stratum"))
     # features, targets and newest week all end where the region's history ends
     weeks = ml.store(wk.weekly_blocks(gapped_train(spark, d), keep=["score"]), "gapped-weeks")
-    rows = ml.store(sp.by_stratum(long_features(spark, d, weeks), strata), "strata")
-    last = lg.last_week(lg.with_score_history(weeks).select("region_id", "week_idx", *FEATURES))
-    ends = ml.store(last.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))), "ends")
-    cols = FEATURES + ["horizon"]
-    preds = {s: ml.predict(ml.ridge(rows.filter(F.col("stratum") == s), cols, "truth", 1.0, True), ends, cols)
-             .select("region_id", "horizon", "pred") for s in ("short", "long")}
+    rows = sp.by_stratum(feature_rows(spark, d, weeks), strata).withColumn("g", (F.col("stratum") == "long").cast("int"))
+    last = ml.store(lg.last_week(lg.with_score_history(weeks).select("region_id", "week_idx", *FEATURES)), "ends")
+    sums = no.moments(rows, FEATURES, lg.TARGETS, "g")
+    preds = {}
+    for k, name in enumerate(("short", "long")):
+        fit = {0: no.ridge(sums[k], 1.0)} if k in sums else {}
+        out = no.predict(last, FEATURES, fit, keep=["region_id"])
+        preds[name] = out.select("region_id", F.posexplode("pred").alias("h", "pred")).select("region_id", (F.col("h") + 1).alias("horizon"), "pred")
     return bl.blend_strata(preds["short"], preds["long"], g)
 
 
@@ -344,19 +348,70 @@ def ml_importance(spark, d):
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
 
 
-@query("ml_feature_subsets", "subset:s n_columns:i mae edge")
-def ml_feature_subsets(spark, d):
-    """Edge over the region mean of four column sets on the newest in-season holdout."""
+HOLDOUTS = {"season": sp.season_holdout, "deficit": sp.hot_holdout}
+
+
+def subset_rows(spark, d):
+    """(rows, columns): both holdouts' pool and held-out rows, with all columns of the frame and scalars of the own pool."""
     w = cl.week_spi(weekly(spark, d))
-    base = [f"{c}_{s}" for c in CHANNELS for s in ("mean", "std")]
-    rows = lg.targets_by_ordinal(w.select("region_id", "week_idx", "ord", "woy1", "score", "spi", *base))
-    rows = ml.store(sp.season_holdout(rows, last_test_week(spark, d)), "subsets")
-    pool, val = rows.filter("part = 'train'"), rows.filter("part = 'val'")
-    pool, val = (ml.store(cl.region_scalars(x, pool), "subset") for x in (pool, val))
-    out, mean = [], float(mt.macro_mae(mt.long_targets(mt.baseline_predictions("region_mean", pool, val))).first()["macro_mae"])
-    for name, cols in ml.feature_subsets(base).items():
-        cols = cols + list(cl.SCALARS) + ["horizon"]
-        model = ml.ridge(mt.long_targets(pool), cols, "truth", 1.0, True)
-        mae = mt.macro_mae(ml.predict(model, mt.long_targets(val), cols)).first()["macro_mae"]
-        out.append((name, len(cols), float(mae), mean - float(mae)))
-    return spark.createDataFrame(out, "subset string, n_columns int, mae double, edge double")
+    rows = ml.store(lg.targets_by_ordinal(ix.shift_aware_frame(w, ix.region_base(w))), "subset-frame")
+    cols = [c for c in ix.feature_columns(rows) if c != "spi"]
+    last, parts = last_test_week(spark, d), []
+    for k, split in enumerate(HOLDOUTS.values()):
+        own = split(rows, last).select("region_id", "week_idx", "score", "part", "spi", *cols, *lg.TARGETS)
+        parts.append(cl.region_scalars(own, own.filter("part = 'train'")).withColumn("holdout", F.lit(k)))
+    return ml.store(reduce(lambda a, b: a.unionByName(b), parts).filter("part <> 'purged'"), "subsets"), cols
+
+
+SUBSET = "n_columns:i mae edge bias"
+
+
+@query("ml_feature_subsets", f"holdout:s subset:s {SUBSET} true_mean")
+def ml_feature_subsets(spark, d):
+    """Edge over the region mean and bias of four column sets on two holdouts, a fit for each horizon.
+
+    One scan adds up the products of all columns; each set is solved from its part of the sums.
+    """
+    rows, frame_cols = subset_rows(spark, d)
+    every = [*frame_cols, "spi", *cl.SCALARS]
+    sets = {name: [every.index(c) for c in [*cols, *cl.SCALARS]] for name, cols in ml.feature_subsets(frame_cols).items()}
+    sums = no.moments(rows.filter("part = 'train'"), every, lg.TARGETS, "holdout")
+    fits = {}
+    for k, m in sums.items():
+        own = [no.ridge(m, 10.0, pick) for pick in sets.values()]
+        fits[k] = tuple(np.concatenate(x) for x in zip(*own))
+    val = rows.filter("part = 'val'").withColumn("truth", F.array(*[F.col(t).cast("double") for t in lg.TARGETS]))
+    out = no.predict(val, every, fits, "holdout", ["holdout", "truth", "region_score_mean"])
+    n = len(HORIZONS)
+    names = F.array(*[F.struct(F.lit(name).alias("subset"), F.lit(len(cols)).alias("n_columns"), F.lit(i).alias("i")) for i, (name, cols) in enumerate(sets.items())])
+    out = out.withColumn("s", F.explode(names)).select("holdout", "s.subset", "s.n_columns", "truth", F.expr(f"slice(pred, 1 + s.i * {n}, {n})").alias("pred"),
+                                                       F.array_repeat("region_score_mean", n).alias("level"))
+    long = no.long_predictions(out.select("holdout", "subset", "n_columns", "truth", "pred", "level"), HORIZONS)
+    long = long.withColumn("level", F.col("level")[F.col("horizon") - 1])
+    error, base = F.avg(mt.error()), F.avg(F.abs(F.col("level") - F.col("truth")))
+    by = long.groupBy("holdout", "subset", "n_columns", "horizon").agg(error.alias("e"), base.alias("b"), F.sum(F.col("pred") - F.col("truth")).alias("d"),
+                                                                      F.sum("truth").alias("t"), F.count("*").alias("n"))
+    names = F.array(*[F.lit(h) for h in HOLDOUTS])
+    return by.groupBy("holdout", "subset", "n_columns").agg(
+        F.avg("e").alias("mae"), (F.avg("b") - F.avg("e")).alias("edge"), (F.sum("d") / F.sum("n")).alias("bias"),
+        (F.sum("t") / F.sum("n")).alias("true_mean")).withColumn("holdout", names[F.col("holdout")])
+
+
+SUM_COLS = ["tmp_mean", "prec_sum", "spi_8", "humidity_ranom4", "doy_sin"]
+
+
+@query("ml_normal_means", "horizon:i a:s b:s value:r", f"""
+WITH x AS (SELECT f.region_id, f.week_idx, {", ".join(f"coalesce(f.{c}, 0) {c}" for c in SUM_COLS[2:])}, coalesce(w.tmp_mean, 0) tmp_mean, coalesce(w.prec_sum, 0) prec_sum,
+  a.target_w1, a.target_w3 FROM ({FRAME_SQL}) f JOIN wk w USING (region_id, week_idx) JOIN anc a USING (region_id, week_idx)),
+l AS (SELECT *, 1 AS horizon, target_w1 AS y FROM x UNION ALL SELECT *, 3, target_w3 FROM x)
+SELECT horizon, a, b, avg(p) AS value FROM (SELECT horizon, unnest([{", ".join(f"'{a}'" for i, a in enumerate(SUM_COLS) for b in [*SUM_COLS[i:], "y"])}]) a,
+  unnest([{", ".join(f"'{b}'" for i, a in enumerate(SUM_COLS) for b in [*SUM_COLS[i:], "y"])}]) b,
+  unnest([{", ".join(f"{a} * {b}" for i, a in enumerate(SUM_COLS) for b in [*SUM_COLS[i:], "y"])}]) p FROM l WHERE y IS NOT NULL) GROUP BY 1, 2, 3""")
+def ml_normal_means(spark, d):
+    """Means of the products that the fits of `ml_feature_subsets` are solved from, for some columns and horizons."""
+    w = weekly(spark, d)
+    rows = lg.lead_targets(ix.shift_aware_frame(w, ix.region_base(w)))
+    sums = no.moments(rows, SUM_COLS, ["target_w1", "target_w3"])[0]
+    names = [*SUM_COLS, "1", "y"]
+    out = [(h, names[i], names[j], float(m[i, j] / m[-2, -2])) for h, m in zip((1, 3), sums) for i in range(len(SUM_COLS)) for j in range(i, len(names)) if names[j] != "1"]
+    return spark.createDataFrame(out, "horizon int, a string, b string, value double")
