@@ -17,18 +17,29 @@ from pyspark.sql import functions as F, types as T
 
 from panelcast.sources.files import store
 
-BINS, DEPTH, STEP, PATIENCE, LEAST, CYCLE = 32, 3, 0.3, 3, 20, 8
+BINS, DEPTH, STEP, PATIENCE, LEAST, CYCLE, SAMPLE = 32, 3, 0.5, 2, 20, 8, 20_000
 #: Residuals are counted in cells of 1 / GRID, up to +-REACH (scores are 0 to 5).
 GRID, REACH = 200, 6.0
 ROWS = 4096
 
 
-def borders(rows, cols, bins=BINS):
-    """{column: rising bin borders} from quantiles; a column of one value has none. Null and NaN go to the first bin."""
-    share = [k / bins for k in range(1, bins)]
-    got = rows.agg(*[F.percentile_approx(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), share, 10_000).alias(f"_{i}")
-                     for i, c in enumerate(cols)]).first()
-    return [np.unique(np.array(got[i] or [], float)) for i in range(len(cols))]
+def borders(rows, cols, bins=BINS, sample=SAMPLE):
+    """[rising bin borders of each column] from quantiles of about `sample` rows, chosen by a hash of their values.
+
+    A column of one value has none. Null and NaN go to the first bin. The sample bounds what the driver reads; it decides only where
+    splits may lie, all rows decide which are taken.
+    """
+    picked = rows.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(cols)])
+    n = picked.count()
+    if n > sample:
+        picked = picked.filter(F.pmod(F.xxhash64(*picked.columns), F.lit(1_000_000)) < int(1_000_000 * sample / n))
+    got = picked.toArrow()
+    out = []
+    for i in range(len(cols)):
+        v = np.asarray(got[f"_{i}"].fill_null(np.nan).combine_chunks()) if len(got) else np.zeros(0)
+        v = np.sort(v[~np.isnan(v)])
+        out.append(np.unique(v[(np.arange(1, bins) * len(v)) // bins]) if len(v) else v)
+    return out
 
 
 def _matrix(batch, names, fill):
@@ -110,7 +121,7 @@ def _blocks(batches, columns, targets, trees):
 
 
 def _level(batches, columns, targets, trees, growing, level, bins_):
-    """(target, node, column) with weights, signs and rows by bin; on the first level also (target, -1, 0): error and rows to stop on."""
+    """(target, node) with weights, signs and rows by column and bin; on the first level also (target, -1): error and weight of the stopping rows."""
     size = 1 << level
     total = np.zeros((targets, size, columns, 3, bins_))
     stop = np.zeros((targets, 2))
@@ -129,16 +140,13 @@ def _level(batches, columns, targets, trees, growing, level, bins_):
             sign = np.sign(y[use, h] - pred[use, h]) * weight
             for k, v in enumerate((weight, sign, np.ones(len(use)))):
                 total[h, :, :, k] += np.bincount(cell, np.repeat(v, columns), minlength=size * columns * bins_).reshape(size, columns, bins_)
-    rows, values = [], []
-    for h in range(targets):
-        if growing[h] is not None:
-            rows += [(h, node, c) for node in range(size) for c in range(columns)]
-            values.append(total[h].reshape(size * columns, 3 * bins_))
-            if level == 0:
-                rows.append((h, -1, 0))
-                values.append(np.concatenate((stop[h], np.zeros(3 * bins_ - 2)))[None])
+    # few rows of long vectors: the shuffle adds them up by target and node
+    rows = [(h, node, total[h, node].ravel()) for h in range(targets) if growing[h] is not None for node in range(size)]
+    if level == 0:
+        rows += [(h, -1, stop[h]) for h in range(targets) if growing[h] is not None]
     if rows:
-        yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], _array(np.concatenate(values))], names=["h", "node", "c", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["h", "node", "v"])
 
 
 def _leaves(batches, columns, targets, trees, growing):
@@ -205,13 +213,13 @@ def boost(rows, cols, fit, stop=(), weights=(), depth=DEPTH, step=STEP, patience
         first = not any(trees)
         for level in range(depth):
             sent = spark.sparkContext.broadcast((list(fresh), growing))
-            sums = data.mapInArrow(lambda b, level=level, sent=sent: _level(b, columns, targets, *sent.value, level, width), "h long, node long, c long, v array<double>")
-            sums = sums.groupBy("h", "node", "c").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).toArrow()
-            values = np.asarray(sums["v"].combine_chunks().flatten()).reshape(-1, 3 * width) if len(sums) else np.zeros((0, 3 * width))
+            sums = data.mapInArrow(lambda b, level=level, sent=sent: _level(b, columns, targets, *sent.value, level, width), "h long, node long, v array<double>")
+            sums = sums.groupBy("h", "node").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("h", "node", vector_to_array("v").alias("v")).toArrow()
             found = {}
-            for h, node, c, v in zip(sums["h"].to_pylist(), sums["node"].to_pylist(), sums["c"].to_pylist(), values):
+            for h, node, v in zip(sums["h"].to_pylist(), sums["node"].to_pylist(), sums["v"]):
+                v = np.asarray(v.values)
                 if node >= 0:
-                    found.setdefault((h, node), np.zeros((columns, 3, width)))[c] = v.reshape(3, width)
+                    found[h, node] = v.reshape(columns, 3, width)
                 elif v[1] > 0:
                     errors[h].append(v[0] / v[1])
             if level == 0:

@@ -19,7 +19,7 @@ def _numbers(batch, cols, missing):
 
 
 def _add_products(batches, cols, labels, weights):
-    """Sums of products of one task: one row per group, target and column."""
+    """Sums of products of one task: one row per group and target."""
     size, total = len(cols) + 2, {}
     for batch in batches:
         x = np.nan_to_num(_numbers(batch, cols, 0.0))
@@ -31,11 +31,10 @@ def _add_products(batches, cols, labels, weights):
                 use = (group == g) & ~np.isnan(y[:, h])
                 z = np.concatenate((x[use], np.ones((use.sum(), 1)), y[use, h:h + 1]), 1)
                 own[h] += (z * w[use, h:h + 1]).T @ z
-    rows = [(g, h, i, m[h, i]) for g, m in total.items() for h in range(len(labels)) for i in range(size)]
-    if rows:
-        yield pa.RecordBatch.from_arrays(
-            [*[pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], pa.array([r[3] for r in rows], pa.list_(pa.float64()))],
-            names=["g", "h", "i", "v"])
+    rows = [(g, h, m[h].ravel()) for g, m in total.items() for h in range(len(labels))]
+    if rows:  # few rows of long vectors
+        yield pa.RecordBatch.from_arrays([*[pa.array([r[k] for r in rows], pa.int64()) for k in range(2)],
+                                          pa.array([r[2] for r in rows], pa.list_(pa.float64()))], names=["g", "h", "v"])
 
 
 def moments(rows, cols, labels, by=None, weights=None):
@@ -47,14 +46,12 @@ def moments(rows, cols, labels, by=None, weights=None):
     names = {k: [f"_{k}{i}" for i in range(len(v or []))] for k, v in (("x", cols), ("y", labels), ("w", weights))}
     number = [F.col(c).cast("double").alias(n) for k, v in (("x", cols), ("y", labels), ("w", weights or [])) for c, n in zip(v, names[k])]
     picked = rows.select((F.col(by).cast("long") if by else F.lit(0).cast("long")).alias("_g"), *number).filter("_g IS NOT NULL")
-    sums = picked.mapInArrow(lambda b: _add_products(b, names["x"], names["y"], names["w"]), "g long, h long, i long, v array<double>")
-    sums = sums.groupBy("g", "h", "i").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    sums = picked.mapInArrow(lambda b: _add_products(b, names["x"], names["y"], names["w"]), "g long, h long, v array<double>")
+    sums = sums.groupBy("g", "h").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
     size, out = len(cols) + 2, {}
-    got = sums.select("g", "h", "i", vector_to_array("v").alias("v")).toArrow()  # groups x targets x (columns + 2) rows
-    if len(got):
-        values = np.asarray(got["v"].combine_chunks().flatten()).reshape(-1, size)
-        for g, h, i, v in zip(got["g"].to_pylist(), got["h"].to_pylist(), got["i"].to_pylist(), values):
-            out.setdefault(g, np.zeros((len(labels), size, size)))[h, i] = v
+    got = sums.select("g", "h", vector_to_array("v").alias("v")).toArrow()  # groups x targets rows
+    for g, h, v in zip(got["g"].to_pylist(), got["h"].to_pylist(), got["v"]):
+        out.setdefault(g, np.zeros((len(labels), size, size)))[h] = np.asarray(v.values).reshape(size, size)
     return out
 
 

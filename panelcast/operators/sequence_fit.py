@@ -8,7 +8,7 @@ Splitting is linear too, so trend and season never have to be made: a member's w
 channel and week (`combined`), and the gradient on both comes from that on the window (`split_gradient`). A region's weeks
 are stored once, in blocks of `WEEK_CHUNK` anchors with the weeks before them; tasks cut windows out of a block, a hundred
 anchors at a time. A step is one pass over the blocks that returns losses and gradients of all members and horizons, summed by
-the shuffle: as many rows as a window has channels and weeks, whatever the number of anchors or partitions.
+the shuffle: vectors as long as the weights, whatever the number of anchors or partitions.
 
 The term of a region starts at its mean target and moves, between the rounds, by its mean bounded residual
 (a step that can't raise the Huber loss). It is a column of a table, so the number of regions is not bounded by the driver.
@@ -24,7 +24,7 @@ from panelcast.functions.chunks import CHUNK, OWN, chunked
 from panelcast.sources.files import store
 
 DELTA, RIDGE, ROUNDS, STEPS, MEMORY = 1.35, 0.01, 3, 14, 10
-ROWS = 128
+ROWS, PIECES = 128, 16
 
 
 def blocks(weeks, anchors, channels, side, targets, length, keep=("part",), size=WEEK_CHUNK):
@@ -115,7 +115,7 @@ def _offsets(batch, shape):
 
 
 def _pass(batches, shape, weights, delta):
-    """Summed Huber loss, its gradient on `combined` and the number of targets, one row per input and one for the losses."""
+    """Summed Huber loss, its gradient on `combined` and the number of targets, as `PIECES` pieces of one vector."""
     gradient, loss, seen = np.zeros((shape.part + shape.side + 1, shape.problems)), np.zeros(shape.problems), np.zeros(shape.problems)
     for batch in batches:
         offsets = _offsets(batch, shape)
@@ -130,9 +130,10 @@ def _pass(batches, shape, weights, delta):
             gradient += x.T @ bounded
             loss += (bounded * (r - bounded / 2)).sum(0)
             seen += known.sum(0)
-    rows = np.concatenate((gradient, loss[None], seen[None]))
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.ListArray.from_arrays(
-        pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))], names=["i", "v"])
+    rows = np.concatenate((gradient, loss[None], seen[None])).ravel()
+    pieces = np.array_split(rows, PIECES)  # few rows of long vectors
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES)), pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum([len(p) for p in pieces]))), pa.int32()), pa.array(rows))], names=["i", "v"])
 
 
 def evaluated(rows, shape, weights, delta=DELTA, ridge=RIDGE):
@@ -143,7 +144,8 @@ def evaluated(rows, shape, weights, delta=DELTA, ridge=RIDGE):
     sums = sums.groupBy("i").agg(Summarizer.sum(array_to_vector("v")).alias("v")).select("i", vector_to_array("v").alias("v")).toArrow()
     got = np.zeros((shape.part + shape.side + 3, shape.problems))
     if len(sums):
-        got[np.asarray(sums["i"])] = np.asarray(sums["v"].combine_chunks().flatten()).reshape(len(sums), -1)
+        pieces = dict(zip(sums["i"].to_pylist(), (np.asarray(v.values) for v in sums["v"])))
+        got = np.concatenate([pieces[k] for k in range(PIECES)]).reshape(got.shape)
     sent.destroy()
     n = np.maximum(got[-1], 1.0)
     penalty = weights.copy()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
 from panelcast.functions.calendar import cyclic
-from panelcast.operators import blend as bl, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
+from panelcast.operators import blend as bl, boosting as bo, climatology as cl, gaps, indices as ix, lags as lg, metrics as mt
 from panelcast.operators import models as ml, normal as no, sequence_fit as sf, splits as sp, weekly as wk, weights as wt
 from panelcast.plans.base import query
 from panelcast.plans.indices import FRAME_SQL, signals
@@ -67,67 +67,100 @@ def ml_lin_phys(spark, d):
     return ml.linear_horizons(rows, ml.store(season(ends), "phys-test"), cols)
 
 
-def _split(spark, d):
-    rows = sp.calendar_split(feature_rows(spark, d), meta(spark, d))
-    rows = rows.withColumn("w", wt.severity(F.col("target_w1")))
-    return ml.store(wt.with_unit_mean(rows, "w"), "split")
+def lag_frame(spark, d):
+    """(rows, columns) of the boosted fits: weekly statistics, score history and targets, written once.
+
+    The whole lag frame has 358 columns; with it a query took 132 s at sf0.01, most of it for wide projections.
+    """
+    return feature_rows(spark, d), FEATURES
+
+
+def boosted_split(spark, d):
+    """(rows, columns): the features with severity weights, and targets by role: `fit_` in the pool, `stop_` on the newest
+    fifth of the pool's in-season weeks, neither in the calendar holdout (`part` = val)."""
+    frame, cols = lag_frame(spark, d)
+    rows = sp.calendar_split(frame.select("region_id", "week_idx", "woy", "ord", *lg.TARGETS), meta(spark, d))
+    rows = ml.store(sp.with_woy_distance(rows.drop("test_woy", "woy_dist"), meta(spark, d)), "roles")
+    near = (F.col("part") == "train") & (F.col("woy_dist") <= 6)
+    cut = rows.filter(near).agg(F.percentile_approx("ord", 0.8, 10000)).first()[0]
+    stop = near & (F.col("ord") > (cut if cut is not None else 0))
+    fit = (F.col("part") == "train") & ~F.coalesce(stop, F.lit(False))
+    roles = {f"{n}_{h}": F.when(role, F.col(f"target_w{h}")) for n, role in (("fit", fit), ("stop", stop)) for h in HORIZONS}
+    weights = {f"weight_{h}": wt.severity(F.col(f"target_w{h}")) for h in HORIZONS}
+    narrow = rows.withColumns({**roles, **weights}).select("region_id", "week_idx", "part", *roles, *weights)
+    return frame.join(narrow, ["region_id", "week_idx"]), cols
+
+
+def _roles(*names):
+    return [[f"{n}_{h}" for h in HORIZONS] for n in names]
 
 
-def _pool(spark, d):
-    """(rows to fit, rows to choose a size on, holdout rows)."""
-    rows = sp.with_woy_distance(_split(spark, d).drop("test_woy", "woy_dist"), meta(spark, d))
-    pool = rows.filter("part = 'train'")
-    near = pool.filter(F.col("woy_dist") <= 6)
-    cut = near.agg(F.percentile_approx("ord", 0.8, 10000)).first()[0]
-    stop = near.filter(F.col("ord") > (cut if cut is not None else 0))
-    fit = pool.filter(~((F.col("woy_dist") <= 6) & (F.col("ord") > (cut if cut is not None else 0))))
-    return ml.store(fit, "fit"), ml.store(stop, "stop"), rows.filter("part = 'val'")
+def horizon_model(spark, d):
+    """(model, rows): five horizons fitted side by side."""
+    rows, cols = boosted_split(spark, d)
+    return bo.boost(rows, cols, *_roles("fit", "stop", "weight")), rows
 
 
 @query("ml_gbt_horizon", "horizon:i trees:i mae baseline_mae")
 def ml_gbt_horizon(spark, d):
-    """Per horizon a weighted fit. Its size is chosen on the newest fifth of the pool's in-season weeks, which the
-    fit doesn't see; the error is that of the calendar holdout."""
-    a, stop, b = _pool(spark, d)
-    out = []
-    for h in HORIZONS:
-        model, k = ml.boosted(a, FEATURES, f"target_w{h}", "w", stop)
-        p = ml.predict(model, b, FEATURES)
-        e = p.agg(F.avg(F.abs(F.col("pred") - F.col(f"target_w{h}"))), F.avg(F.abs(F.col("score") - F.col(f"target_w{h}")))).first()
-        out.append((h, k, float(e[0]), float(e[1])))
-    return spark.createDataFrame(out, "horizon int, trees int, mae double, baseline_mae double")
+    """Per horizon a weighted fit, stopped on rows that it doesn't see; the errors of the fit and of persistence
+    are those of the calendar holdout."""
+    model, rows = horizon_model(spark, d)
+    truth = F.array(*[F.col(t).cast("double") for t in lg.TARGETS])
+    out = bo.predict(model, rows.filter("part = 'val'").withColumn("truth", truth).withColumn("now", F.array_repeat(F.col("score").cast("double"), 5)), ["truth", "now"])
+    long = no.long_predictions(out, HORIZONS).withColumn("now", F.col("now")[F.col("horizon") - 1])
+    trees = F.array(*[F.lit(len(t)) for t in model.trees])
+    return long.groupBy("horizon").agg(F.avg(mt.error()).alias("mae"), F.avg(F.abs(F.col("now") - F.col("truth"))).alias("baseline_mae")) \
+        .withColumn("trees", trees[F.col("horizon") - 1])
 
 
 @query("ml_gbt_shared", "horizon:i mae n:i")
 def ml_gbt_shared(spark, d):
-    """One weighted fit with the horizon as a feature, its size chosen as for the single ones."""
-    a, stop, b = (mt.long_targets(x) for x in _pool(spark, d))
-    cols = FEATURES + ["horizon"]
-    model, _ = ml.boosted(a, cols, "truth", "w", stop)
-    p = ml.predict(model, b, cols)
-    return p.groupBy("horizon").agg(F.avg(mt.error()).alias("mae"), F.count("*").alias("n"))
+    """One weighted fit with the horizon as a feature, stopped as the single ones."""
+    rows, cols = boosted_split(spark, d)
+    each = F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{n}_{h}").alias(n) for n in ("fit", "stop", "weight")],
+                              F.col(f"target_w{h}").cast("double").alias("truth")) for h in HORIZONS])
+    long = rows.select("part", *cols, F.explode(each).alias("t")).select("part", *cols, "t.*")
+    model = bo.boost(long, [*cols, "horizon"], ["fit"], ["stop"], ["weight"])
+    out = bo.predict(model, long.filter("part = 'val' AND truth IS NOT NULL").withColumnRenamed("horizon", "h").withColumn("horizon", F.col("h")), ["h", "truth"])
+    return out.groupBy(F.col("h").alias("horizon")).agg(F.avg(F.abs(F.col("pred")[0] - F.col("truth"))).alias("mae"), F.count("*").alias("n"))
+
+
+FOLDS = (1, 2, 3)
 
 
 def oof(spark, d):
-    """Boosted fits of each horizon and fold; each row scored by a fit that hasn't seen its time."""
-    rows = ml.store(sp.purged_folds(long_features(spark, d), 4, 91), "folds")
-    fit = lambda r, cols, label: ml.boosted(r, cols, label)[0]
-    return ml.out_of_fold_by_horizon(rows, FEATURES, "truth", fit, range(1, 4))
+    """(out-of-fold rows, model, features): each fold and horizon is a target, all fitted side by side.
+
+    A fold's fit stops on the newest fifth of the days it may see.
+    """
+    rows, cols = lag_frame(spark, d)
+    parts = sp.purged_folds(mt.long_targets(rows.select("region_id", "week_idx", "ord", "month", *lg.TARGETS)), 4, 91)
+    cuts = parts.filter("part = 'train'").groupBy("fold").agg(F.percentile_approx("ord", 0.8, 10000).alias("cut"))
+    seen = parts.join(cuts, "fold", "left").withColumn("role", F.when(F.col("part") == "val", "val").when(F.col("ord") > F.col("cut"), "stop").otherwise("fit"))
+    cell = lambda role, f, h: F.max(F.when((F.col("role") == role) & (F.col("fold") == f) & (F.col("horizon") == h), F.col("truth")))
+    wide = seen.groupBy("region_id", "week_idx").agg(*[cell(r, f, h).alias(f"{r}_{f}_{h}") for r in ("fit", "stop", "val") for f in FOLDS for h in HORIZONS])
+    rows = rows.join(ml.store(wide, "fold-roles"), ["region_id", "week_idx"], "left")
+    names = [[f"{r}_{f}_{h}" for f in FOLDS for h in HORIZONS] for r in ("fit", "stop", "val")]
+    model = bo.boost(rows, cols, names[0], names[1])
+    out = bo.predict(model, rows.withColumn("truth", F.array(*[F.col(c).cast("double") for c in names[2]])), ["region_id", "week_idx", "truth"])
+    n = len(HORIZONS)
+    long = no.long_predictions(out, range(len(FOLDS) * n)).withColumns({"fold": F.expr(f"1 + horizon div {n}"), "horizon": F.expr(f"1 + horizon % {n}")})
+    return ml.store(long, "oof"), model, rows
 
 
 @query("ml_fold_oof", "fold:i horizon:i n:i mae")
 def ml_fold_oof(spark, d):
-    scored, _ = oof(spark, d)
-    return scored.groupBy("fold", "horizon").agg(F.count("*").alias("n"), F.avg(mt.error()).alias("mae"))
+    """Each row scored by a fit that hasn't seen its time."""
+    return oof(spark, d)[0].groupBy("fold", "horizon").agg(F.count("*").alias("n"), F.avg(mt.error()).alias("mae"))
 
 
 @query("ml_fold_predict", "region_id:s horizon:i pred")
 def ml_fold_predict(spark, d):
     """Newest week of each region, predicted by the mean of the fold models of each horizon."""
-    _, models = oof(spark, d)
-    last = ml.store(lg.last_week(lg.with_score_history(weekly(spark, d)).select("region_id", "week_idx", *FEATURES)), "ends")
-    parts = [ml.mean_prediction(models[h], last, FEATURES, 0.5).withColumn("horizon", F.lit(h)) for h in HORIZONS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    _, model, rows = oof(spark, d)
+    out = bo.predict(model, lg.last_week(rows), ["region_id"]).select("region_id", F.posexplode("pred").alias("k", "p"))
+    return out.groupBy("region_id", F.expr(f"1 + k % {len(HORIZONS)}").alias("horizon")).agg(F.avg("p").alias("pred"))
 
 
 @query("ml_stratified", "region_id:s horizon:i pred")
@@ -225,8 +258,7 @@ def ml_pca2(spark, d):
 
 @query("ml_iso_global", "fold:i mae_before mae_after n:i")
 def ml_iso_global(spark, d):
-    scored, _ = oof(spark, d)
-    scored = ml.store(scored.withColumn("raw", F.col("pred")), "oof")
+    scored = oof(spark, d)[0].withColumn("raw", F.col("pred"))
     out = ml.calibrate_global(scored)
     return out.groupBy("fold").agg(F.avg(F.abs(F.col("raw") - F.col("truth"))).alias("mae_before"),
                                    F.avg(mt.error()).alias("mae_after"), F.count("*").alias("n"))
@@ -342,9 +374,9 @@ def ml_decomp_linear(spark, d):
 
 @query("ml_importance", "feature:s importance rank:i")
 def ml_importance(spark, d):
-    rows = feature_rows(spark, d)
-    models = [ml.boosted(rows, FEATURES, f"target_w{h}")[0] for h in HORIZONS]
-    ranked = ml.importance(models, FEATURES)
+    """The columns with the greatest share of the gain, the mean over the horizons."""
+    model, _ = horizon_model(spark, d)
+    ranked = sorted(model.importance().items(), key=lambda x: (-x[1], x[0]))[:25]
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")
 
 
