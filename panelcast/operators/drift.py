@@ -117,21 +117,24 @@ def rank_correlation(df, cols, target="score"):
     """Spearman correlation of every column with the target.
 
     Distinct (value, target) pairs are counted, both sides get tie-averaged ranks from
-    running counts, and the correlation is a weighted sum over the pairs.
+    running counts over value buckets, so a continuous target is ranked by as many tasks as
+    a column, and the correlation is a weighted sum over the pairs. Rows without a target are
+    left out, per channel also those without a value; a side of one value has no correlation.
     """
-    borders = ranks.bucket_borders(df, [*cols])
+    df = df.filter(F.col(target).isNotNull())
+    borders = ranks.bucket_borders(df, [*cols, target])
+    target_borders = borders.pop(target)
     long = df.select(F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in cols]).unpivot(
         ["y"], list(cols), "channel", "v").dropna()
     pairs = long.groupBy("channel", "v", "y").agg(F.count("*").alias("w"))
     xs = ranks.average_ranks(pairs.groupBy("channel", "v").agg(F.sum("w").alias("n")), borders)
-    ys = pairs.groupBy("channel", "y").agg(F.sum("w").alias("n"))
-    upto = Window.partitionBy("channel").orderBy("y")
-    ys = ys.withColumn("ry", F.sum("n").over(upto) - (F.col("n") - 1) / 2)
+    ys = ranks.average_ranks(pairs.groupBy("channel", F.col("y").alias("v")).agg(F.sum("w").alias("n")),
+                             {c: target_borders for c in cols})
     j = (pairs.join(xs.select("channel", "v", F.col("rank").alias("rx"), "n_all"), ["channel", "v"])
-         .join(ys.select("channel", "y", "ry"), ["channel", "y"]))
+         .join(ys.select("channel", F.col("v").alias("y"), F.col("rank").alias("ry")), ["channel", "y"]))
     mid = (F.col("n_all") + 1) / 2
     dx, dy, w = F.col("rx") - mid, F.col("ry") - mid, F.col("w")
-    return j.groupBy("channel").agg((F.sum(w * dx * dy) / F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("spearman"),
+    return j.groupBy("channel").agg(F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("spearman"),
                                     F.sum("w").alias("n"))
 
 

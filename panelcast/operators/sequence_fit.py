@@ -38,7 +38,7 @@ def blocks(weeks, anchors, channels, side, targets, length, keep=("part",), size
     week = F.struct(WEEK, OWN, "x")
     matrix = cut.groupBy(KEY, CHUNK).agg(F.array_sort(F.collect_list(week)).alias("w")).filter(F.exists("w", lambda w: w[OWN]))
     extra = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in side]) if side else F.array().cast("array<double>")
-    truth = F.array(*[F.coalesce(F.col(t).cast("double"), F.lit(float("nan"))) for t in targets])
+    truth = F.array(*[F.coalesce(F.col(t).cast("double"), F.lit(float("nan"))) for t in targets]).cast("array<double>")
     own = anchors.select(KEY, F.floor(F.col(WEEK) / size).alias(CHUNK), F.struct(
         F.col(WEEK).alias("at"), *keep, extra.alias("side"), truth.alias("truth")).alias("a"))
     rows = own.groupBy(KEY, CHUNK).agg(F.array_sort(F.collect_list("a")).alias("a")).join(matrix, [KEY, CHUNK])

@@ -243,7 +243,7 @@ STATCOLS = [f"{c}_{s}" for c in CHANNELS for s in ("mean", "std", "min", "max",
 
 
 @query("filt_nonkey", "column_name:s n_values:i",
-       " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n_values FROM wk" for c in STATCOLS))
+       f"UNPIVOT (SELECT {', '.join(f'count({c}) AS {c}' for c in STATCOLS)} FROM wk) ON {', '.join(STATCOLS)} INTO NAME column_name VALUE n_values")
 def filt_nonkey(spark, d):
     """Values per feature column once keys and targets are left out."""
     w = weekly(spark, d)
@@ -253,8 +253,9 @@ def filt_nonkey(spark, d):
 
 
 @query("idx_eda_signals", "region_id:s day_idx:i vpd_anom prec_deficit dry_day:i", """
-SELECT region_id, day_idx, (tmp-wb_tmp-vm)/vs vpd_anom, (pm-prec)/ps prec_deficit, CAST(coalesce(prec < 0.1, false) AS INT) dry_day
-FROM train CROSS JOIN (SELECT avg(tmp-wb_tmp) vm, greatest(stddev_samp(tmp-wb_tmp), 0.1) vs, avg(prec) pm,
-  greatest(stddev_samp(prec), 0.01) ps FROM train)""")
+SELECT region_id, day_idx, (tmp-wb_tmp-(SELECT avg(tmp-wb_tmp) FROM train))/(SELECT greatest(stddev_samp(tmp-wb_tmp), 0.1) FROM train) vpd_anom,
+  ((SELECT avg(prec) FROM train)-prec)/(SELECT greatest(stddev_samp(prec), 0.01) FROM train) prec_deficit,
+  CAST(coalesce(prec < 0.1, false) AS INT) dry_day
+FROM train""")
 def idx_eda_signals(spark, d):
     return ix.daily_signals(train(spark, d))

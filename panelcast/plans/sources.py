@@ -2,12 +2,13 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, HORIZONS
-from panelcast.operators.checks import panel_violations, target_violations
+from panelcast.operators.checks import left_out_items, panel_violations, target_violations
+from panelcast.operators.cleaning import attach
 from panelcast.plans.base import query
 from panelcast.plans.inputs import anchors, test, train, weekly
 from panelcast.plans.prefix import _CH
 from panelcast.sources import files
-from panelcast.sources.panel import panel, table, training_history
+from panelcast.sources.panel import between_days, panel, table, training_history
 
 PANEL_COLS = "region_id:s day_idx:i date:s " + " ".join(CHANNELS) + " score:i"
 PRED_COLS = "region_id:s " + " ".join(f"pred_week{h}" for h in HORIZONS)
@@ -104,7 +105,7 @@ def snk_artifacts(spark, d):
 @query("snk_featcache", "region_id:s n_weeks:i built:i", "SELECT region_id, count(*) n_weeks, 1 AS built FROM wk GROUP BY 1")
 def snk_featcache(spark, d):
     """Second read of the same fingerprint must be served from the stored table."""
-    source = table(spark, d, "lineitem")
+    source = [f"{d}/lineitem.parquet"]
     config = {"stage": "weekly", "channels": ["tmp", "prec"], "run": files.fresh(spark, "run")}
     build = lambda: weekly(spark, d).select("region_id", "week_idx", "tmp_mean", "prec_sum")
     _, first = files.cached_table(spark, source, config, build)
@@ -125,12 +126,18 @@ def snk_runlog(spark, d):
     return log.groupBy("tag").agg(F.max("macro_mae").alias("macro_mae"), F.count("*").alias("n_runs"))
 
 
-@query("chk_panel", "n_regions:i n_rows:i uneven_regions:i bad_scores:i null_scores:i", """
-SELECT count(*) n_regions, sum(n) n_rows, count(*) FILTER (n <> 344) uneven_regions, sum(b) bad_scores, sum(z) null_scores
+@query("chk_panel", "n_regions:i n_rows:i uneven_regions:i bad_scores:i null_scores:i n_items:i undated_items:i orphan_items:i", """
+SELECT count(*) n_regions, sum(n) n_rows, count(*) FILTER (n <> 344) uneven_regions, sum(b) bad_scores, sum(z) null_scores,
+  (SELECT count(*) FROM lineitem) n_items,
+  (SELECT count(*) FROM lineitem WHERE NOT coalesce(l_shipdate >= DATE '1995-01-02' AND l_shipdate < DATE '2001-11-05', false)) undated_items,
+  (SELECT count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey)) orphan_items
 FROM (SELECT region_id, count(*) n, count(*) FILTER (score < 0 OR score > 5) b, count(*) FILTER (score IS NULL) z
       FROM wk GROUP BY 1)""")
 def chk_panel(spark, d):
-    return panel_violations(weekly(spark, d), 344)
+    """Also the line items that the panel leaves out: shipped outside its days, or of no supplier."""
+    items = table(spark, d, "lineitem")
+    left_out = left_out_items(items, table(spark, d, "supplier"), between_days(items))
+    return attach(panel_violations(weekly(spark, d), 344), left_out, "left_out").select("*", "left_out.*")
 
 
 @query("chk_targets", "uneven_anchors:i null_targets:i", """

@@ -2,11 +2,11 @@
 from pyspark.sql import functions as F
 
 from panelcast.config import CHANNELS, ROLL_DAYS, SLOPE_CHANNELS, STATS
-from panelcast.operators import rolling as ro, weekly as wk
+from panelcast.operators import rolling as ro, sequences as sq, weekly as wk
 from panelcast.plans.base import query
 from panelcast.plans.cleaning import IMPUTED, imputed
 from panelcast.plans.inputs import test, train, weekly
-from panelcast.plans.prefix import WEEK_COLS, stat_sql, weekly_sql
+from panelcast.plans.prefix import PREFIX, WEEK_COLS, stat_sql, weekly_sql
 
 META = "month:i doy:i"
 
@@ -160,6 +160,10 @@ def lag_slope(spark, d):
 
 KERNELS = (13, 25, 101)
 DEC = ["prec_sum", "surf_pre_sum"]
+DEC_WINDOWS = ("a AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), " + ", ".join(
+    f"b{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN {(k - 1) // 2} PRECEDING AND {k // 2} FOLLOWING), "
+    f"f{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN {(k - 1) // 2} PRECEDING AND 1 PRECEDING), "
+    f"e{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN 1 FOLLOWING AND {k // 2} FOLLOWING)" for k in KERNELS))
 
 
 def decomp_sql(c, k):
@@ -169,31 +173,54 @@ def decomp_sql(c, k):
     return f"{total} AS {c}_trend{k}, {c} - {total} AS {c}_season{k}"
 
 
-@query("seq_decomp", "region_id:s week_idx:i " + " ".join(f"{c}_{p}{k}" for c in DEC for k in KERNELS for p in ("trend", "season")),
-       "SELECT region_id, week_idx, " + ", ".join(decomp_sql(c, k) for c in DEC for k in KERNELS) + " FROM wk WINDOW "
-       "a AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), "
-       + ", ".join(
-           f"b{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN {(k - 1) // 2} PRECEDING AND {k // 2} FOLLOWING), "
-           f"f{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN {(k - 1) // 2} PRECEDING AND 1 PRECEDING), "
-           f"e{k} AS (PARTITION BY region_id ORDER BY week_idx ROWS BETWEEN 1 FOLLOWING AND {k // 2} FOLLOWING)"
-           for k in KERNELS))
-def seq_decomp(spark, d):
-    df = weekly(spark, d)
+def decomp_cols(cols, kind=""):
+    return "region_id:s week_idx:i " + " ".join(f"{c}_{p}{k}{kind}" for c in cols for k in KERNELS for p in ("trend", "season"))
+
+
+WINDOW_WEEKS = 260
+
+
+def all_kernels(df, cols):
     for k in KERNELS:
-        df = ro.decompose(df, DEC, k)
-        for c in DEC:
-            df = df.withColumnsRenamed({f"{c}_trend": f"{c}_trend{k}", f"{c}_season": f"{c}_season{k}"})
+        df = ro.decompose(df, cols, k).withColumnsRenamed({f"{c}_{p}": f"{c}_{p}{k}" for c in cols for p in ("trend", "season")})
     return df
 
 
+@query("seq_decomp", decomp_cols(CH15, ":r"), "SELECT region_id, week_idx, " + ", ".join(decomp_sql(c, k) for c in CH15 for k in KERNELS)
+       + f" FROM ({CH15_SQL}) WINDOW {DEC_WINDOWS}")
+def seq_decomp(spark, d):
+    """All fifteen weekly channels with the three kernels."""
+    return all_kernels(wk.weekly_channels(imputed(spark, d)), CH15)
+
+
+@query("seq_decomp_sums", decomp_cols(DEC), "SELECT region_id, week_idx, " + ", ".join(decomp_sql(c, k) for c in DEC for k in KERNELS)
+       + f" FROM wk WINDOW {DEC_WINDOWS}")
+def seq_decomp_sums(spark, d):
+    return all_kernels(weekly(spark, d), DEC)
+
+
+@query("seq_window", "region_id:s pos:i n_anchors:i n_padded:i " + " ".join(f"{c}:r" for c in CH15), f"""
+SELECT a.region_id, a.pos, count(*) n_anchors, count(*) FILTER (place < 0) n_padded,
+  {", ".join(f"avg(coalesce(w.{c}, 0)) AS {c}" for c in CH15)}
+FROM (SELECT *, week_idx - {WINDOW_WEEKS - 1} + pos AS place FROM (
+  SELECT region_id, week_idx, unnest(range(0, {WINDOW_WEEKS})) pos FROM ch)) a
+JOIN ch w ON w.region_id = a.region_id AND w.week_idx = greatest(0, place) GROUP BY 1, 2""",
+       prefix=f"{PREFIX}, ch AS ({CH15_SQL})")
+def seq_window(spark, d):
+    """Windows of 260 weeks and fifteen channels of every week, as means per region and place in the window."""
+    weeks = wk.weekly_channels(imputed(spark, d))
+    return sq.place_means(weeks, weeks.select("region_id", "week_idx"), CH15, WINDOW_WEEKS)
+
+
 SEQ_LEN = 26
 
 
-@query("seq_window", "region_id:s week_idx:i pos:i prec_sum tmp_mean", f"""
+@query("seq_window_rows", "region_id:s week_idx:i pos:i prec_sum tmp_mean", f"""
 SELECT a.region_id, a.week_idx, p.pos, w.prec_sum, w.tmp_mean
 FROM wk a CROSS JOIN (SELECT unnest(range(0, {SEQ_LEN})) pos) p
 JOIN wk w ON w.region_id = a.region_id AND w.week_idx = greatest(0, a.week_idx - {SEQ_LEN - 1} + p.pos)""")
-def seq_window(spark, d):
+def seq_window_rows(spark, d):
+    """Windows as arrays, one row per place, for short windows of few channels."""
     s = ro.sequence_window(weekly(spark, d), ["prec_sum", "tmp_mean"], SEQ_LEN)
     pairs = F.arrays_zip(F.col("prec_sum_seq").alias("a"), F.col("tmp_mean_seq").alias("b"))
     return s.select("region_id", "week_idx", F.posexplode(pairs).alias("pos", "v")).select(

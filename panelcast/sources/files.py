@@ -1,9 +1,12 @@
 """CSV scans and sinks, small keyed tables, the feature cache and the run log."""
 import atexit
+import hashlib
 import json
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F, types as T
 
 from panelcast.config import CHANNELS, HORIZONS
@@ -39,10 +42,9 @@ def fresh(spark, name):
 
 def release(spark):
     """Delete the tables that this process has stored so far. Nothing may still read them."""
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        fs, path = _place(spark, _written.pop())
+        fs.delete(path, True)
 
 
 def store(df, name):
@@ -121,32 +123,84 @@ def load_table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}")
 
 
-def _exists(spark, path):
+def _place(spark, path):
+    """File system and path, with the session's own file system settings."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _exists(spark, path):
+    fs, p = _place(spark, path)
+    return fs.exists(p)
 
 
-def fingerprint(source, config):
-    """SHA1 over the settings and the size and time of every input file.
+def fingerprint(spark, paths, config):
+    """SHA1 over the settings and the path, size and time of every file under `paths` (a list).
 
-    Files are folded into one number by sums of their hashes, so any number of files
-    needs no list on the driver.
+    The files are listed, not opened: one row per file, of which only the sum of the hashes
+    comes to the driver.
     """
-    files = source.select("_metadata.file_path", "_metadata.file_size",
-                          "_metadata.file_modification_time").distinct()
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths))
+             .select("path", "length", "modificationTime"))
     one = files.agg(F.count("*").alias("n"),
                     F.sum(F.xxhash64(*files.columns).cast("decimal(38,0)")).alias("h")).first()
     text = json.dumps({"config": config, "files": [one.n, str(one.h)]}, sort_keys=True)
-    return source.sparkSession.range(1).select(F.sha1(F.lit(text))).first()[0]
+    return hashlib.sha1(text.encode()).hexdigest()
+
 
+def _leased(spark, lease, path, patience, pause=0.5):
+    """True once this process may build; False when another one has published the table meanwhile.
 
-def cached_table(spark, source, config, build, root=None):
-    """Table stored under the fingerprint; built and written only when it is not there yet."""
-    path = f"{root or workspace(spark, 'features')}/{fingerprint(source, config)}"
-    hit = _exists(spark, f"{path}/_SUCCESS")
-    if not hit:
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path), hit
+    A lease older than `patience` seconds belongs to a writer that died and is taken over.
+    """
+    fs, p = _place(spark, lease)
+    while not _exists(spark, path):
+        try:
+            if fs.createNewFile(p):
+                return True
+            if time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > patience:
+                fs.delete(p, False)
+                continue
+        except Py4JJavaError as e:
+            # the lease was taken or given back between two looks at it
+            if e.java_exception.getClass().getSimpleName() not in ("FileAlreadyExistsException", "FileNotFoundException"):
+                raise
+        time.sleep(pause)
+    return False
+
+
+def publish(spark, build, path):
+    """Write the table of `build` beside `path` and rename it there. True if it is this one that stands there.
+
+    If another writer was first, the file system refuses the rename or moves this copy into the folder
+    under a name that readers skip; the copy is deleted either way. A published table is never touched.
+    """
+    folder, key = path.rsplit("/", 1)
+    name = f"_{key}-{uuid.uuid4().hex}"
+    build().write.parquet(f"{folder}/{name}")
+    (fs, source), (_, target), (_, inner) = (_place(spark, p) for p in (f"{folder}/{name}", path, f"{path}/{name}"))
+    won = not fs.exists(target) and fs.rename(source, target) and not fs.exists(inner)
+    for left in () if won else (source, inner):
+        fs.delete(left, True)
+    return won
+
+
+def cached_table(spark, paths, config, build, root=None, patience=3600.0):
+    """Table of `build` for the files under `paths`, stored under their fingerprint, and whether it was there already.
+
+    One writer at a time holds the lease, others wait for its table. The lease only saves work: also of two
+    writers at once one whole table stays. The rename must be atomic, as on HDFS and local disks.
+    """
+    path = f"{root or workspace(spark, 'features')}/{fingerprint(spark, paths, config)}"
+    lease = f"{path}.lease"
+    built = _leased(spark, lease, path, patience)
+    if built:
+        try:
+            publish(spark, build, path)
+        finally:
+            fs, p = _place(spark, lease)
+            fs.delete(p, False)
+    return spark.read.parquet(path), not built
 
 
 def append_run(spark, path, row):

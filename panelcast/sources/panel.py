@@ -23,12 +23,12 @@ def entity(spark):
     return spark.conf.get("panelcast.entity", "nation")
 
 
-def _between_days(items, first, end):
-    """Ship dates of days first .. end-1, as a range the parquet scan can use."""
+def between_days(items, first=0, end=DAYS):
+    """Whether a line item was shipped on days first .. end-1, as a range the parquet scan can use."""
     kind = items.schema["l_shipdate"].dataType
     start = date.fromisoformat(START)
     low, high = (F.lit((start + timedelta(days=d)).isoformat()).cast(kind) for d in (first, end))
-    return items.filter((F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high))
+    return (F.col("l_shipdate") >= low) & (F.col("l_shipdate") < high)
 
 
 def daily_observations(spark, sf_dir, first=0, end=DAYS):
@@ -40,7 +40,8 @@ def daily_observations(spark, sf_dir, first=0, end=DAYS):
     over its days.
     """
     day = F.datediff(F.to_date("l_shipdate"), F.lit(START).cast("date")).cast("bigint")
-    items = _between_days(table(spark, sf_dir, "lineitem"), first, end)
+    items = table(spark, sf_dir, "lineitem")
+    items = items.filter(between_days(items, first, end))
     if entity(spark) == "nation":
         supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("entity"))
         items = items.join(supplier, "l_suppkey")
