@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelcast.config import HORIZONS, KEY, WEEK
 from panelcast.functions.scalars import clip, corr
+from panelcast.sources.files import store
 
 PRED = [f"pred_week{h}" for h in HORIZONS]
 # Member shares of the blend and its two published shrink factors.
@@ -53,20 +54,28 @@ def mean_of_members(long):
     return long.groupBy(KEY, WEEK, "horizon").agg(F.avg("pred").alias("pred"), F.max("truth").alias("truth"))
 
 
-def score_weights(aligned, names, weight_rows):
+def distinct_cells(aligned, names):
+    """The table as distinct (cluster, horizon, predictions, truth) with their number `times`, all that errors depend on."""
+    return aligned.groupBy("cluster_id", "horizon", *[f"p_{n}" for n in names], "truth").agg(F.count("*").alias("times"))
+
+
+def score_weights(aligned, names, weight_rows, count=None):
     """Cluster-averaged and macro error of every weight row, from one pass over the table.
 
+    `count` names a column with the number of times a row stands for.
+
     Each row of the table becomes one vector with its error under every weight row; the
     vectors are summed per (cluster, horizon), so the table is never multiplied by the
     number of weight rows.
     """
     columns = [F.lit(np.array([float(w[i]) for w in weight_rows])) for i in range(len(names))]
     table = F.arrays_zip(*[c.alias(n) for c, n in zip(columns, names)])
+    times = F.lit(1) if count is None else F.col(count)
     def errors(w):
         blend = reduce(lambda a, b: a + b, [w[n] * F.col(f"p_{n}") for n in names])
-        return F.abs(blend - F.col("truth"))
+        return times * F.abs(blend - F.col("truth"))
     summed = Summarizer.sum(array_to_vector(F.transform(table, errors)))
-    cells = aligned.groupBy("cluster_id", "horizon").agg(F.count("*").alias("n"), summed.alias("s"))
+    cells = aligned.groupBy("cluster_id", "horizon").agg(F.sum(times).alias("n"), summed.alias("s"))
     long = cells.select("cluster_id", "horizon", "n",
                         F.posexplode(vector_to_array("s")).alias("weight_id", "s"))
     per_cluster = long.filter("cluster_id >= 0").groupBy("weight_id", "cluster_id").agg(F.avg(F.col("s") / F.col("n")).alias("m"))
@@ -98,15 +107,16 @@ def grid_search(aligned, names, weight_rows, objective="cluster_mae", top=15):
 def hill_climb(aligned, names, step=0.02, max_steps=200, objective="cluster_mae"):
     """Greedy weights: add the step that lowers the objective most, stop below a gain of 1e-6.
 
-    Every step is one aggregation that scores all members' moves together. Returns the
-    normalised weights and the history [(added member, objective)]; without rows the weights are
-    equal and the history is empty.
+    The table is compacted to its distinct cells once and stored; every step is one aggregation of them that
+    scores all members' moves together. Returns the normalised weights and the history
+    [(added member, objective)]; without rows the weights are equal and the history is empty.
     """
+    cells = store(distinct_cells(aligned, names), "blend_cells")
     weights, best, history = [0.0] * len(names), float("inf"), []
     for _ in range(max_steps):
         total = sum(weights) + step
         moves = [[(w + step * (i == j)) / total for j, w in enumerate(weights)] for i in range(len(names))]
-        scores = {r["weight_id"]: r[objective] for r in score_weights(aligned, names, moves).collect() if r[objective] is not None}
+        scores = {r["weight_id"]: r[objective] for r in score_weights(cells, names, moves, "times").collect() if r[objective] is not None}
         if not scores:
             break
         i = min(scores, key=lambda k: (scores[k], k))

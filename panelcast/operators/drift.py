@@ -3,9 +3,7 @@
 Global orders are never taken over raw rows: values are counted first and ranked through
 functions/ranks.py, and per-region statistics are aggregates of chunked windows.
 """
-import numpy as np
-import pandas as pd
-from pyspark.sql import Window, functions as F, types as T
+from pyspark.sql import Window, functions as F
 
 from panelcast.config import CHANNELS, HORIZONS, KEY, WEEK, WEEK_CHUNK
 from panelcast.functions import ranks
@@ -74,19 +72,31 @@ def first_low_lag(acf, limit=0.05):
     return F.get(low, F.lit(0))
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def partial_autocorrelation(acf: pd.Series) -> pd.Series:
-    """Durbin-Levinson recursion on each array of autocorrelations."""
-    def one(r):
-        r = np.asarray(r, dtype=float)
-        out, phi = [1.0], np.zeros(0)
-        for k in range(1, len(r)):
-            below = 1.0 - phi @ r[1:k]
-            new = (r[k] - phi @ r[1:k][::-1]) / below if abs(below) > 1e-12 else 0.0
-            phi = np.append(phi - new * phi[::-1], new)
-            out.append(float(new))
-        return out
-    return acf.map(one)
+def partial_autocorrelation(acf):
+    """Durbin-Levinson recursion on an array column of autocorrelations, lag 0 first.
+
+    The state is the coefficients of the order so far and the partial values; an order without variance left gives 0.
+    """
+    acf = F.col(acf) if isinstance(acf, str) else acf
+    none = F.array().cast("array<double>")
+
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    def step(state, k):
+        phi, known = state["phi"], F.slice(acf, F.lit(2), k - 1)
+        below = 1.0 - dot(phi, known)
+        above = F.get(acf, k) - dot(phi, F.reverse(known))
+        # the new value is used for every coefficient, so it is computed once, as the only element of an array
+        new = F.array(F.when(F.abs(below) > 1e-12, above / below).otherwise(0.0))
+        both = F.zip_with(phi, F.reverse(phi), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+        return F.get(F.transform(new, lambda n: F.struct(
+            F.concat(F.transform(both, lambda p: p["x"] - n * p["y"]), F.array(n)).alias("phi"),
+            F.concat(state["out"], F.array(n)).alias("out"))), F.lit(0))
+
+    orders = F.filter(F.sequence(F.lit(1), F.greatest(F.size(acf) - 1, F.lit(1))), lambda k: k < F.size(acf))
+    start = F.struct(none.alias("phi"), F.array(F.lit(1.0)).alias("out"))
+    return F.when(acf.isNotNull(), F.aggregate(orders, start, step, lambda s: s["out"]))
 
 
 def mean_persistence(weekly, lags=HORIZONS):

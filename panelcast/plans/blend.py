@@ -7,7 +7,6 @@ from panelcast.operators import blend as bl, gaps
 from panelcast.plans.base import query
 from panelcast.plans.inputs import MEMBERS, aligned, clusters, gapped_train, members, test, train
 from panelcast.plans.sources import PRED_COLS, PRED_SQL, predictions
-from panelcast.sources import files
 
 FORMS = {"d": "0.5*m + 0.5*l - 0.1*{h}", "t": "m + 0.05*{h}", "p": "0.8*l"}
 
@@ -54,13 +53,6 @@ def ml_ens_mean(spark, d):
     return bl.mean_of_members(members(spark, d))
 
 
-def stored(spark, d):
-    """The aligned table, written once because a search reads it many times."""
-    path = files.fresh(spark, "aligned")
-    aligned(spark, d).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def objective_sql(weights):
     rows = ", ".join(f"({i}, {a!r}, {b!r}, {c!r})" for i, (a, b, c) in enumerate(weights))
     return f"""SELECT weight_id, any_value(w_a) w_a, any_value(w_b) w_b, any_value(w_c) w_c, avg(mm) FILTER (cluster_id >= 0) cluster_mae, any_value(macro) macro_mae FROM (
@@ -103,9 +95,30 @@ def bl_hillclimb_first(spark, d):
     return scores.orderBy("cluster_mae", "weight_id").limit(1)
 
 
-@query("bl_hillclimb", "member:s weight objective")
+# Each step scores the three moves on the distinct cells and keeps the best, as long as it gains 1e-6.
+CLIMB = """WITH RECURSIVE cells AS MATERIALIZED (
+  SELECT cluster_id, horizon, p_a, p_b, p_c, truth, count(*) n FROM al GROUP BY ALL),
+moves AS (SELECT * FROM (VALUES (0, 0.02::DOUBLE, 0::DOUBLE, 0::DOUBLE), (1, 0, 0.02, 0), (2, 0, 0, 0.02)) AS t(i, a, b, c)),
+climb AS (
+  SELECT 0 AS step, 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c, CAST(NULL AS DOUBLE) AS best
+  UNION ALL
+  SELECT step, a, b, c, score FROM (
+    SELECT step, min_by(a, score) a, min_by(b, score) b, min_by(c, score) c, min(score) score, any_value(best) best FROM (
+      SELECT step, i, any_value(a) a, any_value(b) b, any_value(c) c, any_value(best) best,
+        coalesce(avg(m) FILTER (cluster_id >= 0), avg(m)) AS score FROM (
+        SELECT step, i, cluster_id, any_value(a) a, any_value(b) b, any_value(c) c, any_value(best) best, avg(e) AS m FROM (
+          SELECT s.step + 1 AS step, m.i, cluster_id, horizon, any_value(s.a + m.a) a, any_value(s.b + m.b) b, any_value(s.c + m.c) c, any_value(s.best) best,
+            sum(n*abs(((s.a + m.a)*p_a + (s.b + m.b)*p_b + (s.c + m.c)*p_c)/(s.a + s.b + s.c + 0.02) - truth))/sum(n) AS e
+          FROM climb s CROSS JOIN moves m CROSS JOIN cells WHERE s.step < 200 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1)
+  WHERE best IS NULL OR score < best - 1e-6),
+reached AS (SELECT * FROM climb ORDER BY step DESC LIMIT 1)
+SELECT 'a' AS member, a/(a + b + c) AS weight, best AS objective FROM reached UNION ALL
+SELECT 'b', b/(a + b + c), best FROM reached UNION ALL SELECT 'c', c/(a + b + c), best FROM reached"""
+
+
+@query("bl_hillclimb", "member:s weight objective", CLIMB)
 def bl_hillclimb(spark, d):
-    weights, history = bl.hill_climb(stored(spark, d), MEMBERS, step=0.02, max_steps=200)
+    weights, history = bl.hill_climb(aligned(spark, d), MEMBERS, step=0.02, max_steps=200)
     rows = [(m, w, history[-1][1] if history else None) for m, w in zip(MEMBERS, weights)]
     return spark.createDataFrame(rows, "member string, weight double, objective double")
 

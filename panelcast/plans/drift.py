@@ -97,7 +97,20 @@ def eda_acf_fw(spark, d):
     return dr.mean_persistence(weekly(spark, d))
 
 
-@query("eda_pacf", "region_id:s lag:i pacf")
+# Durbin-Levinson: phi holds the coefficients of order k, the last of them is the partial value.
+PACF = f"""WITH RECURSIVE acf AS (SELECT region_id, list(acf ORDER BY lag) AS r FROM ({ACF}) GROUP BY 1),
+steps AS (
+  SELECT region_id, r, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS pacf FROM acf
+  UNION ALL
+  SELECT region_id, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - new*phi[k + 1 - i]), new), new FROM (
+    SELECT *, CASE WHEN abs(below) > 1e-12 THEN above/below ELSE 0 END AS new FROM (
+      SELECT *, 1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i]*r[i + 1])), 0) AS below,
+        r[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda i: phi[i]*r[k + 2 - i])), 0) AS above
+      FROM steps WHERE k + 1 < len(r))))
+SELECT region_id, k AS lag, pacf FROM steps"""
+
+
+@query("eda_pacf", "region_id:s lag:i pacf", PACF)
 def eda_pacf(spark, d):
     a = dr.autocorrelation(weekly(spark, d)).withColumn("p", dr.partial_autocorrelation("acf"))
     return a.select("region_id", F.posexplode("p").alias("lag", "pacf"))

@@ -301,3 +301,21 @@ def test_stored_tables_can_be_released(spark):
     files.release(spark)
     assert not files._exists(spark, path)
     files._written[:] = keep[:-1]
+
+
+def test_partial_autocorrelation_of_short_and_constant_arrays(spark):
+    df = spark.createDataFrame([(0, [1.0]), (1, [1.0, 1.0, 1.0]), (2, None)], "i int, acf array<double>")
+    got = {r.i: r.p for r in df.select("i", drift.partial_autocorrelation("acf").alias("p")).collect()}
+    assert got == {0: [1.0], 1: [1.0, 1.0, 0.0], 2: None}
+
+
+def test_distinct_cells_give_the_errors_of_all_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(-1, 2)), int(rng.integers(1, 3)), *map(float, rng.integers(0, 3, 3))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "cluster_id int, horizon int, p_a double, p_b double, truth double")
+    cells = blend.distinct_cells(df, ["a", "b"])
+    assert cells.count() < 200
+    moves = [(1, 0), (0.3, 0.7)]
+    want = {r.weight_id: r for r in blend.score_weights(df, ["a", "b"], moves).collect()}
+    for r in blend.score_weights(cells, ["a", "b"], moves, "times").collect():
+        assert (r.macro_mae, r.cluster_mae) == pytest.approx((want[r.weight_id].macro_mae, want[r.weight_id].cluster_mae))
