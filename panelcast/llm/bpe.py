@@ -257,37 +257,32 @@ class Encoder:
         return C.gather(self.token_bytes, self.token_start[ids], self.token_size[ids])
 
 
-def _count(batches, path, text, most=400_000):
-    """(word, n): how often each pre-token stands in the texts of a task."""
+def _count(batches, path, text, most=200_000):
+    """(word, n): how often each pre-token stands in the texts of a task, in several rows where there are more than `most` words."""
     vocabulary = Vocabulary(path)
-    counts, names, slow = {}, {}, Counter()
+    counts = Counter()
 
     def flush():
-        words = [names[h] for h in counts] + list(slow)
-        out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([*counts.values(), *slow.values()], pa.int64())], names=["word", "n"])
-        for x in (counts, names, slow):
-            x.clear()
+        out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())],
+                                         names=["word", "n"])
+        counts.clear()
         return out
 
     for batch in batches:
         for _, data, offsets in W.text_pieces(batch.column(batch.schema.get_field_index(text)), 1 << 19):
             plain = C.plain_rows(data, offsets)
             for k in np.flatnonzero(~plain):
-                slow.update(w for w in vocabulary.split(data[offsets[k]:offsets[k + 1]].tobytes().decode()) if w not in vocabulary.special)
+                counts.update(w.encode() for w in vocabulary.split(data[offsets[k]:offsets[k + 1]].tobytes().decode()) if w not in vocabulary.special)
             if not plain.all():
                 data, offsets = data[np.repeat(plain, np.diff(offsets))], np.concatenate(([0], np.cumsum(np.diff(offsets) * plain)))
             begin, end, _ = C.split_words(data, offsets, True)
-            first, second, at, number = W.distinct_strings(data, begin, end)
+            _, _, at, number = W.distinct_strings(data, begin, end)
             raw, n = data.tobytes(), np.bincount(number, minlength=len(at))
-            for *h, count, low, high in zip(first.tolist(), second.tolist(), n.tolist(), begin[at].tolist(), end[at].tolist()):
-                h = tuple(h)
-                if h in counts:
-                    counts[h] += count
-                else:
-                    counts[h], names[h] = count, raw[low:high].decode()
-            if len(counts) + len(slow) >= most:
+            for count, low, high in zip(n.tolist(), begin[at].tolist(), end[at].tolist()):
+                counts[raw[low:high]] += count
+            if len(counts) >= most:
                 yield flush()
-    if counts or slow:
+    if counts:
         yield flush()
 
 

@@ -5,6 +5,7 @@ and window hashes are differences of one prefix sum of `table[byte] * BASE**posi
 2**64, shifted back to position 0 and mixed; equal byte strings have equal hashes wherever
 they stand.
 """
+import ctypes
 import hashlib
 
 import numpy as np
@@ -61,8 +62,17 @@ def pieces(offsets, limit=1 << 18):
         low = min(high, n)
 
 
+def give_back():
+    """Return freed memory to the machine: a worker lives through many stages and would else keep the largest one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 def text_pieces(column, limit=1 << 18):
     """(first row, bytes, offsets) of consecutive pieces of a text column."""
+    give_back()
     data, offsets = column_bytes(column)
     for low, high in pieces(offsets, limit):
         yield low, data[offsets[low]:offsets[high]], offsets[low:high + 1] - offsets[low]
